@@ -46,3 +46,34 @@ def merge_runs(starts, ends) -> list[tuple[int, int]]:
         elif b > a:
             out.append([a, b])
     return [(a, b) for a, b in out]
+
+
+#: Odd multiplier of the polynomial hash, and its inverse modulo 2**64.
+_B = 0x9E3779B97F4A7C15
+_B_INVERSE = pow(_B, -1, 1 << 64)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the multiplier and of its inverse, up to ``n``."""
+    if len(_powers[0]) <= n:
+        for k, base in enumerate((_B, _B_INVERSE)):
+            table = np.full(n + (n >> 2) + 64, base, np.uint64)
+            table[0] = 1
+            _powers[k] = np.cumprod(table)
+    return _powers
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Finaliser of a 64-bit hash (splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs ``values[start:end]``, from one prefix sum over all values."""
+    up, down = _power_tables(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))

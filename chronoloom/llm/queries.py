@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.llm import simhash, warc
+from chronoloom.llm import decontaminate, simhash, tokens, warc
 from chronoloom.llm.common import table
 
 
@@ -20,8 +20,18 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_inverted_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_repair_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_dictionary": op1_warc_dictionary,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op4_inverted_index_decontamination": op4_inverted_index_decontamination,
+    "op6_repair_token_shards": op6_repair_token_shards,
 }
 ORACLES: dict[str, str] = {}
