@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.llm import decontaminate, simhash, tokens, warc
+from chronoloom.llm import decontaminate, simhash, substrings, suffixes, tokens, warc
 from chronoloom.llm.common import table
 
 
@@ -28,10 +28,20 @@ def op6_repair_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op10_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_dictionary": op1_warc_dictionary,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_inverted_index_decontamination": op4_inverted_index_decontamination,
     "op6_repair_token_shards": op6_repair_token_shards,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op10_difference_cover_dedup": op10_difference_cover_dedup,
 }
 ORACLES: dict[str, str] = {}
