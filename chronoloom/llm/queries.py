@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.llm import decontaminate, simhash, substrings, suffixes, tokens, warc
+from chronoloom.llm import decontaminate, mixing, quality, simhash, substrings, suffixes, tokens, warc
 from chronoloom.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(table(spark, sf_dir, "documents"))
+    return rows.select("row.doc_id", "domain", "language", "source", "n_tokens", "copies")
+
+
 def op4_inverted_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -28,6 +33,10 @@ def op6_repair_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -39,9 +48,14 @@ def op10_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_dictionary": op1_warc_dictionary,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_hierarchical_mixing": op3_hierarchical_mixing,
     "op4_inverted_index_decontamination": op4_inverted_index_decontamination,
     "op6_repair_token_shards": op6_repair_token_shards,
+    "op7_risk_controlled_quality": op7_risk_controlled_quality,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op10_difference_cover_dedup": op10_difference_cover_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_hierarchical_mixing": mixing.ORACLE,
+    "op7_risk_controlled_quality": quality.ORACLE,
+}
