@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.llm import decontaminate, mixing, quality, simhash, substrings, suffixes, tokens, warc
+from chronoloom.llm import decontaminate, mixing, pii, quality, simhash, substrings, suffixes, tokens, toxicity, warc
 from chronoloom.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op4_inverted_index_decontamination(spark: SparkSession, sf_dir: str) -> Data
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_gated_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_repair_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_round_trip(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,10 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op10_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -50,9 +58,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_hierarchical_mixing": op3_hierarchical_mixing,
     "op4_inverted_index_decontamination": op4_inverted_index_decontamination,
+    "op5_gated_recurrent_toxicity": op5_gated_recurrent_toxicity,
     "op6_repair_token_shards": op6_repair_token_shards,
     "op7_risk_controlled_quality": op7_risk_controlled_quality,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op9_deobfuscated_pii": op9_deobfuscated_pii,
     "op10_difference_cover_dedup": op10_difference_cover_dedup,
 }
 ORACLES: dict[str, str] = {
