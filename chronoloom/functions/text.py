@@ -30,6 +30,11 @@ def char_grams(text: Column, n: int) -> Column:
     )
 
 
+def characters(text: Column) -> Column:
+    """Distinct characters."""
+    return F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
+
+
 def _set_jaccard(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
     return both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1))
@@ -38,12 +43,11 @@ def _set_jaccard(a: Column, b: Column) -> Column:
 def jaccard(left: Column | str, right: Column | str) -> Column:
     """Bigram-set similarity of trimmed lower-case texts; character sets where a text has no bigram."""
     a, b = (F.lower(F.trim(F.coalesce(col(x), F.lit("")))) for x in (left, right))
-    one = lambda s: F.array_distinct(F.split(s, "(?!^)"))
     short = (F.length(a) < 2) | (F.length(b) < 2)
     return (
         F.when((a == "") | (b == ""), F.lit(0.0))
         .when(a == b, F.lit(1.0))
-        .when(short, _set_jaccard(one(a), one(b)))
+        .when(short, _set_jaccard(characters(a), characters(b)))
         .otherwise(_set_jaccard(char_grams(a, 2), char_grams(b, 2)))
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.functions.text import char_grams, core_name, cosine, jaccard, leading_name
+from chronoloom.functions.text import char_grams, characters, core_name, cosine, jaccard, leading_name
 from chronoloom.operators.components import connected_components
 
 TITLE_SUFFIXES = "教授|博士|先生|女士|老师|同学|院士|主任|经理|总裁"
@@ -38,7 +38,7 @@ def dedupe_names(rows: DataFrame) -> DataFrame:
 def normalize_pairs(relations: DataFrame) -> DataFrame:
     """Trimmed ends in order, without self links and blank ends."""
     a, b = F.trim(F.coalesce("name1", F.lit(""))), F.trim(F.coalesce("name2", F.lit("")))
-    return relations.withColumn("name1", F.least(a, b)).withColumn("name2", F.greatest(a, b)).where((F.col("name1") != F.col("name2")) & (F.col("name1") != ""))
+    return relations.withColumns({"name1": F.least(a, b), "name2": F.greatest(a, b)}).where((F.col("name1") != F.col("name2")) & (F.col("name1") != ""))
 
 
 def dedupe_relations(relations: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def similar_contents(rows: DataFrame, threshold: float = 0.65) -> DataFrame:
     Equal character sets are compared once; two sets of Jaccard above t share a
     character among the rarest (1 - t) share of either, so only those are joined.
     """
-    chars = rows.select("id", F.array_sort(F.array_distinct(F.split(F.lower(F.trim(F.coalesce("content", F.lit("")))), "(?!^)"))).alias("set"))
+    chars = rows.select("id", F.array_sort(characters(F.lower(F.trim(F.coalesce("content", F.lit("")))))).alias("set"))
     kinds = chars.groupBy("set").agg(F.min("id").alias("rep"))
     spread = kinds.select("rep", "set", F.explode("set").alias("c"))
     often = spread.groupBy("c").agg(F.count("*").alias("n"))

@@ -38,7 +38,7 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, limit: int | None = 2
     if not wanted:
         return docs.select(key).where("false").withColumn("score", F.lit(0.0))
     words = docs.select(F.col(key), terms(F.coalesce(F.col(text), F.lit(""))).alias("_w"))
-    counted = words.select(key, F.size("_w").alias("_n"), *[F.size(F.filter("_w", lambda x, t=t: x == F.lit(t))).alias(f"_t{i}") for i, t in enumerate(wanted)])
+    counted = words.select(key, F.size("_w").alias("_n"), *[_count("_w", t).alias(f"_t{i}") for i, t in enumerate(wanted)])
     stats = counted.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"), *[F.count_if(F.col(f"_t{i}") > 0).alias(f"_d{i}") for i in range(len(wanted))])
     rows = counted.where(" or ".join(f"_t{i} > 0" for i in range(len(wanted)))).join(F.broadcast(stats))
     score = F.lit(0.0)
@@ -50,6 +50,10 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, limit: int | None = 2
     return out.orderBy(F.desc("score"), key).limit(limit) if limit else out
 
 
+def _count(words: str, term: str) -> Column:
+    return F.size(F.filter(words, lambda x: x == F.lit(term)))
+
+
 def _query_terms(query: str) -> list[str]:
     import re
 
