@@ -17,6 +17,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(text: Column | str) -> Column:
+    """Text without white space at its ends."""
+    return F.btrim(col(text), F.lit(" \t\n\r\x0b\x0c\u00a0\u3000"))
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
     return F.transform(F.array(value), body)[0]
@@ -42,7 +47,7 @@ def _set_jaccard(a: Column, b: Column) -> Column:
 
 def jaccard(left: Column | str, right: Column | str) -> Column:
     """Bigram-set similarity of trimmed lower-case texts; character sets where a text has no bigram."""
-    a, b = (F.lower(F.trim(F.coalesce(col(x), F.lit("")))) for x in (left, right))
+    a, b = (F.lower(strip(F.coalesce(col(x), F.lit("")))) for x in (left, right))
     short = (F.length(a) < 2) | (F.length(b) < 2)
     return (
         F.when((a == "") | (b == ""), F.lit(0.0))
@@ -61,7 +66,7 @@ def bleu(left: Column | str, right: Column | str) -> Column:
 
 def substring_bonus(left: Column | str, right: Column | str) -> Column:
     """Jaccard, or the ratio of lengths where one text holds the other, whichever is larger."""
-    a, b = F.lower(F.trim(col(left))), F.lower(F.trim(col(right)))
+    a, b = F.lower(strip(col(left))), F.lower(strip(col(right)))
     inside = (a.contains(b) | b.contains(a)) & (F.length(a) > 0) & (F.length(b) > 0)
     ratio = F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b))
     return F.greatest(jaccard(left, right), F.when(inside, ratio).otherwise(0.0))
@@ -90,13 +95,13 @@ def section_hash(text: Column | str) -> Column:
 
 def core_name(name: Column | str) -> Column:
     """The name without bracketed notes."""
-    return F.trim(F.regexp_replace(col(name), r"[（(][^）)]+[）)]", ""))
+    return strip(F.regexp_replace(col(name), r"[（(][^）)]+[）)]", ""))
 
 
 def leading_name(name: Column | str) -> Column:
     """The name up to its first bracket, unless it starts with one."""
-    n = F.trim(col(name))
-    cut = F.trim(F.regexp_extract(n, r"^([^（(]+)[（(]", 1))
+    n = strip(col(name))
+    cut = strip(F.regexp_extract(n, r"^([^（(]+)[（(]", 1))
     return F.when(cut != "", cut).otherwise(n)
 
 
@@ -110,11 +115,11 @@ def token_estimate(text: Column | str) -> Column:
 def strip_fences(text: Column | str) -> Column:
     """Text without Markdown code fences."""
     t = F.regexp_replace(col(text), r"(?mi)^```[ \t]*[a-z]*[ \t]*\n?", "")
-    return F.trim(F.regexp_replace(t, r"(?m)\n?```\s*$", ""))
+    return strip(F.regexp_replace(t, r"(?m)\n?```\s*$", ""))
 
 
 def collapse_blank_lines(text: Column | str) -> Column:
-    return F.trim(F.regexp_replace(col(text), r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(col(text), r"\n{3,}", "\n\n"))
 
 
 def clean_json(text: Column | str) -> Column:
@@ -128,9 +133,9 @@ def sections(content: Column | str) -> Column:
     text = F.coalesce(col(content), F.lit(""))
     marked = F.regexp_replace(text, r"(?m)^#{1,3}[ \t]+(.+)$", "\u0001$1\u0002")
     parts = F.split(marked, "\u0001", -1)
-    head = F.trim(_trim_lines(parts[0]))
+    head = strip(parts[0])
     rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-    pairs = F.transform(rest, lambda p: F.struct(F.trim(F.substring_index(p, "\u0002", 1)).alias("key"), _trim_lines(_after(p)).alias("value")))
+    pairs = F.transform(rest, lambda p: F.struct(strip(F.substring_index(p, "\u0002", 1)).alias("key"), strip(_after(p)).alias("value")))
     first = F.when(head != "", F.array(F.struct(F.lit(DEFAULT_SECTION).alias("key"), head.alias("value")))).otherwise(F.slice(pairs, 1, 0))
     every = F.concat(first, pairs)
     keys = F.array_distinct(F.transform(every, lambda e: e["key"]))
@@ -141,10 +146,6 @@ def _after(part: Column) -> Column:
     return F.substr(part, F.position(F.lit("\u0002"), part) + 1)
 
 
-def _trim_lines(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
-
-
 def section_changes(old: Column, new: Column) -> Column:
     """Rows of key, old, new and change type (added, removed, modified, unchanged) of two section maps."""
     keys = F.array_union(F.map_keys(old), F.map_keys(new))
@@ -153,7 +154,7 @@ def section_changes(old: Column, new: Column) -> Column:
     def change(k: Column) -> Column:
         a, b = get(old, k), get(new, k)
         kind = (
-            F.when(~F.map_contains_key(old, k), "added").when(~F.map_contains_key(new, k), "removed").when(F.trim(a) == F.trim(b), "unchanged").otherwise("modified")
+            F.when(~F.map_contains_key(old, k), "added").when(~F.map_contains_key(new, k), "removed").when(strip(a) == strip(b), "unchanged").otherwise("modified")
         )
         return F.struct(k.alias("section_key"), F.coalesce(a, F.lit("")).alias("old"), F.coalesce(b, F.lit("")).alias("new"), kind.alias("change_type"))
 

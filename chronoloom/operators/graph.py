@@ -118,21 +118,28 @@ def components(edges: DataFrame) -> DataFrame:
     return connected_components(edges, "u", "v")
 
 
-def redirect_closure(redirects: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """Final target of every source by pointer jumping; the newest redirect of a source counts, members of a cycle go to its smallest id."""
+def redirect_closure(redirects: DataFrame) -> DataFrame:
+    """Final target of every source by pointer jumping; the newest redirect of a source counts.
+
+    A source is done once its target is no source itself.  A round that finishes
+    none leaves only cycles and what leads into them: those go to the smallest
+    id of their component.
+    """
     first = redirects.groupBy("source_family_id").agg(F.max_by("target_family_id", F.struct("updated_at", "target_family_id")).alias("t"))
-    hop = materialize(first.where("source_family_id <> t").select(F.col("source_family_id").alias("s"), "t"), "redirects")
-    for _ in range(max_rounds):
+    first = materialize(first.where("source_family_id <> t").select(F.col("source_family_id").alias("s"), "t"), "redirects")
+    sources = first.select(F.col("s").alias("t"))
+    hop, open_ = first, first.join(sources, "t", "left_semi").count()
+    while open_:
         after = hop.select(F.col("s").alias("t"), F.col("t").alias("next"))
-        new = materialize(hop.join(after, "t", "left").select("s", F.coalesce("next", "t").alias("t")), "redirects")
-        moved = new.join(hop.withColumnRenamed("t", "old"), "s").where("t <> old")
-        hop = new
-        if moved.isEmpty():
+        hop = materialize(hop.join(after, "t", "left").select("s", F.coalesce("next", "t").alias("t")), "redirects")
+        left = hop.join(sources, "t", "left_semi").count()
+        if left == open_:
+            stuck = hop.join(sources, "t", "left_semi").select("s")
+            ring = connected_components(first.join(stuck, "s", "left_semi"), "s", "t")
+            done = hop.join(stuck, "s", "left_anti").select("s", "t")
+            hop = done.unionAll(stuck.join(ring, stuck["s"] == ring["id"]).select("s", F.col("component").alias("t")))
             break
-    else:  # what still moves runs in circles
-        ring = connected_components(first.select(F.col("source_family_id").alias("u"), F.col("t").alias("v")), "u", "v")
-        hop = hop.join(ring.select(F.col("id").alias("s"), "component"), "s").join(first.select(F.col("source_family_id").alias("t"), F.lit(True).alias("again")), "t", "left")
-        hop = hop.select("s", F.when(F.col("again"), F.col("component")).otherwise(F.col("t")).alias("t"))
+        open_ = left
     return hop.where("s <> t").select(F.col("s").alias("source_family_id"), F.col("t").alias("target_family_id"))
 
 
