@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions import text as tx
+from chronoloom.functions import validation as va
 from chronoloom.operators import concepts as co
 from chronoloom.operators import dream as dr
 from chronoloom.operators import episodes as ep
@@ -18,6 +19,8 @@ from chronoloom.operators import search as se
 from chronoloom.operators import stats as st
 from chronoloom.operators import temporal as tm
 from chronoloom.operators import writes as wr
+from chronoloom.plans.dream_cycle import explore
+from chronoloom.plans.remember import remember
 from chronoloom.sources.adapters import Views, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -658,4 +661,129 @@ def text_hashes(v):
     return v.table("documents").select("doc_id", tx.doc_hash("text").alias("doc_hash"), tx.section_hash("text").alias("section_hash"))
 
 
+# --- more operators ---------------------------------------------------------
+
+
+@query(("entities",), """, t AS (SELECT processed_time AS pt, id AS tid FROM entities WHERE id = 'e5000'), own AS (SELECT e.id, CASE WHEN e.id = tid THEN 0 WHEN (e.processed_time, e.id) < (pt, tid) THEN 1 ELSE 2 END AS place
+FROM entities e, t WHERE e.family_id = (SELECT family_id FROM entities WHERE id = 'e5000')), r AS (SELECT 'g' || (event_id % 7) AS family_id, 'e' || event_id AS eid FROM events)
+SELECT r.family_id, CASE min(place) WHEN 0 THEN 'current' WHEN 1 THEN 'inherited' ELSE 'future' END AS scope FROM r JOIN own ON own.id = r.eid GROUP BY 1""")
+def relation_scope(v):
+    ev = v.table("events")
+    own = v.entities
+    family = own.where("id = 'e5000'").select("family_id").first()[0]
+    edges = ev.select(F.concat(F.lit("x"), "event_id").alias("id"), F.concat(F.lit("g"), F.col("event_id") % 7).alias("family_id"), F.concat(F.lit("e"), "event_id").alias("entity1_id"), F.lit("none").alias("entity2_id"), F.col("ts").cast("timestamp").alias("processed_time"))
+    return re.scope_tags(edges, own, family, "e5000").select("family_id", "scope")
+
+
+@query(("things", "relations"), f"SELECT id FROM things WHERE id NOT IN (SELECT entity1_id FROM relations WHERE event_time <= TIMESTAMP '{EARLY}' UNION SELECT entity2_id FROM relations WHERE event_time <= TIMESTAMP '{EARLY}') ORDER BY id DESC LIMIT 25")
+def seeds_orphan(v):
+    things = v.things.withColumn("processed_time", F.lit(NOW).cast("timestamp")).withColumn("invalid_at", F.lit(None).cast("timestamp"))
+    known = v.relations.where(F.col("event_time") <= F.lit(EARLY).cast("timestamp")).withColumn("invalid_at", F.lit(None).cast("timestamp"))
+    return dr.seeds_orphan(things, known, 25).select("id")
+
+
+@query(("relations",), f"SELECT id, coalesce(epoch_us(CASE WHEN family_id IN ('p1-s1', 'p7-s7') AND invalid_at IS NULL THEN TIMESTAMP '{NOW}' ELSE invalid_at END), -1) AS invalid_at FROM relations")
+def invalidated_families(v):
+    hit = v.spark.createDataFrame([("p1-s1",), ("p7-s7",)], "family_id string")
+    return wr.invalidate(v.relations, hit, NOW).select("id", F.coalesce(F.unix_micros("invalid_at"), F.lit(-1)).alias("invalid_at"))
+
+
+@query(("entities",), "SELECT id, CASE WHEN id = 'e5000' THEN 'new' ELSE family_id END AS family_id FROM entities")
+def split_version(v):
+    return wr.split_version(v.entities, "e5000", "new").select("id", "family_id")
+
+
+@query(("relations",), "SELECT id, replace(entity1_id, 'p1', 'p1') AS entity1_id, CASE WHEN entity2_id = 's1' THEN 's2' ELSE entity2_id END AS entity2_id FROM relations")
+def redirected_ends(v):
+    things = v.things.withColumn("processed_time", F.lit(NOW).cast("timestamp"))
+    return wr.redirect_ends(v.relations, things, "s1", "s2").select("id", "entity1_id", "entity2_id")
+
+
+@query(("mentions",), "SELECT episode_id, target_id, CASE WHEN target_id LIKE 's%' THEN 'new' ELSE 'old' END AS mention_context FROM mentions")
+def upserted_mentions(v):
+    old = v.mentions.withColumn("mention_context", F.lit("old"))
+    return wr.upsert_mentions(old, v.mentions.where("target_id like 's%'").withColumn("mention_context", F.lit("new"))).select("episode_id", "target_id", "mention_context")
+
+
+@query(("entities",), "SELECT id FROM entities UNION ALL SELECT 'x' || event_id FROM events WHERE event_type = 'error'")
+def appended_versions(v):
+    new = v.entities.where("name = 'error'").withColumn("id", F.concat(F.lit("x"), F.substring("id", 2, 20)))
+    return wr.append_versions(v.entities, new.unionAll(v.entities.where("name = 'click'"))).select("id")
+
+
+@query(("relations", "things"), """, r AS (SELECT least(a.name, b.name) AS name1, greatest(a.name, b.name) AS name2, r.content FROM relations r JOIN things a ON a.id = r.entity1_id JOIN things b ON b.id = r.entity2_id WHERE a.name <> b.name)
+SELECT name1, name2, max_by(content, (length(content), content)) AS content FROM r GROUP BY ALL""")
+def longest_hints(v):
+    named = re.with_names(v.relations, v.things).select(F.col("entity1_name").alias("name1"), F.col("entity2_name").alias("name2"), "content")
+    return rs.longest_hint(named)
+
+
+@query(("relations", "things"), """, r AS (SELECT least(a.name, b.name) AS name1, greatest(a.name, b.name) AS name2, r.content, min(r.id) AS pos FROM relations r JOIN things a ON a.id = r.entity1_id JOIN things b ON b.id = r.entity2_id WHERE a.name <> b.name GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY name1, name2 ORDER BY pos, content) AS n FROM r) SELECT name1, name2, string_agg(content, '；' ORDER BY n) AS content FROM k WHERE n <= 3 GROUP BY ALL""")
+def merged_contents(v):
+    named = re.with_names(v.relations, v.things).select(F.col("entity1_name").alias("name1"), F.col("entity2_name").alias("name2"), "content", F.col("id").alias("pos"))
+    return rs.merge_contents(named)
+
+
+@query(("things",), "SELECT core, min(name) AS name FROM (SELECT name, name AS core, row_number() OVER (PARTITION BY name ORDER BY id) AS n FROM things) WHERE n = 1 GROUP BY 1")
+def deduped_names(v):
+    return rs.dedupe_names(v.things.withColumn("pos", F.col("id")))
+
+
+_SIM = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) + 1e-9), 6)"
+
+
+@query((), f"""SELECT 'v' || a.vec_id AS source_family_id, 'v' || b.vec_id AS target_family_id FROM embeddings a JOIN (SELECT label, min_by(embedding, 'v' || vec_id) AS embedding, min(vec_id::VARCHAR) AS vec_id FROM embeddings GROUP BY 1) b USING (label)
+WHERE a.vec_id::VARCHAR <> b.vec_id AND {_SIM} >= 0.75""")
+def merged_across_windows(v):
+    rows = v.table("embeddings").select(F.concat(F.lit("v"), "vec_id").alias("family_id"), F.col("label").cast("string").alias("name"), "embedding", F.lit(1).alias("version_count"))
+    return rs.merge_across_windows(rows).select("source_family_id", "target_family_id")
+
+
+@query(("edges",), f""", e AS (SELECT DISTINCT fam1 AS u, fam2 AS v FROM edges), n AS (SELECT u AS id FROM e UNION SELECT v FROM e), l AS (SELECT id, left(id, 2) AS c FROM n)
+SELECT a.c AS community_id, u, v FROM e JOIN l a ON a.id = u JOIN l b ON b.id = v WHERE a.c = b.c""")
+def community_edges(v):
+    ids = v.links.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("community_id", F.substring("id", 1, 2))
+    return gr.community_edges(v.links, ids)
+
+
+@query(("edges",), """, e AS (SELECT DISTINCT fam1 AS u, fam2 AS v FROM edges), m AS (SELECT count(*) AS m FROM e), p AS (SELECT left(u, 2) AS cu, left(v, 2) AS cv FROM e),
+d AS (SELECT c, count(*) AS d FROM (SELECT cu AS c FROM p UNION ALL SELECT cv FROM p) GROUP BY 1), i AS (SELECT cu AS c, count(*) AS l FROM p WHERE cu = cv GROUP BY 1)
+SELECT round(sum(coalesce(l, 0) / m - (d / (2 * m)) ^ 2), 6) AS modularity FROM d LEFT JOIN i USING (c), m""")
+def modularity(v):
+    ids = v.links.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("community_id", F.substring("id", 1, 2))
+    return gr.modularity(v.links, ids).select(F.round("modularity", 6).alias("modularity"))
+
+
+@query(("edges",), f""", e AS (SELECT DISTINCT fam1 AS u, fam2 AS v FROM edges WHERE event_time <= TIMESTAMP '{EARLY}'), near AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+reach AS (SELECT u AS seed, v AS f FROM near UNION SELECT a.u, b.v FROM near a JOIN near b ON a.v = b.u), pairs AS (SELECT DISTINCT least(seed, f) AS fam1, greatest(seed, f) AS fam2 FROM reach WHERE seed LIKE 's%' AND seed <> f)
+SELECT fam1, fam2 FROM pairs WHERE (fam1, fam2) NOT IN (SELECT u, v FROM e)""")
+def unchecked_pairs(v):
+    known = v.edges.where(F.col("event_time") <= F.lit(EARLY).cast("timestamp"))
+    seeds = known.select(F.col("fam2").alias("family_id")).distinct()
+    reach = explore(known.select(F.col("fam1").alias("u"), F.col("fam2").alias("v")), seeds, 2)
+    return dr.unchecked_pairs(seeds, reach, known, v.spark.createDataFrame([], "fam1 string, fam2 string"))
+
+
+@query()
+def remembered_documents(v):
+    none = v.spark.createDataFrame([], "family_id string, name string")
+    return remember(v.table("documents"), none, NOW)[0].select("family_id", "name")
+
+
+@query((), "SELECT doc_id, CASE WHEN contains(lower(text), 'ander') THEN substr(text, greatest(strpos(lower(text), 'ander') - 20, 1), 41 - greatest(21 - strpos(lower(text), 'ander'), 0) - 1) ELSE substr(text, 1, 40) END AS hit FROM documents")
+def context_snippets(v):
+    return v.table("documents").select("doc_id", tx.snippet("text", ["ander"], 20).alias("hit"))
+
+
+@query(("relations",), "SELECT id, length(content) >= 8 AS valid FROM relations")
+def valid_relation_contents(v):
+    return v.relations.select("id", va.valid_relation_content("content").alias("valid"))
+
+
+@query((), "SELECT event_type AS strategy, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1")
+def metric_summary(v):
+    return st.metric_summary(v.table("events").withColumnRenamed("event_type", "strategy"), ["strategy"], "value").select("strategy", "n", "mean", "std")
+
+
 FLAGSHIP = "hub_entities"
