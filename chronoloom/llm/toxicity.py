@@ -395,9 +395,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars:
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(fold(F.col("doc_id")) != 0)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    short = rows.where(F.length("text") <= sample_chars).join(known, "doc_id").withColumn("spot", F.md5(F.col("doc_id").cast("string")))
-    parts = [short.where(F.col("toxic") == t).orderBy("spot", "text").limit(n) for t, n in ((1, sample), (0, 2 * sample))]
-    got = sorted((r.doc_id, r.text, r.toxic) for r in parts[0].unionAll(parts[1]).collect())
+    short = rows.where(F.length("text") <= sample_chars)
+    # Ids are chosen first, without their texts; only the chosen texts move.
+    named = short.select("doc_id").join(known, "doc_id").distinct().withColumn("spot", F.md5(F.col("doc_id").cast("string")))
+    parts = [named.where(F.col("toxic") == t).orderBy("spot").limit(n) for t, n in ((1, sample), (0, 2 * sample))]
+    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in parts[0].unionAll(parts[1]).select("doc_id", "toxic").collect()], "doc_id long, toxic int")
+    texts = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    got = sorted((r.doc_id, r.text, r.toxic) for r in texts.collect())
     return train([t for _, t, _ in got], [k for _, _, k in got], epochs)
 
 
