@@ -154,17 +154,18 @@ def _share_sql(name: str, nodes: str, parent: str, level: str) -> str:
 {name} AS (SELECT *, CASE WHEN is_short THEN room ELSE least(room, (lft * run) // allw - (lft * (run - weight)) // allw) END AS budget FROM {name}5)"""
 
 
-def _oracle() -> str:
+def oracle(budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS) -> str:
+    """The copies of every document in SQL, over a table ``documents``."""
     case = lambda level: "CASE " + " ".join(f"WHEN {level} = '{k}' THEN {v}" for k, v in WEIGHTS[level].items()) + " ELSE 1 END" if WEIGHTS[level] else "1"
     sums = "sum(tokens)::BIGINT AS tokens, sum(capacity)::BIGINT AS capacity"
-    one = f"SELECT domain, {sums}, (SELECT least(sum(capacity), (SELECT sum(tokens) FROM leaves)::BIGINT * {round(BUDGET_SHARE * 1000)} // 1000) FROM leaves)::BIGINT AS given, {case('domain')} AS weight FROM leaves GROUP BY domain"
+    one = f"SELECT domain, {sums}, (SELECT least(sum(capacity), (SELECT sum(tokens) FROM leaves)::BIGINT * {round(budget_share * 1000)} // 1000) FROM leaves)::BIGINT AS given, {case('domain')} AS weight FROM leaves GROUP BY domain"
     two = f"SELECT a.domain, a.language, a.tokens, a.capacity, p.budget::BIGINT AS given, {case('language').replace('language =', 'a.language =')} AS weight FROM (SELECT domain, language, {sums} FROM leaves GROUP BY ALL) a JOIN l1 p USING (domain)"
     three = "SELECT a.domain, a.language, a.source, a.tokens, a.capacity, p.budget::BIGINT AS given, 1 AS weight FROM leaves a JOIN l2 p USING (domain, language)"
     return f"""
 WITH base AS (SELECT doc_id, 'd' || (coalesce(try_cast(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS BIGINT), 0) % 3)::VARCHAR AS domain,
   coalesce(lang, chr(0)) AS language, coalesce(source, chr(0)) AS source, coalesce(doc_id::VARCHAR, '') AS ident,
   len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents),
-leaves AS (SELECT domain, language, source, sum(n_tokens)::BIGINT AS tokens, (sum(n_tokens) * {MAX_EPOCHS})::BIGINT AS capacity FROM base GROUP BY ALL),
+leaves AS (SELECT domain, language, source, sum(n_tokens)::BIGINT AS tokens, (sum(n_tokens) * {max_epochs})::BIGINT AS capacity FROM base GROUP BY ALL),
 {_share_sql("l1", one, "1", "domain")}, {_share_sql("l2", two, "domain", "language")}, {_share_sql("l3", three, "domain, language", "source")},
 plan AS (SELECT domain, language, source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs, budget - CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END * tokens AS rest FROM l3),
 placed AS (SELECT base.*, epochs, rest, md5(concat_ws('|', '{SEED}', epochs::BIGINT::VARCHAR, ident)) AS spot FROM base JOIN plan USING (domain, language, source)),
@@ -172,4 +173,4 @@ run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, source ORDE
 SELECT doc_id, domain, language, source, n_tokens, (epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies FROM run"""
 
 
-ORACLE = _oracle()
+ORACLE = oracle()

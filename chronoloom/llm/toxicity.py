@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
 MOST_WORDS, BUCKETS, GRAMS = 20_000, 1 << 15, (3, 4, 5)
 SAMPLE, SAMPLE_CHARS = 1000, 20_000
 EPOCHS, BATCH, RATE, SEED = 5, 128, 0.01, 11
+#: Steps that training takes at least, in several passes over a small sample.
+LEAST_STEPS = 300
 FOLDS = 5
 #: Distinct words whose inputs a worker keeps.
 CACHE_WORDS = 150_000
@@ -301,7 +304,8 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
         quiet = other[y == 0]
         picked = np.concatenate([worst, quiet])
         wanted = np.concatenate([y, np.zeros(len(quiet), np.float32)])
-        order = rng.permutation(len(picked))
+        passes = -(-LEAST_STEPS * BATCH // (epochs * len(picked)))
+        order = np.concatenate([rng.permutation(len(picked)) for _ in range(max(1, passes))])
         for a in range(0, len(order), BATCH):
             use = picked[order[a : a + BATCH]]
             target = wanted[order[a : a + BATCH]]
@@ -416,32 +420,44 @@ def _scorer(name: str, sent) -> Scorer:
     return _scorers[name]
 
 
-def scored_rows(docs: DataFrame, model: dict, keep: bool = False) -> DataFrame:
-    """``doc_id`` and ``score`` of every row, or all columns of the rows and ``score``."""
+def _in_parts(scorer: Scorer, texts: list[str | None], size: int = 2_000_000) -> np.ndarray:
+    """Scores of texts, some characters at a time."""
+    out, a = np.empty(len(texts)), 0
+    while a < len(texts):
+        b, total = a, 0
+        while b < len(texts) and (b == a or total + len(texts[b] or "") < size):
+            total += len(texts[b] or "")
+            b += 1
+        out[a:b] = scorer.score(texts[a:b])
+        a = b
+    return out
+
+
+def scored_rows(docs: DataFrame, model: dict) -> DataFrame:
+    """``doc_id`` and ``score`` of every row."""
     sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = _scorer(name, sent)
         for pdf in batches:
-            texts = pdf["text"].tolist()
-            scores, a = np.empty(len(texts)), 0
-            while a < len(texts):
-                b, size = a, 0
-                while b < len(texts) and (b == a or size + len(texts[b] or "") < 2_000_000):
-                    size += len(texts[b] or "")
-                    b += 1
-                scores[a:b] = own.score(texts[a:b])
-                a = b
-            pdf["score"] = scores
-            yield pdf if keep else pdf[["doc_id", "score"]]
-
-    if keep:
-        schema = docs.schema.simpleString()[7:-1]
-        return docs.mapInPandas(run, f"{schema},score:double")
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": _in_parts(own, pdf["text"].tolist())})
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInPandas(run, "doc_id long, score double")
 
 
+def without_toxic(docs: DataFrame, model: dict, cut: float = 0.5) -> DataFrame:
+    """The rows that score below the cut, with all their columns as they are."""
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _scorer(name, sent)
+        for batch in batches:
+            yield batch.filter(pa.array(_in_parts(own, batch.column("text").to_pylist()) < cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` of every document."""
     rows = scored_rows(docs, fit(docs, labels, **options))
