@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyarrow import fs as pafs
@@ -21,6 +23,36 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
 
 
+_kept: dict[str, object] = {}
+
+
+def trim() -> None:
+    """Gives freed memory back to the system; worker processes live on from stage to stage."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """One object for each worker process that stays from task to task; another name takes its place."""
+    if name not in _kept:
+        _kept.clear()
+        trim()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A partition function after which freed memory goes back."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        trim()
+
+    return tidied
+
+
 def ragged_take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices that gather the runs ``[start, start + length)`` one after another."""
     lengths = np.asarray(lengths, np.int64)

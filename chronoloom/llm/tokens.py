@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import open_fs, ragged_take, run_hashes
+from chronoloom.llm.common import kept, open_fs, ragged_take, run_hashes, tidy
 from chronoloom.plans.materialize import materialize, new_folder
 
 MAGIC = b"RPTOKEN1"
@@ -36,7 +36,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: First nonterminal; symbols stay below 2**16, so a symbol takes two bytes.
 BASE, LIMIT = 50_257, 1 << 16
 #: Ids of one shard, symbols between sampled offsets, words that an encoder keeps.
-SHARD_IDS, SAMPLE_EVERY, CACHE_WORDS = 3_000_000, 256, 800_000
+SHARD_IDS, SAMPLE_EVERY, CACHE_WORDS = 2_000_000, 256, 400_000
 MANIFEST = "part int, seq int, path string, docs long, ids long, symbols long, rules long"
 
 
@@ -178,14 +178,9 @@ class WordEncoder:
         return self.number[at]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One encoder for each worker process, whose words stay known from task to task."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return kept(f"encoder:{path}", lambda: WordEncoder(path))
 
 
 def compress(ids: np.ndarray, rounds: int = 3, least: int = 24, per_round: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -370,7 +365,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInPandas(write, MANIFEST), "token-manifest")
+    return materialize(ordered.mapInPandas(tidy(write), MANIFEST), "token-manifest")
 
 
 def with_base(manifest: DataFrame) -> DataFrame:
@@ -405,7 +400,7 @@ def read_tokens(manifest: DataFrame, folder: str, with_ids: bool = False) -> Dat
                 yield out
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return with_base(manifest).select("path", "base").repartition("path").mapInPandas(read, schema)
+    return with_base(manifest).select("path", "base").repartition("path").mapInPandas(tidy(read), schema)
 
 
 def token_round_trip(docs: DataFrame, **options) -> DataFrame:

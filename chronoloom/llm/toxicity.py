@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import ragged_take
+from chronoloom.llm.common import kept, ragged_take, tidy
 from chronoloom.llm.decontaminate import words_of
 
 WINDOW, STRIDE = 32, 16
@@ -42,7 +42,7 @@ EPOCHS, BATCH, RATE, SEED = 5, 128, 0.01, 11
 LEAST_STEPS = 300
 FOLDS = 5
 #: Distinct words whose inputs a worker keeps.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 PAD, UNKNOWN = 0, 1
 
 
@@ -238,7 +238,7 @@ def _grid(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.
     return np.where(inside, ids[at] if len(ids) else 0, PAD), inside.astype(np.float32)
 
 
-def logits(net: Network, gates: np.ndarray, ids: np.ndarray, counts: list[int], block: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+def logits(net: Network, gates: np.ndarray, ids: np.ndarray, counts: list[int], block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """Logit and text of every window; ``gates`` holds both directions' input gates of each word."""
     starts, lengths, owner = _layout(counts)
     out = np.empty(len(starts), np.float32)
@@ -409,15 +409,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars:
     return train([t for _, t, _ in got], [k for _, _, k in got], epochs)
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def _scorer(name: str, sent) -> Scorer:
     """One scorer for each worker process, whose words stay known from task to task."""
-    if name not in _scorers:
-        _scorers.clear()
-        _scorers[name] = Scorer(sent.value)
-    return _scorers[name]
+    return kept(f"toxicity:{name}", lambda: Scorer(sent.value))
 
 
 def _in_parts(scorer: Scorer, texts: list[str | None], size: int = 2_000_000) -> np.ndarray:
@@ -443,7 +437,7 @@ def scored_rows(docs: DataFrame, model: dict) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": _in_parts(own, pdf["text"].tolist())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, score double")
+    return rows.mapInPandas(tidy(run), "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, model: dict, cut: float = 0.5) -> DataFrame:
@@ -455,7 +449,7 @@ def without_toxic(docs: DataFrame, model: dict, cut: float = 0.5) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_in_parts(own, batch.column("text").to_pylist()) < cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
