@@ -106,10 +106,10 @@ def around_time(v):
     return tm.around(v.entities, MID, 7200).select("id", "relative_position")
 
 
-@query(("entities",), """, t AS (SELECT family_id, processed_time, id FROM entities WHERE id = 'e5000')
+@query(("entities",), """, t AS (SELECT family_id, processed_time, id FROM entities WHERE id = 'e500')
 SELECT e.id FROM entities e JOIN t USING (family_id) WHERE (e.processed_time, e.id) <= (t.processed_time, t.id)""")
 def versions_up_to(v):
-    return tm.versions_up_to(v.entities, "e5000").select("id")
+    return tm.versions_up_to(v.entities, "e500").select("id")
 
 
 @query(("entities", "episodes"), """, points AS (SELECT 'u' || user_id AS family_id, ts + INTERVAL 1 HOUR AS at FROM events)
@@ -664,15 +664,15 @@ def text_hashes(v):
 # --- more operators ---------------------------------------------------------
 
 
-@query(("entities",), """, t AS (SELECT processed_time AS pt, id AS tid FROM entities WHERE id = 'e5000'), own AS (SELECT e.id, CASE WHEN e.id = tid THEN 0 WHEN (e.processed_time, e.id) < (pt, tid) THEN 1 ELSE 2 END AS place
-FROM entities e, t WHERE e.family_id = (SELECT family_id FROM entities WHERE id = 'e5000')), r AS (SELECT 'g' || (event_id % 7) AS family_id, 'e' || event_id AS eid FROM events)
+@query(("entities",), """, t AS (SELECT processed_time AS pt, id AS tid FROM entities WHERE id = 'e500'), own AS (SELECT e.id, CASE WHEN e.id = tid THEN 0 WHEN (e.processed_time, e.id) < (pt, tid) THEN 1 ELSE 2 END AS place
+FROM entities e, t WHERE e.family_id = (SELECT family_id FROM entities WHERE id = 'e500')), r AS (SELECT 'g' || (event_id % 7) AS family_id, 'e' || event_id AS eid FROM events)
 SELECT r.family_id, CASE min(place) WHEN 0 THEN 'current' WHEN 1 THEN 'inherited' ELSE 'future' END AS scope FROM r JOIN own ON own.id = r.eid GROUP BY 1""")
 def relation_scope(v):
     ev = v.table("events")
     own = v.entities
-    family = own.where("id = 'e5000'").select("family_id").first()[0]
+    family = own.where("id = 'e500'").select("family_id").first()[0]
     edges = ev.select(F.concat(F.lit("x"), "event_id").alias("id"), F.concat(F.lit("g"), F.col("event_id") % 7).alias("family_id"), F.concat(F.lit("e"), "event_id").alias("entity1_id"), F.lit("none").alias("entity2_id"), F.col("ts").cast("timestamp").alias("processed_time"))
-    return re.scope_tags(edges, own, family, "e5000").select("family_id", "scope")
+    return re.scope_tags(edges, own, family, "e500").select("family_id", "scope")
 
 
 @query(("things", "relations"), f"SELECT id FROM things WHERE id NOT IN (SELECT entity1_id FROM relations WHERE event_time <= TIMESTAMP '{EARLY}' UNION SELECT entity2_id FROM relations WHERE event_time <= TIMESTAMP '{EARLY}') ORDER BY id DESC LIMIT 25")
@@ -688,9 +688,9 @@ def invalidated_families(v):
     return wr.invalidate(v.relations, hit, NOW).select("id", F.coalesce(F.unix_micros("invalid_at"), F.lit(-1)).alias("invalid_at"))
 
 
-@query(("entities",), "SELECT id, CASE WHEN id = 'e5000' THEN 'new' ELSE family_id END AS family_id FROM entities")
+@query(("entities",), "SELECT id, CASE WHEN id = 'e500' THEN 'new' ELSE family_id END AS family_id FROM entities")
 def split_version(v):
-    return wr.split_version(v.entities, "e5000", "new").select("id", "family_id")
+    return wr.split_version(v.entities, "e500", "new").select("id", "family_id")
 
 
 @query(("relations",), "SELECT id, replace(entity1_id, 'p1', 'p1') AS entity1_id, CASE WHEN entity2_id = 's1' THEN 's2' ELSE entity2_id END AS entity2_id FROM relations")
