@@ -255,3 +255,17 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
             })
 
     return found.mapInPandas(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+#: The same answer in SQL, over tables ``documents`` and ``benchmark``.
+ORACLE = f"""
+WITH lowered AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+wins AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM (SELECT *, least(len(w), {WINDOW}) AS size FROM items WHERE len(w) > 0))),
+sizes AS (SELECT DISTINCT size FROM wins),
+grams AS (SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM lowered, sizes WHERE len(w) >= size)),
+hits AS (SELECT doc_id, i, size, item_id FROM grams JOIN wins USING (size, g)),
+hit AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hits, range(0, {WINDOW}) t(k) WHERE k < size GROUP BY 1),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS xs FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hits WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(xs, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM lowered LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""

@@ -67,5 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op3_hierarchical_mixing": mixing.ORACLE,
+    "op4_inverted_index_decontamination": decontaminate.ORACLE,
     "op7_risk_controlled_quality": quality.ORACLE,
+    "op10_difference_cover_dedup": substrings.ORACLE,
 }

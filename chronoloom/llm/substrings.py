@@ -166,3 +166,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     return with_runs(rows, covered_words(rows, window, period)).select("doc_id", "body", "starts", "ends").mapInPandas(cut, schema)
+
+
+#: The same answer in SQL, over a table ``documents``.
+ORACLE = f"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+wins AS (SELECT doc_id, i, md5(array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS g FROM (SELECT *, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM split WHERE len(w) >= {WINDOW})),
+again AS (SELECT doc_id, i FROM wins QUALIFY count(*) OVER (PARTITION BY g) > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM again, range(0, {WINDOW}) t(k)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS text FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM split) ANTI JOIN gone USING (doc_id, p) GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM split LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
