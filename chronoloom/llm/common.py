@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,7 @@ _kept: dict[str, object] = {}
 
 def trim() -> None:
     """Gives freed memory back to the system; worker processes live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
@@ -43,16 +45,28 @@ def kept(name: str, make: Callable[[], object]) -> object:
     return _kept[name]
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A partition function after which freed memory goes back."""
+def tidy(run: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[[Iterator], Iterator]:
+    """A partition function after which freed memory goes back; one that keeps nothing drops what others kept."""
 
     def tidied(batches: Iterator) -> Iterator:
+        if not keeps and _kept:
+            _kept.clear()
+            trim()
         yield from run(batches)
         trim()
 
     return tidied
 
 
+def in_small_batches(rows: DataFrame, most: int = 1000) -> DataFrame:
+    """Rows of long texts go to Python a thousand at a time, which bounds both sides' buffers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = rows.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= most:
+        conf.set(key, str(most))
+    return rows
+
+
 def ragged_take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices that gather the runs ``[start, start + length)`` one after another."""
     lengths = np.asarray(lengths, np.int64)

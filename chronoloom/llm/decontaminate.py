@@ -30,7 +30,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import merge_runs, tidy
+from chronoloom.llm.common import in_small_batches, merge_runs, tidy
 from chronoloom.plans.materialize import materialize
 
 WINDOW = 10
@@ -92,7 +92,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
             yield pd.DataFrame([_index_block(ids, words, ends)])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return materialize(rows.mapInPandas(tidy(build), INDEX), "postings")
+    return materialize(in_small_batches(rows).mapInPandas(tidy(build), INDEX), "postings")
 
 
 class Phrases:

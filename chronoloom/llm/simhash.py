@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import tidy
+from chronoloom.llm.common import in_small_batches, tidy
 from chronoloom.operators.components import connected_components
 from chronoloom.plans.materialize import materialize
 
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": np.array([fingerprint(t, shingle) for t in pdf["text"]], np.int64)})
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInPandas(tidy(run), "doc_id long, fp long")
+    return in_small_batches(rows).mapInPandas(tidy(run), "doc_id long, fp long")
 
 
 def block_masks(distance: int) -> list[int]:
