@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronoloom.llm import decontaminate, mixing, simhash, tokens, toxicity
 from chronoloom.llm.common import table
@@ -23,22 +24,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates.
+def numbered(docs: DataFrame) -> DataFrame:
+    """Adds ``_row``: the id, or a written row number where ids repeat or are null."""
+    twice = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    if twice.isEmpty():
+        return docs.withColumn("_row", F.col("doc_id").cast("long"))
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
 
-    Rows that repeat an id are one document; rows without an id are compared with
-    each other by their whole text only.
-    """
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row, that of the smallest id, of each group of near-duplicates; rows without an id come last."""
+    rows = numbered(docs)
+    groups = simhash.near_duplicates(rows, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    named = groups.join(rows.select("_row", "doc_id"), "_row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")).select("first._row")
+    return rows.join(first.hint("shuffle_hash"), "_row", "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = materialize(found.where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """Rows that hold no window of a benchmark item."""
+    rows = numbered(docs)
+    found = decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"), doc_id="_row")
+    bad = materialize(found.where("contaminated").select(F.col("doc_id").alias("_row")), "contaminated")
+    return rows.join(bad, "_row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

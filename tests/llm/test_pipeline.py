@@ -58,3 +58,17 @@ def test_run_and_odd_rows(spark, sf0001, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{sf0001}/{t}.parquet").write.parquet(f"{empty}/{t}.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_rows_of_null_and_repeated_ids_are_judged_each(spark, tmp_path):
+    word = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    leak = word("leak", 12)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = [(None, word("a", 300)), (None, word("b", 300)), (5, word("c", 300)), (5, word("d", 300)), (6, word("e", 300))]
+    dirty = [(None, leak), (5, word("f", 200) + " " + leak)]
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows(corpus_pipeline.drop_contaminated(spark, df(clean + dirty), str(tmp_path)), "doc_id", "text") == sorted(clean, key=repr)
+    near = [(None, word("a", 300) + " end"), (9, word("e", 300))]
+    assert rows(corpus_pipeline.drop_near_duplicates(spark, df(clean), ""), "doc_id", "text") == sorted(clean, key=repr)
+    out = rows(corpus_pipeline.drop_near_duplicates(spark, df(clean + near), ""), "doc_id", "text")
+    assert len(out) == len(clean) and (6, word("e", 300)) in out and (9, word("e", 300)) not in out
