@@ -5,7 +5,8 @@ disguises (homoglyphs, full-width forms, spelled digits, bracketed or spelled
 "at" and "dot", zero-width characters) and keeps, for every character it
 writes, the run of source characters it stands for.  Identifiers found in the
 rewritten text are mapped back; those that rest on a rewritten character and
-touch no base span are added.  Whole texts are scanned, one row at a time.
+lie in no base span of their kind are added, also where they overlap one.
+Whole texts are scanned, one row at a time.
 
 Defined cases: a null text is an empty one; spans count code points, ends
 exclusive; a failing match is dropped without a retry; rows that repeat an id
@@ -209,13 +210,11 @@ def spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     if new is None:
         return base, base
     more = list(base)
-    taken = [(a, b) for _, a, b in base]
     for kind, a, b in find(new.text):
         if any(new.changed[a:b]):
             start, end = new.starts[a], max(new.ends[a:b])
-            if all(end <= x or y <= start for x, y in taken):
+            if not any(k == kind and x <= start and end <= y for k, x, y in more):
                 more.append((kind, start, end))
-                taken.append((start, end))
     more.sort(key=lambda x: (KINDS.index(x[0]), x[1]))
     return base, more
 
@@ -225,12 +224,18 @@ def written(found: list[tuple[str, int, int]]) -> str:
 
 
 def redact(text: str | None) -> str:
-    """The text with every span replaced by its kind."""
-    text, at, out = text or "", 0, []
+    """The text with every union of overlapping spans replaced by the kind of its longest span."""
+    text, runs = text or "", []
     for kind, a, b in sorted(spans(text)[1], key=lambda x: (x[1], -x[2])):
-        if a >= at:
-            out += [text[at:a], f"<{kind}>"]
-            at = b
+        if runs and a < runs[-1][1]:
+            runs[-1][1] = max(b, runs[-1][1])
+            runs[-1][2] = max(runs[-1][2], (b - a, kind), key=lambda x: x[0])
+        else:
+            runs.append([a, b, (b - a, kind)])
+    at, out = 0, []
+    for a, b, (_, kind) in runs:
+        out += [text[at:a], f"<{kind}>"]
+        at = b
     return "".join([*out, text[at:]])
 
 

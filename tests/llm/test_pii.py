@@ -60,3 +60,26 @@ def test_base_spans_of_whole_table_and_odd_rows(spark, sf001):
 def test_disguises_map_back_to_their_source(text, found):
     base, every = pii.spans(text)
     assert base == [] and [(k, text[a:b]) for k, a, b in every] == found
+
+
+@pytest.mark.parametrize(
+    ("kind", "whole"),
+    [
+        ("email", "jоhn@example.com"),
+        ("email", "anna@example.cоm"),
+        ("email", "jo\u200bhn@example.com"),
+        ("email", "john [dot] doe@example.com"),
+        ("email", "anna@mail.example [dot] com"),
+        ("phone", "+44 20 7946 09５８"),
+    ],
+)
+def test_disguise_inside_a_plain_identifier(kind, whole):
+    text = f"to {whole} now"
+    base, every = pii.spans(text)
+    assert set(base) <= set(every) and (kind, 3, 3 + len(whole)) in every
+    assert pii.redact(text) == f"to <{kind}> now"
+
+
+def test_a_sign_beside_an_identifier_adds_nothing():
+    for text in ("john@example.com\u200b", "о john@example.com о", "john.one@example.com"):
+        assert pii.spans(text)[0] == pii.spans(text)[1] != []
