@@ -47,10 +47,6 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-#: A run of spelled digits; fewer than this many are ordinary words.
-LEAST_SPELLED = 7
-_SPELLED = re.compile(rf"(?<!\w)(?:(?:plus[\s-]+)?(?:(?:{_WORDS})|[0-9])(?:[\s,-]+(?:{_WORDS}|[0-9])(?!\w)){{{LEAST_SPELLED - 1},}})(?!\w)", re.I)
-_DIGIT_WORD = re.compile(rf"(?<!\w)(plus)(?!\w)|(?<!\w)({_WORDS})(?!\w)|([0-9])|([\s,-]+)", re.I)
 _OPEN, _CLOSE = r"[\(\[\{<]", r"[\)\]\}>]"
 _AT = rf"(?:[ \t]*{_OPEN}[ \t]*(?:at|@|arroba|chez|bei)[ \t]*{_CLOSE}[ \t]*)"
 _DOT = rf"(?:[ \t]*{_OPEN}[ \t]*(?:dot|\.|punto|point|punkt)[ \t]*{_CLOSE}[ \t]*)"
@@ -64,6 +60,12 @@ _ADDRESS = re.compile(
 )
 _PIECE = re.compile(rf"({_AT}|{_BARE_AT}|[ \t]+@[ \t]+)|({_DOT}|{_BARE_DOT})", re.I)
 _DOTTED_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:{_DOT}|{_BARE_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+#: A stretch that an IP address, card or phone could fill once its digit words and spelled dots are rewritten.
+_WORD_DIGIT = re.compile(rf"(?<!\w)(?:{_WORDS}|plus)(?!\w)", re.I)
+_STRETCH = re.compile(rf"(?:[0-9+]|(?<!\w)(?:{_WORDS}|plus)(?!\w))(?:[0-9+().\s,-]|{_OPEN}[ \t]*(?:dot|\.|punto|point|punkt)[ \t]*{_CLOSE}|(?<!\w)(?:{_WORDS}|plus|dot|punto|point|punkt)(?!\w))*", re.I)
+_DIGIT_TOKEN = re.compile(rf"(?<!\w)(plus)(?!\w)|(?<!\w)({_WORDS})(?!\w)|([0-9]+)|([\s,-]+)|(\w+|[^\w\s,-])", re.I)
+#: An IP address holds at least this many digits, a card or phone more.
+LEAST_DIGITS = 4
 _BRACKETED = re.compile(rf"{_OPEN}[ \t]*(?:at|@|arroba|chez|bei|dot|\.|punto|point|punkt)[ \t]*{_CLOSE}", re.I)
 _BARE = re.compile(_BARE_DOT, re.I)
 _HIDDEN = frozenset("​‌‍⁠﻿­")
@@ -127,15 +129,6 @@ class Rewritten:
         self.starts, self.ends, self.changed = s + self.starts[at:], e + self.ends[at:], c + self.changed[at:]
 
 
-_TOKENS = frozenset([*DIGIT_WORDS, *"0123456789"])
-_APART = str.maketrans(",-", "  ")
-
-
-def _may_spell(text: str) -> bool:
-    """False if too few digit words stand free in the text for any run of them (its first and last may touch other signs)."""
-    return sum(map(_TOKENS.__contains__, text.lower().translate(_APART).split())) >= LEAST_SPELLED - 2
-
-
 def _may_disguise(text: str) -> bool:
     """False if no part of a disguised "at" or "dot" stands in the text."""
     if any(c in text for c in "([{<") and _BRACKETED.search(text):
@@ -166,7 +159,7 @@ def _plain_glyphs(text: str) -> list[tuple[int, int, str]]:
 
 
 def deobfuscate(text: str) -> Rewritten | None:
-    """The text with disguises rewritten, or none if it has none."""
+    """The text with disguised signs, "at" and "dot" rewritten, or none if it has none."""
     out = None
 
     def apply(edits: list[tuple[int, int, str]]) -> None:
@@ -178,27 +171,83 @@ def deobfuscate(text: str) -> Rewritten | None:
     if not text.isascii():
         apply(_plain_glyphs(text))
     now = out.text if out else text
-    edits = []
-    for m in _SPELLED.finditer(now) if _may_spell(now) else ():
-        if any(w[2] for w in _DIGIT_WORD.finditer(m[0])):
-            for w in _DIGIT_WORD.finditer(m[0]):
-                new = "+" if w[1] else DIGIT_WORDS[w[2].lower()] if w[2] else w[3] if w[3] else ""
-                if new != w[0]:
-                    edits.append((m.start() + w.start(), m.start() + w.end(), new))
-    apply(edits)
-    now = out.text if out else text
     if _may_disguise(now):
-        spots = {}
-        for pattern in (_ADDRESS, _DOTTED_IP):
-            for m in pattern.finditer(now):
-                for w in _PIECE.finditer(now, m.start(), m.end()):
-                    spots[w.start()] = (w.start(), w.end(), "@" if w[1] else ".")
-        edits, last = [], 0
-        for a in sorted(spots):
-            if a >= last and now[a : spots[a][1]] != spots[a][2]:
-                edits.append(spots[a])
-                last = spots[a][1]
-        apply(edits)
+        apply(_signs(now, _ADDRESS, _DOTTED_IP))
+    return out
+
+
+def _signs(text: str, *patterns: re.Pattern) -> list[tuple[int, int, str]]:
+    """Edits of the disguised "at" and "dot" in what the patterns match."""
+    spots = {}
+    for pattern in patterns:
+        for m in pattern.finditer(text):
+            for w in _PIECE.finditer(text, m.start(), m.end()):
+                spots[w.start()] = (w.start(), w.end(), "@" if w[1] else ".")
+    edits, last = [], 0
+    for a in sorted(spots):
+        if a >= last and text[a : spots[a][1]] != spots[a][2]:
+            edits.append(spots[a])
+            last = spots[a][1]
+    return edits
+
+
+def _digit_edits(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]]:
+    """Edits that write digit words as digits, and the runs of single digits that they join.
+
+    Between single digits of a run that holds a word, separators go; beside a
+    longer group one blank stands for them.
+    """
+    tokens = [(m.lastindex, m.start(), m.end()) for m in _DIGIT_TOKEN.finditer(text)]
+    tokens = [(2 if k == 3 and b - a == 1 else k, a, b) for k, a, b in tokens]
+    edits, runs, i = [], [], 0
+    while i < len(tokens):
+        kind, a, b = tokens[i]
+        following = [k for k, _, _ in tokens[i + 1 : i + 3]]
+        if kind == 1 and following[:1] == [4] and following[1:] in ([2], [3]):
+            edits += [(a, b, "+"), (tokens[i + 1][1], tokens[i + 1][2], "")]
+            i += 2
+            if following[1] == 3:
+                continue
+        elif kind != 2:
+            if kind == 4 and b - a > 1 and i and tokens[i - 1][0] in (2, 3) and following[:1] in ([2], [3]):
+                edits.append((a, b, " "))
+            i += 1
+            continue
+        last = i
+        while last + 2 < len(tokens) and tokens[last + 1][0] == 4 and tokens[last + 2][0] == 2:
+            last += 2
+        run = tokens[i : last + 1]
+        if any(k == 2 and not text[x].isdigit() for k, x, _ in run):
+            edits += [(x, y, "" if k == 4 else DIGIT_WORDS.get(text[x:y].lower(), text[x:y])) for k, x, y in run]
+            runs.append((a, run[-1][2]))
+        i = last + 1
+    return [e for e in edits if text[e[0] : e[1]] != e[2]], runs
+
+
+def _spelled(text: str) -> list[tuple[str, int, int]]:
+    """Identifiers of digits in which a digit is spelled; each run of single digits is also read alone."""
+    out: list[tuple[str, int, int]] = []
+
+    def read(a: int, b: int, alone: bool) -> None:
+        part = text[a:b]
+        edits, runs = _digit_edits(part)
+        if not edits:
+            return
+        new = Rewritten(part)
+        new.replace(edits)
+        new.replace(_signs(new.text, _DOTTED_IP))
+        for kind, x, y in find(new.text):
+            if any(new.changed[x:y]):
+                out.append((kind, a + new.starts[x], a + max(new.ends[x:y])))
+        for x, y in runs if not alone else ():
+            if (x, y) != (0, len(part)):
+                read(a + x, a + y, True)
+
+    if _WORD_DIGIT.search(text):
+        for m in _STRETCH.finditer(text):
+            words = sum(1 for _ in _WORD_DIGIT.finditer(m[0]))
+            if words and words + len(_digits(m[0])) >= LEAST_DIGITS:
+                read(m.start(), m.end(), False)
     return out
 
 
@@ -207,14 +256,23 @@ def spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     text = text or ""
     base = find(text)
     new = deobfuscate(text)
-    if new is None:
+    spelled = _spelled(new.text if new else text)
+    if new is None and not spelled:
         return base, base
     more = list(base)
-    for kind, a, b in find(new.text):
+
+    def add(kind: str, start: int, end: int) -> None:
+        if not any(k == kind and x <= start and end <= y for k, x, y in more):
+            more.append((kind, start, end))
+
+    for kind, a, b in find(new.text) if new else ():
         if any(new.changed[a:b]):
-            start, end = new.starts[a], max(new.ends[a:b])
-            if not any(k == kind and x <= start and end <= y for k, x, y in more):
-                more.append((kind, start, end))
+            add(kind, new.starts[a], max(new.ends[a:b]))
+    for kind, a, b in spelled:
+        if new:
+            add(kind, new.starts[a], max(new.ends[a:b]))
+        else:
+            add(kind, a, b)
     more.sort(key=lambda x: (KINDS.index(x[0]), x[1]))
     return base, more
 

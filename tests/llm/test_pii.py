@@ -83,3 +83,31 @@ def test_disguise_inside_a_plain_identifier(kind, whole):
 def test_a_sign_beside_an_identifier_adds_nothing():
     for text in ("john@example.com\u200b", "о john@example.com о", "john.one@example.com"):
         assert pii.spans(text)[0] == pii.spans(text)[1] != []
+
+
+@pytest.mark.parametrize(
+    ("kind", "whole"),
+    [
+        ("ip", "one nine two dot one six eight dot one dot one zero"),
+        ("ip", "192 dot one six eight [dot] 1.one zero"),
+        ("card", "4111 1111 1111 one one one one"),
+        ("card", "four one one one 1111 1111, 1111"),
+        ("card", "fоur 1 1 1 1111 1111 1111"),
+        ("phone", "plus four nine 151 2345678"),
+        ("phone", "+49 151 234 five six seven eight"),
+        ("phone", "plus 49 151 234 five six seven eight"),
+    ],
+)
+def test_partly_spelled_digits(kind, whole):
+    text = f"at {whole} now"
+    base, every = pii.spans(text)
+    assert set(base) <= set(every) and (kind, 3, 3 + len(whole)) in every
+    assert pii.redact(text) == f"at <{kind}> now"
+
+
+def test_neighbours_do_not_hide_a_spelled_run():
+    run = "plus four four seven one two three four five six seven eight nine"
+    assert ("phone", 0, len(run)) in pii.spans(f"{run} 2024 12345")[1]
+    assert ("card", 0, 19) in pii.spans("４111 1111 1111 1111 one")[1]
+    for text in ("one dot two", "un deux trois 2024", "chapter four 4.1.2 six hundred", "two plus three plus 4 is nine", "five 300.1.1.one"):
+        assert pii.spans(text) == ([], [])
