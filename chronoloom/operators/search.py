@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions.text import bleu, core_name, cosine, jaccard, sequence_ratio
+from chronoloom.plans.materialize import materialize
 
 K1, B = 1.2, 0.75
 #: Rank constant and arm weights of the fusion.
@@ -69,13 +70,29 @@ def knn(rows: DataFrame, vector: list[float], key: str, column: str = "embedding
 
 
 def knn_join(queries: DataFrame, rows: DataFrame, key: str, query_key: str, limit: int, column: str = "embedding", max_queries: int = 10_000) -> DataFrame:
-    """Nearest rows of each query vector; a stated, size-checked query set against all rows."""
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError("split the query set into blocks")
-    sent = F.broadcast(queries.select(F.col(query_key), F.col(column).alias("_q")))
-    scored = rows.select(key, column).join(sent).select(query_key, key, F.round(cosine(column, "_q"), 6).alias("score"))
+    """Nearest rows of each query vector; more than ``max_queries`` of them go to all rows in blocks."""
+    asked = queries.select(F.col(query_key), F.col(column).alias("_q"))
     by = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
+
+    def top(scored: DataFrame) -> DataFrame:
+        return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
+
+    def nearest(block: DataFrame) -> DataFrame:
+        return top(rows.select(key, column).join(F.broadcast(block)).select(query_key, key, F.round(cosine(column, "_q"), 6).alias("score")))
+
+    if asked.limit(max_queries + 1).count() <= max_queries:
+        return nearest(asked)
+    dealt = materialize(asked.withColumn("_n", F.monotonically_increasing_id()), "knn-queries")
+    blocks, largest = 1, dealt.count()
+    while largest > max_queries:
+        blocks = max(2 * blocks, -(-largest // max_queries))
+        block = F.pmod(F.xxhash64("_n"), F.lit(blocks))
+        largest = dealt.groupBy(block.alias("_b")).count().agg(F.max("count")).first()[0]
+    every = None
+    for i in range(blocks):
+        part = materialize(nearest(dealt.where(block == i).drop("_n")).drop("rank"), "knn-block")
+        every = part if every is None else every.unionAll(part)
+    return top(every)
 
 
 def by_similarity(rows: DataFrame, query: str, threshold: float, limit: int, method: str = "jaccard", mode: str = "name_only", snippet: int = 50) -> DataFrame:

@@ -118,6 +118,14 @@ def test_candidates_match_all_pairs(spark):
         assert ("red ring", "red rings") in cut
 
 
+def test_knn_join_beyond_one_block(spark):
+    rows = spark.range(40).selectExpr("id as vec_id", "array(cos(id), sin(id), cos(3 * id)) as embedding")
+    queries = rows.where("vec_id < 23").withColumnRenamed("vec_id", "query_id")
+    want = sorted(map(tuple, search.knn_join(queries, rows, "vec_id", "query_id", 3).collect()))
+    got = sorted(map(tuple, search.knn_join(queries, rows, "vec_id", "query_id", 3, max_queries=5).collect()))
+    assert got == want and len(got) == 69
+
+
 def test_graph_store_round_trip_and_exports(spark, tmp_path):
     g, h = io.Graph(spark, f"file://{tmp_path}/g", "one"), io.Graph(spark, f"file://{tmp_path}/g", "two")
     assert g.read("entities").count() == 0
