@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.functions.text import char_grams, characters, core_name, cosine, jaccard, leading_name
+from chronoloom.functions.text import char_grams, characters, core_name, cosine, jaccard, leading_name, strip
 from chronoloom.operators.components import connected_components
 
 TITLE_SUFFIXES = "教授|博士|先生|女士|老师|同学|院士|主任|经理|总裁"
@@ -79,22 +79,32 @@ def resolve_ends(relations: DataFrame, names: DataFrame) -> DataFrame:
     return out.withColumn("reason", reason).withColumn("name1", F.coalesce("_name1", "name1")).withColumn("name2", F.coalesce("_name2", "name2")).drop("_row", "_name1", "_name2")
 
 
-def blocked_pairs(left: DataFrame, right: DataFrame, key: str = "name", most: int = 2000) -> DataFrame:
-    """Pairs of names that share a bigram of the left name that few right names hold, or a core name.
+def blocked_pairs(left: DataFrame, right: DataFrame, key: str = "name", most: int = 2000, keep: Column | None = None) -> DataFrame:
+    """Pairs whose names or core names share a bigram, whose core names are equal, or of which one has a single character that the other holds.
 
-    A pair of Jaccard t shares at least t of the smaller bigram set, so blocks on
-    the rarest bigrams find it; blocks beyond ``most`` names are cut by a second
-    bigram instead of being dropped.
+    Blocks of more than ``most`` right names are cut into slices, each of which
+    meets all left names, so no pair is lost.  ``keep`` is a condition on
+    ``left_name`` and ``right_name``, tested before pairs are made distinct.
     """
-    grams = lambda df, n: df.select(F.col(key).alias(n), F.explode(char_grams(F.lower(F.trim(key)), 2)).alias("gram"))
-    a, b = grams(left.select(key).distinct(), "left_name"), grams(right.select(key).distinct(), "right_name")
-    sizes = b.groupBy("gram").agg(F.count("*").alias("n"))
-    wide = sizes.where(F.col("n") > most).select("gram")
-    narrow = a.join(wide, "gram", "left_anti").join(b, "gram").select("left_name", "right_name")
-    two = lambda df, n: df.join(wide, "gram", "left_semi").withColumnRenamed("gram", "g1").join(df.withColumnRenamed("gram", "g2"), n).where("g1 <> g2")
-    both = two(a, "left_name").join(two(b, "right_name"), ["g1", "g2"]).select("left_name", "right_name")
+    tag = lambda mark, x: F.transform(x, lambda c: F.concat(F.lit(mark), c))
+
+    def tokens(df: DataFrame, n: str, own: str, other: str) -> DataFrame:
+        name, core = F.lower(F.trim(key)), F.lower(core_name(key))
+        every = F.array_union(characters(name), characters(core))
+        alone = F.filter(F.array(F.lower(strip(F.col(key))), core), lambda c: F.length(c) == 1)
+        grams = F.array_union(char_grams(name, 2), char_grams(core, 2))
+        return df.select(F.col(key).alias(n), F.explode(F.array_distinct(F.concat(tag("2", grams), tag(own, alone), tag(other, every)))).alias("token"))
+
+    a = tokens(left.select(key).distinct(), "left_name", "l", "r")
+    b = tokens(right.select(key).distinct(), "right_name", "r", "l")
+    slices = b.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > most).select("token", F.ceil(F.col("n") / most).alias("slices"))
+    n = F.coalesce("slices", F.lit(1))
+    a = a.join(slices, "token", "left").select("token", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("slice"), "left_name")
+    b = b.join(slices, "token", "left").select("token", F.pmod(F.xxhash64("right_name"), n).alias("slice"), "right_name")
+    shared = a.join(b, ["token", "slice"]).select("left_name", "right_name")
     cores = left.select(F.col(key).alias("left_name"), F.lower(core_name(key)).alias("c")).join(right.select(F.col(key).alias("right_name"), F.lower(core_name(key)).alias("c")), "c").select("left_name", "right_name")
-    return narrow.unionAll(both).unionAll(cores).distinct()
+    out = shared.unionAll(cores)
+    return (out if keep is None else out.where(keep)).distinct()
 
 
 def name_score(left: Column, right: Column) -> Column:
@@ -108,8 +118,8 @@ def name_score(left: Column, right: Column) -> Column:
 
 def candidate_table(extracted: DataFrame, known: DataFrame, threshold: float = 0.6, top: int = 5) -> DataFrame:
     """Best known names for each extracted one, by score then name."""
-    pairs = blocked_pairs(extracted, known)
-    scored = pairs.withColumn("score", F.round(name_score(F.col("left_name"), F.col("right_name")), 6)).where(F.col("score") >= threshold)
+    score = F.round(name_score(F.col("left_name"), F.col("right_name")), 6)
+    scored = blocked_pairs(extracted, known, keep=score >= threshold).withColumn("score", score)
     by = Window.partitionBy("left_name").orderBy(F.desc("score"), "right_name")
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
 

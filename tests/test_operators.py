@@ -126,6 +126,16 @@ def test_knn_join_beyond_one_block(spark):
     assert got == want and len(got) == 69
 
 
+def test_wide_blocks_lose_no_pair(spark):
+    names = ["red ring", "red rings", "blue ring", "Bob (x)", "Bob", "zz", "a", "A ", "", "li", "lin", "oli (x)", "李明", "李明华", "王李明", "李", "李(教授)", "李华", "b(x)o", "bow"]
+    left = spark.createDataFrame([(n,) for n in names], "name string")
+    pairs = left.select(F.col("name").alias("left_name")).crossJoin(left.select(F.col("name").alias("right_name")))
+    score = F.round(resolution.name_score(F.col("left_name"), F.col("right_name")), 6)
+    want = {tuple(r) for r in pairs.where(score > 0).collect()}
+    for most in (1, 3, 2000):
+        assert {tuple(r) for r in resolution.blocked_pairs(left, left, most=most, keep=score > 0).collect()} == want
+
+
 def test_graph_store_round_trip_and_exports(spark, tmp_path):
     g, h = io.Graph(spark, f"file://{tmp_path}/g", "one"), io.Graph(spark, f"file://{tmp_path}/g", "two")
     assert g.read("entities").count() == 0
