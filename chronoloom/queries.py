@@ -388,7 +388,7 @@ def ego_network(v):
 
 @query()
 def communities(v):
-    known = v.edges.where(F.col("event_time") <= F.lit(EARLY).cast("timestamp")).select(F.col("fam1").alias("u"), F.col("fam2").alias("v")).distinct()
+    known = v.edges.select(F.col("fam1").alias("u"), F.col("fam2").alias("v")).distinct()
     return gr.communities(gr.label_propagation(known)).select("community_id", "size", F.concat_ws(",", "members").alias("members"))
 
 

@@ -36,3 +36,27 @@ def test_entry_has_stable_schema(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).columns == ["family", "degree"] and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_communities_read_every_edge(spark, duck, sf0001):
+    pairs = duck.execute("SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem").fetchall()
+    near = {}
+    for u, w in pairs:
+        near.setdefault(u, {u}).add(w)
+        near.setdefault(w, {w}).add(u)
+    labels = {x: x for x in near}
+    for _ in range(10):
+        new = {}
+        for x, ys in near.items():
+            votes = {}
+            for y in ys:
+                votes[labels[y]] = votes.get(labels[y], 0) + 1
+            new[x] = min(votes, key=lambda c: (-votes[c], c))
+        if new == labels:
+            break
+        labels = new
+    groups = {}
+    for x, c in labels.items():
+        groups.setdefault(c, []).append(x)
+    want = sorted((c, len(m), ",".join(sorted(m))) for c, m in groups.items() if len(m) >= 3)
+    assert sorted(map(tuple, q.QUERIES["communities"](spark, sf0001).collect())) == want
