@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space; ``bytes.split()`` cuts at exactly these.
 SPACE = "\\x20\\x09-\\x0D"
@@ -58,13 +59,23 @@ def tidy(run: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[[
     return tidied
 
 
-def in_small_batches(rows: DataFrame, most: int = 1000) -> DataFrame:
-    """Rows of long texts go to Python a thousand at a time, which bounds both sides' buffers."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = rows.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= most:
-        conf.set(key, str(most))
-    return rows
+def small_batches(spark: SparkSession, most: int = 1000) -> None:
+    """For a query or pipeline to call: rows of long texts go to Python a thousand at a time, which bounds both sides' buffers.
+
+    A setting of the session, so operators leave it to their caller.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(most))
+
+
+def spread(manifest: DataFrame, by: str, size: str, per_task: int = 128 << 20) -> DataFrame:
+    """The manifest's rows over several tasks, by their number and summed sizes.
+
+    The number of partitions is explicit, so re-planning doesn't fold a short
+    list of large files into one task.
+    """
+    files, total = manifest.agg(F.count("*"), F.sum(size)).first()
+    most = max(4 * manifest.sparkSession.sparkContext.defaultParallelism, 2 * -(-(total or 0) // per_task))
+    return manifest.repartition(max(1, min(2 * files, most)), by)
 
 
 def ragged_take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

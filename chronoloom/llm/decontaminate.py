@@ -6,11 +6,13 @@ the block, delta-coded; the blocks form one table in the shared folder, dealt
 over the cluster by document, so building and searching need no shuffle and a
 lost task repeats its own blocks only.
 
-A search takes the test phrases (windows) in chunks of a bounded size; each
-chunk is sent to every block.  In a block, a phrase starts with the postings of
-its rarest term, shifted by that term's offset, and intersects them with the
-other terms' shifted lists, the next rarest first.  With ``slop`` above zero a
-term may stand that many words off its place (proximity).
+The test phrases (windows) are written to files of a bounded size in the shared
+folder, whatever their number; a search reads the index once and, for every
+batch of blocks, one file of phrases after another, so neither the driver nor a
+task ever holds the test set whole.  In a block, a phrase starts with the
+postings of its rarest term, shifted by that term's offset, and intersects them
+with the other terms' shifted lists, the next rarest first.  With ``slop`` above
+zero a term may stand that many words off its place (proximity).
 
 Defined cases: null texts have no words; an item with fewer words than a window
 is one window, an item without words none; items without an id mark words but
@@ -21,23 +23,26 @@ judged each; empty tables give no rows, or no hits; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import zstandard as zstd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import in_small_batches, merge_runs, tidy
-from chronoloom.plans.materialize import materialize
+from chronoloom.llm.common import merge_runs, open_fs, tidy
+from chronoloom.plans.materialize import materialize, new_folder
 
 WINDOW = 10
-#: Words after which a block ends; bytes of test text that are sent out at once.
+#: Words after which a block ends; bytes of test text in one file of phrases.
 BLOCK_WORDS, CHUNK_BYTES = 400_000, 4 << 20
 _WORD = bytes(ord(chr(c).lower()) if chr(c).isalnum() and c < 128 else c if c >= 128 else 32 for c in range(256))
-INDEX = "doc_ids binary, known binary, ends binary, terms binary, term_ends binary, postings binary"
+INDEX = "block long, doc_ids binary, known binary, ends binary, terms binary, term_ends binary, postings binary"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -53,7 +58,7 @@ def _unpack(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstd.ZstdDecompressor().decompress(bytes(raw)), kind)
 
 
-def _index_block(ids: list, words: list[bytes], ends: list[int]) -> dict:
+def _index_block(block: int, ids: list, words: list[bytes], ends: list[int]) -> dict:
     numbers: dict[bytes, int] = {}
     put = numbers.setdefault
     term = np.fromiter((put(w, len(numbers)) for w in words), np.int64, len(words))
@@ -66,6 +71,7 @@ def _index_block(ids: list, words: list[bytes], ends: list[int]) -> dict:
     first = upto - counts
     delta[first] = spots[first]
     return {
+        "block": block,
         "doc_ids": _pack(np.array([0 if d is None else d for d in ids], np.int64)),
         "known": _pack(np.array([d is not None for d in ids], np.uint8)),
         "ends": _pack(np.array(ends, np.uint32)),
@@ -76,27 +82,27 @@ def _index_block(ids: list, words: list[bytes], ends: list[int]) -> dict:
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row for each block of documents; kept in the shared folder for any number of searches."""
+    """One numbered row for each block of documents; kept in the shared folder for any number of searches."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, words, ends = [], [], []
+        ids, words, ends, block = [], [], [], TaskContext.get().partitionId() << 32
         for pdf in batches:
             for d, t in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
                 ids.append(None if d is pd.NA else int(d))
                 words.extend(words_of(t))
                 ends.append(len(words))
                 if len(words) >= block_words:
-                    yield pd.DataFrame([_index_block(ids, words, ends)])
-                    ids, words, ends = [], [], []
+                    yield pd.DataFrame([_index_block(block, ids, words, ends)])
+                    ids, words, ends, block = [], [], [], block + 1
         if ids:
-            yield pd.DataFrame([_index_block(ids, words, ends)])
+            yield pd.DataFrame([_index_block(block, ids, words, ends)])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return materialize(in_small_batches(rows).mapInPandas(tidy(build), INDEX), "postings")
+    return materialize(rows.mapInPandas(tidy(build), INDEX), "postings")
 
 
 class Phrases:
-    """Test phrases of one chunk: a matrix of term numbers and the items of each phrase."""
+    """Test phrases of one file: a matrix of term numbers and the items of each phrase."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         self.vocabulary: dict[bytes, int] = {}
@@ -114,7 +120,7 @@ class Phrases:
 
 
 class Block:
-    """A block's postings, as far as a chunk's vocabulary asks for them."""
+    """A block's postings, as far as a file's vocabulary asks for them."""
 
     def __init__(self, row):
         known, ids = _unpack(row.known, np.uint8), _unpack(row.doc_ids, np.int64)
@@ -177,84 +183,119 @@ def search_block(block: Block, phrases: Phrases, slop: int = 0) -> Iterator[tupl
 
 
 SEARCHED = "block long, doc_no int, doc_id long, n_words long, starts array<long>, ends array<long>, items array<string>"
+DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, item_id: str = "item_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Every document with its hit runs (in words) and the items whose phrases it holds.
+def write_phrases(items: DataFrame, item_id: str, text: str, chunk_bytes: int) -> list[str]:
+    """Write the items to files of about ``chunk_bytes`` of text; the committed files' URIs."""
+    folder = new_folder(items.sparkSession, "phrases")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+
+        def flush() -> pd.DataFrame:
+            store, path = open_fs(uri := f"{folder}/items-{uuid.uuid4().hex}")
+            with store.open_output_stream(path, compression=None) as out:
+                out.write(pickle.dumps(held))
+            return pd.DataFrame({"path": [uri]})
+
+        for pdf in batches:
+            for item, body in zip(pdf["item"], pdf["text"], strict=True):
+                held.append((item, body))
+                size += len(body or "")
+                if size >= chunk_bytes:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
 
-    The test set is sent in chunks whose size is measured first; several chunks
-    give several passes over the index, whose rows are merged by document.
-    """
-    spark = index.sparkSession
     rows = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("string").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // chunk_bytes) or 1
-    passes = []
-    for i in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i)
-        sent = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            phrases = Phrases(sent.value, window)
-            for pdf in batches:
-                for row in pdf.itertuples(index=False):
-                    yield _found(row, phrases, slop)
-
-        numbered = index.select("*", F.xxhash64("doc_ids", "postings").alias("block"))
-        passes.append(numbered.mapInPandas(tidy(run), SEARCHED))
-    out = passes[0]
-    for p in passes[1:]:
-        out = out.unionAll(p)
-    if len(passes) > 1:
-        out = out.groupBy("block", "doc_no", "doc_id", "n_words").agg(
-            F.flatten(F.collect_list("starts")).alias("starts"),
-            F.flatten(F.collect_list("ends")).alias("ends"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
-    return out
-
-
-def _found(row, phrases: Phrases, slop: int) -> pd.DataFrame:
-    block = Block(row)
-    runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    named: dict[int, set[str]] = defaultdict(set)
-    first = np.r_[0, block.ends[:-1]]
-    for k, starts in search_block(block, phrases, slop):
-        size = int(phrases.lengths[k])
-        for doc, at in zip(np.searchsorted(block.ends, starts, side="right").tolist(), starts.tolist(), strict=True):
-            at -= int(first[doc])
-            runs[doc].append((at, min(at + size, int(block.ends[doc] - first[doc]))))
-            named[doc].update(phrases.items[k])
-    merged = [merge_runs(*zip(*runs[d], strict=True)) if d in runs else [] for d in range(len(block.doc_ids))]
-    return pd.DataFrame({
-        "block": row.block,
-        "doc_no": np.arange(len(block.doc_ids), dtype=np.int32),
-        "doc_id": pd.array(block.doc_ids, "Int64"),
-        "n_words": block.ends - first,
-        "starts": [[a for a, _ in m] for m in merged],
-        "ends": [[b for _, b in m] for m in merged],
-        "items": [sorted(named[d]) if d in named else [] for d in range(len(block.doc_ids))],
-    })
+    return sorted(r.path for r in materialize(rows.coalesce(1 << 10).mapInPandas(tidy(write), "path string"), "phrase-files").collect())
+
+
+def _phrases(path: str, window: int) -> Phrases:
+    store, at = open_fs(path)
+    with store.open_input_stream(at, compression=None) as f:
+        return Phrases(pickle.loads(f.read()), window)
+
+
+def _searched(index: DataFrame, items: DataFrame, window: int, slop: int, item_id: str, text: str, chunk_bytes: int, schema: str, shape) -> DataFrame:
+    """``shape`` of every block's result, in one pass over the index."""
+    files = write_phrases(items, item_id, text, chunk_bytes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only = _phrases(files[0], window) if len(files) == 1 else None
+        for pdf in batches:
+            blocks = [Found(row) for row in pdf.itertuples(index=False)]
+            for path in files:
+                phrases = only or _phrases(path, window)
+                for found in blocks:
+                    found.add(phrases, slop)
+            while blocks:
+                yield shape(blocks.pop(0))
+
+    return index.mapInPandas(tidy(run), schema)
+
+
+class Found:
+    """Hit runs and named items of a block's documents, over any number of phrase files."""
+
+    def __init__(self, row):
+        self.number, self.block = int(row.block), Block(row)
+        self.first = np.r_[0, self.block.ends[:-1]]
+        self.runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.named: dict[int, set[str]] = defaultdict(set)
+
+    def add(self, phrases: Phrases, slop: int) -> None:
+        ends = self.block.ends
+        for k, starts in search_block(self.block, phrases, slop):
+            size = int(phrases.lengths[k])
+            for doc, at in zip(np.searchsorted(ends, starts, side="right").tolist(), starts.tolist(), strict=True):
+                at -= int(self.first[doc])
+                self.runs[doc].append((at, min(at + size, int(ends[doc] - self.first[doc]))))
+                self.named[doc].update(phrases.items[k])
+        for doc, runs in self.runs.items():
+            self.runs[doc] = merge_runs(*zip(*runs, strict=True))
+
+    def items(self) -> list[list[str]]:
+        return [sorted(self.named[d]) if d in self.named else [] for d in range(len(self.block.ends))]
+
+    def listed(self) -> pd.DataFrame:
+        merged = [self.runs.get(d, []) for d in range(len(self.block.ends))]
+        return pd.DataFrame({
+            "block": self.number,
+            "doc_no": np.arange(len(merged), dtype=np.int32),
+            "doc_id": pd.array(self.block.doc_ids, "Int64"),
+            "n_words": self.block.ends - self.first,
+            "starts": [[a for a, _ in m] for m in merged],
+            "ends": [[b for _, b in m] for m in merged],
+            "items": self.items(),
+        })
+
+    def digest(self) -> pd.DataFrame:
+        hit = np.zeros(len(self.block.ends), np.int64)
+        for d, runs in self.runs.items():
+            hit[d] = sum(b - a for a, b in runs)
+        items = self.items()
+        return pd.DataFrame({
+            "doc_id": pd.array(self.block.doc_ids, "Int64"),
+            "n_words": self.block.ends - self.first,
+            "n_hit": hit,
+            "n_items": np.array([len(x) for x in items], np.int64),
+            "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items],
+            "contaminated": hit > 0,
+        })
+
+
+def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, item_id: str = "item_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Every document with its hit runs (in words) and the items whose phrases it holds."""
+    return _searched(index, items, window, slop, item_id, text, chunk_bytes, SEARCHED, Found.listed)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, chunk_bytes: int = CHUNK_BYTES, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc_id``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated`` of every document."""
     index = build_index(docs, doc_id, text, block_words)
-    found = search(index, items, window, 0, item_id, item_text, chunk_bytes)
-
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            hit = [sum(b - a for a, b in merge_runs(s, e)) for s, e in zip(pdf["starts"], pdf["ends"], strict=True)]
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].astype("Int64"),
-                "n_words": pdf["n_words"],
-                "n_hit": np.array(hit, np.int64),
-                "n_items": np.array([len(x) for x in pdf["items"]], np.int64),
-                "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in pdf["items"]],
-                "contaminated": np.array(hit, np.int64) > 0,
-            })
-
-    return found.mapInPandas(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return _searched(index, items, window, 0, item_id, item_text, chunk_bytes, DIGEST, Found.digest)
 
 
 #: The same answer in SQL, over tables ``documents`` and ``benchmark``.

@@ -53,26 +53,32 @@ def share_out(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 
     Exact in integers: siblings are filled from the smallest capacity for its
     weight up while the rest allows each its share; the others divide what is
-    left, rounded so that nothing is lost.
+    left, rounded so that nothing is lost.  Quotients are taken before products
+    and the one comparison of products is in decimals, so any count of tokens
+    that a long holds can be shared.
     """
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
     able = nodes.withColumn("room", F.when(F.col("weight") > 0, F.col("capacity")).otherwise(0)).withColumn("weight", F.greatest("weight", F.lit(0)))
-    rank = F.when(F.col("weight") > 0, F.expr("room * 1000000 div weight")).otherwise(F.lit(-1))
+    weighed = F.col("weight") > 0
+    rank, finer = F.when(weighed, F.expr("room div weight")).otherwise(F.lit(-1)), F.when(weighed, F.expr("room % weight * 1000000 div weight"))
     by = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
-    order = by.orderBy("rank", name)
+    order = by.orderBy("rank", "finer", name)
     upto, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     rows = (
         able.withColumn("rank", rank)
+        .withColumn("finer", finer)
         .withColumn("number", F.row_number().over(order))
         .withColumn("filled", F.coalesce(F.sum("room").over(upto), F.lit(0)))
         .withColumn("weights_left", F.sum("weight").over(after))
-        .withColumn("short", F.col("room") * F.col("weights_left") <= F.col("weight") * (F.col("given") - F.col("filled")))
+        .withColumn("short", whole("room") * whole("weights_left") <= whole("weight") * (whole("given") - whole("filled")))
         .withColumn("turn", F.min(F.when(~F.col("short"), F.col("number"))).over(by))
         .withColumn("is_short", F.col("turn").isNull() | (F.col("number") < F.col("turn")))
         .withColumn("left", F.col("given") - F.coalesce(F.sum(F.when(F.col("is_short"), F.col("room"))).over(by), F.lit(0)))
         .withColumn("all_weights", F.sum(F.when(~F.col("is_short"), F.col("weight"))).over(by))
         .withColumn("run", F.sum(F.when(~F.col("is_short"), F.col("weight"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    part = F.expr("(left * run) div all_weights - (left * (run - weight)) div all_weights")
+    upto_run = "(left div all_weights) * ({0}) + (left % all_weights) * ({0}) div all_weights"
+    part = F.expr(f"{upto_run.format('run')} - ({upto_run.format('run - weight')})")
     budget = F.when(F.col("is_short"), F.col("room")).otherwise(F.least("room", part))
     return rows.withColumn("budget", budget).select(*nodes.columns, "budget")
 
@@ -143,15 +149,15 @@ def _share_sql(name: str, nodes: str, parent: str, level: str) -> str:
     """The same division in plain SQL."""
     return f"""
 {name}0 AS (SELECT *, CASE WHEN weight > 0 THEN capacity ELSE 0 END AS room FROM ({nodes})),
-{name}1 AS (SELECT *, CASE WHEN weight > 0 THEN room * 1000000 // weight ELSE -1 END AS rank FROM {name}0),
+{name}1 AS (SELECT *, CASE WHEN weight > 0 THEN room::HUGEINT * 1000000 // weight ELSE -1 END AS rank FROM {name}0),
 {name}2 AS (SELECT *, row_number() OVER o AS number, coalesce(sum(room) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
   sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights_left FROM {name}1 WINDOW o AS (PARTITION BY {parent} ORDER BY rank, {level})),
-{name}3 AS (SELECT *, min(CASE WHEN NOT (room * weights_left <= weight * (given - filled)) THEN number END) OVER (PARTITION BY {parent}) AS turn FROM {name}2),
+{name}3 AS (SELECT *, min(CASE WHEN NOT (room::HUGEINT * weights_left <= weight::HUGEINT * (given - filled)) THEN number END) OVER (PARTITION BY {parent}) AS turn FROM {name}2),
 {name}4 AS (SELECT *, turn IS NULL OR number < turn AS is_short FROM {name}3),
 {name}5 AS (SELECT *, given - coalesce(sum(CASE WHEN is_short THEN room END) OVER (PARTITION BY {parent}), 0) AS lft,
   sum(CASE WHEN NOT is_short THEN weight END) OVER (PARTITION BY {parent}) AS allw,
   sum(CASE WHEN NOT is_short THEN weight END) OVER (PARTITION BY {parent} ORDER BY rank, {level} ROWS UNBOUNDED PRECEDING) AS run FROM {name}4),
-{name} AS (SELECT *, CASE WHEN is_short THEN room ELSE least(room, (lft * run) // allw - (lft * (run - weight)) // allw) END AS budget FROM {name}5)"""
+{name} AS (SELECT *, CASE WHEN is_short THEN room ELSE least(room, (lft::HUGEINT * run) // allw - (lft::HUGEINT * (run - weight)) // allw) END AS budget FROM {name}5)"""
 
 
 def oracle(budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS) -> str:

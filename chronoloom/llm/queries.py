@@ -7,50 +7,56 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chronoloom.llm import decontaminate, mixing, pii, quality, simhash, substrings, suffixes, tokens, toxicity, warc
-from chronoloom.llm.common import table
+from chronoloom.llm.common import small_batches, table
+
+
+def whole(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A whole table, whose texts go to Python in small batches."""
+    small_batches(spark)
+    return table(spark, sf_dir, name)
 
 
 def op1_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_round_trip(table(spark, sf_dir, "pages")).select(
+    return warc.archive_round_trip(whole(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(whole(spark, sf_dir, "documents"))
 
 
 def op3_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.mix(table(spark, sf_dir, "documents"))
+    rows = mixing.mix(whole(spark, sf_dir, "documents"))
     return rows.select("row.doc_id", "domain", "language", "source", "n_tokens", "copies")
 
 
 def op4_inverted_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(whole(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_gated_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(whole(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_repair_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_round_trip(table(spark, sf_dir, "documents"))
+    return tokens.token_round_trip(whole(spark, sf_dir, "documents"))
 
 
 def op7_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.judge(whole(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return suffixes.remove_repeats(whole(spark, sf_dir, "documents"))
 
 
 def op9_deobfuscated_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.detect(table(spark, sf_dir, "documents"))
+    return pii.detect(whole(spark, sf_dir, "documents"))
 
 
 def op10_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return substrings.remove_repeats(whole(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

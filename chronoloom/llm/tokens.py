@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import in_small_batches, kept, open_fs, ragged_take, run_hashes, tidy
+from chronoloom.llm.common import kept, open_fs, ragged_take, run_hashes, spread, tidy
 from chronoloom.plans.materialize import materialize, new_folder
 
 MAGIC = b"RPTOKEN1"
@@ -365,7 +365,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(in_small_batches(ordered).mapInPandas(tidy(write, True), MANIFEST), "token-manifest")
+    return materialize(ordered.mapInPandas(tidy(write, True), MANIFEST), "token-manifest")
 
 
 def with_base(manifest: DataFrame) -> DataFrame:
@@ -400,7 +400,7 @@ def read_tokens(manifest: DataFrame, folder: str, with_ids: bool = False) -> Dat
                 yield out
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return with_base(manifest).select("path", "base").repartition("path").mapInPandas(tidy(read), schema)
+    return spread(with_base(manifest).select("path", "base", "ids"), "path", "ids", 32 << 20).mapInPandas(tidy(read), schema)
 
 
 def token_round_trip(docs: DataFrame, **options) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import in_small_batches, kept, ragged_take, tidy
+from chronoloom.llm.common import kept, ragged_take, tidy
 from chronoloom.llm.decontaminate import words_of
 
 WINDOW, STRIDE = 32, 16
@@ -437,7 +437,7 @@ def scored_rows(docs: DataFrame, model: dict) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": _in_parts(own, pdf["text"].tolist())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return in_small_batches(rows).mapInPandas(tidy(run, True), "doc_id long, score double")
+    return rows.mapInPandas(tidy(run, True), "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, model: dict, cut: float = 0.5) -> DataFrame:
@@ -449,7 +449,7 @@ def without_toxic(docs: DataFrame, model: dict, cut: float = 0.5) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_in_parts(own, batch.column("text").to_pylist()) < cut))
 
-    return in_small_batches(docs).mapInArrow(tidy(run, True), docs.schema)
+    return docs.mapInArrow(tidy(run, True), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -25,7 +25,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import open_fs
+from chronoloom.llm.common import open_fs, spread
 from chronoloom.plans.materialize import materialize, new_folder
 
 SKIPPABLE_DICTIONARY = 0x184D2A5D
@@ -229,7 +229,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield _frame(rows, columns)
 
-    return manifest.select("path").repartition("path").mapInPandas(read, RECORD)
+    return spread(manifest.select("path", "payload_bytes"), "path", "payload_bytes").mapInPandas(read, RECORD)
 
 
 def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:

@@ -60,3 +60,12 @@ def test_proximity(spark):
     index = d.build_index(a)
     near = lambda slop: sorted(r.doc_id for r in d.search(index, b, slop=slop).where("size(items) > 0").collect())
     assert near(0) == [1] and near(1) == [1, 2] and near(3) == [1, 2] and near(4) == [1, 2, 3, 4]
+
+
+def test_many_phrase_files_lose_no_document(spark):
+    docs = [(None, "alpha beta gamma"), (None, "delta epsilon zeta"), (1, "alpha beta gamma"), (1, "eta theta iota"), (2, None)]
+    items = [(i, t) for i, t in enumerate(["alpha beta gamma", "delta epsilon zeta", "eta theta iota", "kappa", "lambda mu"])]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    for block in (1, 3, 4, 100):
+        for chunk in (1, 20, 1 << 20):
+            assert got(d.contamination(a, b, block_words=block, chunk_bytes=chunk)) == brute(docs, items)

@@ -126,3 +126,17 @@ def test_mixing_odd_rows_and_prefixes(spark):
     assert mixing.mix(df.where("false")).count() == 0
     assert mixing.mixed(df, budget_share=1.0, max_epochs=1).columns == df.columns
     assert mixing.mixed(df, budget_share=1.0, max_epochs=1).count() == len(rows)
+
+
+def test_budgets_of_a_hundred_terabytes(spark):
+    from fractions import Fraction
+
+    leaves = [(f"d{i % 3}", "en", f"s{i}", 10**15 + 7 * i, 4 * (10**15 + 7 * i)) for i in range(40)]
+    df = spark.createDataFrame(leaves, "domain string, language string, source string, tokens long, capacity long")
+    budget = 55 * 10**15 + 3
+    out = {(r.domain, r.source): r.budget for r in mixing.leaf_budgets(df, budget, mixing.LEVELS, mixing.WEIGHTS).collect()}
+    assert sum(out.values()) == budget
+    shares = fill({d: (mixing.WEIGHTS["domain"][d], sum(x[4] for x in leaves if x[0] == d)) for d in ("d0", "d1", "d2")}, budget)
+    for d, share in shares.items():
+        assert abs(sum(v for k, v in out.items() if k[0] == d) - share) <= 1
+    assert all(isinstance(x, (int, Fraction)) and x >= 0 for x in out.values())
