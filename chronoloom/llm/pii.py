@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Possessive, and only from the start of a run of digits, where every leftmost match begins: linear in the text.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -48,22 +49,21 @@ DIGIT_WORDS = {
 }
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _OPEN, _CLOSE = r"[\(\[\{<]", r"[\)\]\}>]"
-_AT = rf"(?:[ \t]*{_OPEN}[ \t]*(?:at|@|arroba|chez|bei)[ \t]*{_CLOSE}[ \t]*)"
-_DOT = rf"(?:[ \t]*{_OPEN}[ \t]*(?:dot|\.|punto|point|punkt)[ \t]*{_CLOSE}[ \t]*)"
-_BARE_AT, _BARE_DOT = r"(?:[ \t]+(?:at|@|arroba)[ \t]+)", r"(?:[ \t]+(?:dot|punto|point|punkt)[ \t]+)"
-_NAME = r"[A-Za-z0-9%+_-]+"
-#: A disguised address: a bracketed "at", or a bare one with a spelled dot after it.
-_ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:\.|{_DOT}|{_BARE_DOT}){_NAME})*(?:(?:{_AT}|@|[ \t]+@[ \t]+)[A-Za-z0-9-]+(?:(?:\.|{_DOT}|{_BARE_DOT})[A-Za-z0-9-]+)+"
-    rf"|{_BARE_AT}[A-Za-z0-9-]+(?:(?:{_DOT}|{_BARE_DOT})[A-Za-z0-9-]+)+)",
-    re.I,
-)
-_PIECE = re.compile(rf"({_AT}|{_BARE_AT}|[ \t]+@[ \t]+)|({_DOT}|{_BARE_DOT})", re.I)
+_B = r"(?<![ \t])[ \t]*+"
+_AT = rf"(?:{_B}{_OPEN}[ \t]*(?:at|@|arroba|chez|bei)[ \t]*{_CLOSE}[ \t]*)"
+_DOT = rf"(?:{_B}{_OPEN}[ \t]*(?:dot|\.|punto|point|punkt)[ \t]*{_CLOSE}[ \t]*)"
+_BARE_AT, _BARE_DOT = r"(?:(?<![ \t])[ \t]++(?:at|@|arroba)[ \t]++)", r"(?:(?<![ \t])[ \t]++(?:dot|punto|point|punkt)[ \t]++)"
+#: The parts of a disguised address: a "dot" or an "at" in brackets or bare, plain ones, and names between them.
+_PART = re.compile(rf"(?P<at>{_AT}|(?<![ \t])[ \t]++@[ \t]++|@)|(?P<bare>{_BARE_AT})|(?P<dot>{_DOT}|{_BARE_DOT})|(?P<plain>\.)|(?P<name>[A-Za-z0-9%+_-]++)|(?P<end>[ \t]++|[^ \t])", re.I)
+_SIGN = re.compile(rf"{_AT}|(?<![ \t])[ \t]++@[ \t]++|{_BARE_AT}|{_DOT}|{_BARE_DOT}", re.I)
+_HOST = re.compile(r"[A-Za-z0-9-]+")
+_DOT_SIGN = re.compile(rf"{_DOT}|{_BARE_DOT}", re.I)
 _DOTTED_IP = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:{_DOT}|{_BARE_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 #: A stretch that an IP address, card or phone could fill once its digit words and spelled dots are rewritten.
 _WORD_DIGIT = re.compile(rf"(?<!\w)(?:{_WORDS}|plus)(?!\w)", re.I)
 _STRETCH = re.compile(rf"(?:[0-9+]|(?<!\w)(?:{_WORDS}|plus)(?!\w))(?:[0-9+().\s,-]|{_OPEN}[ \t]*(?:dot|\.|punto|point|punkt)[ \t]*{_CLOSE}|(?<!\w)(?:{_WORDS}|plus|dot|punto|point|punkt)(?!\w))*", re.I)
 _DIGIT_TOKEN = re.compile(rf"(?<!\w)(plus)(?!\w)|(?<!\w)({_WORDS})(?!\w)|([0-9]+)|([\s,-]+)|(\w+|[^\w\s,-])", re.I)
+_SPELLED_WORDS = (*DIGIT_WORDS, "plus")
 #: An IP address holds at least this many digits, a card or phone more.
 LEAST_DIGITS = 4
 _BRACKETED = re.compile(rf"{_OPEN}[ \t]*(?:at|@|arroba|chez|bei|dot|\.|punto|point|punkt)[ \t]*{_CLOSE}", re.I)
@@ -79,6 +79,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _byte(part: str) -> bool:
+    """Whether digits, of any number, are at most 255."""
+    short = part.lstrip("0")
+    return len(short) < 3 or (len(short) == 3 and int(short) <= 255)
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -97,13 +103,13 @@ def find(text: str) -> list[tuple[str, int, int]]:
             done = m.end()
         at = text.find("@", max(at + 1, done))
     if any(d in text for d in "0123456789"):
-        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        if "." in text:
+            out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(_byte(p) for p in m[0].split("."))]
         for m in CARD.finditer(text):
-            d = _digits(m[0])
-            if 16 <= len(d) <= 19 and luhn(d):
+            if 16 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(d):
                 out.append(("card", m.start(), m.end()))
         if "+" in text:
-            out += [("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 8 <= len(_digits(m[0])) <= 15]
+            out += [("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 8 <= len(m[0]) - sum(map(m[0].count, "+ ().-")) <= 15]
     return out
 
 
@@ -111,29 +117,55 @@ class Rewritten:
     """Text written so far, with the source run and a changed mark of every character."""
 
     def __init__(self, text: str):
-        self.text, self.starts, self.ends = text, list(range(len(text))), list(range(1, len(text) + 1))
-        self.changed = [False] * len(text)
+        self.text = text
+        self.starts = np.arange(len(text), dtype=np.int32)
+        self.ends = self.starts + 1
+        self.changed = np.zeros(len(text), bool)
 
     def replace(self, edits: list[tuple[int, int, str]]) -> None:
         """Non-overlapping ascending edits ``(start, end, characters)`` of the current text."""
-        parts, s, e, c, at = [], [], [], [], 0
+        parts, source, last, marks, at = [], [], [], [], 0
         for a, b, new in edits:
             parts += [self.text[at:a], new]
-            s += self.starts[at:a] + [self.starts[a]] * len(new)
-            e += self.ends[at:a] + [self.ends[b - 1]] * len(new)
-            c += self.changed[at:a] + [True] * len(new)
-            if not new and c:  # a deletion marks what stands before it
-                c[-1] = True
+            n = len(new)
+            source += [self.starts[at:a], np.full(n, self.starts[a])]
+            last += [self.ends[at:a], np.full(n, self.ends[b - 1])]
+            marks += [self.changed[at:a], np.ones(n, bool)]
+            if not n:  # a deletion marks what stands before it
+                before = next((m for m in reversed(marks) if len(m)), None)
+                if before is not None:
+                    before[-1] = True
             at = b
         self.text = "".join([*parts, self.text[at:]])
-        self.starts, self.ends, self.changed = s + self.starts[at:], e + self.ends[at:], c + self.changed[at:]
+        self.starts, self.ends, self.changed = (np.concatenate([*x, old[at:]]) for x, old in ((source, self.starts), (last, self.ends), (marks, self.changed)))
+
+    def glyphs(self, table: dict[str, str]) -> None:
+        """Replace single characters by one or none each."""
+        points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        to = points.copy()
+        gone = np.zeros(len(points), bool)
+        for c, new in table.items():
+            here = points == ord(c)
+            self.changed |= here
+            if new:
+                to[here] = ord(new)
+            else:
+                gone |= here
+        before = np.flatnonzero(gone)
+        before = before[before > 0] - 1
+        stay = ~gone
+        place = np.maximum.accumulate(np.where(stay, np.arange(len(points)), -1))
+        marked = place[before]
+        self.changed[marked[marked >= 0]] = True
+        self.text = to[stay].tobytes().decode("utf-32-le", "surrogatepass")
+        self.starts, self.ends, self.changed = self.starts[stay], self.ends[stay], self.changed[stay]
 
 
 def _may_disguise(text: str) -> bool:
     """False if no part of a disguised "at" or "dot" stands in the text."""
     if any(c in text for c in "([{<") and _BRACKETED.search(text):
         return True
-    if " @ " in text or "\t@" in text or "@\t" in text:
+    if " @" in text or "\t@" in text:
         return True
     low = text.lower()
     return any(w in low for w in ("dot", "punto", "point", "punkt")) and _BARE.search(text) is not None
@@ -152,37 +184,78 @@ def _glyph(c: str) -> str | None:
     return None
 
 
-def _plain_glyphs(text: str) -> list[tuple[int, int, str]]:
-    table = {c: _glyph(c) for c in set(text) if ord(c) > 127}
-    table = {c: g for c, g in table.items() if g is not None}
-    return [(i, i + 1, table[c]) for i, c in enumerate(text) if c in table] if table else []
-
-
 def deobfuscate(text: str) -> Rewritten | None:
     """The text with disguised signs, "at" and "dot" rewritten, or none if it has none."""
     out = None
-
-    def apply(edits: list[tuple[int, int, str]]) -> None:
-        nonlocal out
-        if edits:
-            out = out or Rewritten(text)
-            out.replace(edits)
-
     if not text.isascii():
-        apply(_plain_glyphs(text))
+        table = {c: g for c in set(text) if ord(c) > 127 and (g := _glyph(c)) is not None}
+        if table:
+            out = Rewritten(text)
+            out.glyphs(table)
     now = out.text if out else text
     if _may_disguise(now):
-        apply(_signs(now, _ADDRESS, _DOTTED_IP))
+        edits = _signs(now, [*_addresses(now), *(m.span() for m in _DOTTED_IP.finditer(now))])
+        if edits:
+            out = out or Rewritten(text)
+            out.replace(edits)
     return out
 
 
-def _signs(text: str, *patterns: re.Pattern) -> list[tuple[int, int, str]]:
-    """Edits of the disguised "at" and "dot" in what the patterns match."""
+def _addresses(text: str) -> list[tuple[int, int]]:
+    """Stretches of disguised addresses, each grown from its "at" outwards over names and dots.
+
+    A bracketed or plain "at" takes any dots after it, a bare one only spelled
+    dots.  Every part is looked at once for the "at" on either side.
+    """
+    found, done = [], 0
+    parts: list[tuple[str, int, int]] = []  # the chain of names and dots up to here
+    ahead = _PART.finditer(text)
+    part = next(ahead, None)
+    while part:
+        kind = part.lastgroup
+        if kind not in ("at", "bare"):
+            if kind == "end" or (kind == "name") == (bool(parts) and parts[-1][0] == "name") or (kind != "name" and not parts):
+                parts = []
+            if kind != "end" and (kind == "name" or parts):
+                parts.append((kind, *part.span()))
+            part = next(ahead, None)
+            continue
+        chain, parts = parts, []
+        sign = kind
+        part = next(ahead, None)
+        after: list[tuple[str, int, int]] = []
+        while part and part.lastgroup in ("name", "dot", "plain") and (part.lastgroup == "name") == (not after or after[-1][0] != "name"):
+            if part.lastgroup == "plain" and sign == "bare":
+                break
+            after.append((part.lastgroup, *part.span()))
+            part = next(ahead, None)
+        parts = list(after)  # they may stand before another "at"
+        if not chain or chain[-1][0] != "name" or chain[0][1] < done:
+            continue
+        end, dots = None, 0
+        for k, a, b in after:
+            if k == "name":
+                host = _HOST.match(text, a, b)
+                if not host:
+                    break
+                if dots:
+                    end = host.end()
+                if host.end() < b:
+                    break
+            else:
+                dots += 1
+        if end:
+            found.append((chain[0][1], end))
+            done = end
+    return found
+
+
+def _signs(text: str, stretches: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """Edits of the disguised "at" and "dot" in some stretches."""
     spots = {}
-    for pattern in patterns:
-        for m in pattern.finditer(text):
-            for w in _PIECE.finditer(text, m.start(), m.end()):
-                spots[w.start()] = (w.start(), w.end(), "@" if w[1] else ".")
+    for start, end in stretches:
+        for w in _SIGN.finditer(text, start, end):
+            spots[w.start()] = (w.start(), w.end(), "." if _DOT_SIGN.fullmatch(w[0]) else "@")
     edits, last = [], 0
     for a in sorted(spots):
         if a >= last and text[a : spots[a][1]] != spots[a][2]:
@@ -235,15 +308,16 @@ def _spelled(text: str) -> list[tuple[str, int, int]]:
             return
         new = Rewritten(part)
         new.replace(edits)
-        new.replace(_signs(new.text, _DOTTED_IP))
+        new.replace(_signs(new.text, [m.span() for m in _DOTTED_IP.finditer(new.text)]))
         for kind, x, y in find(new.text):
-            if any(new.changed[x:y]):
-                out.append((kind, a + new.starts[x], a + max(new.ends[x:y])))
+            if new.changed[x:y].any():
+                out.append((kind, a + int(new.starts[x]), a + int(new.ends[x:y].max())))
         for x, y in runs if not alone else ():
             if (x, y) != (0, len(part)):
                 read(a + x, a + y, True)
 
-    if _WORD_DIGIT.search(text):
+    low = text.lower()
+    if any(w in low for w in _SPELLED_WORDS) and _WORD_DIGIT.search(text):
         for m in _STRETCH.finditer(text):
             words = sum(1 for _ in _WORD_DIGIT.finditer(m[0]))
             if words and words + len(_digits(m[0])) >= LEAST_DIGITS:
@@ -259,22 +333,25 @@ def spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     spelled = _spelled(new.text if new else text)
     if new is None and not spelled:
         return base, base
-    more = list(base)
-
-    def add(kind: str, start: int, end: int) -> None:
-        if not any(k == kind and x <= start and end <= y for k, x, y in more):
-            more.append((kind, start, end))
-
+    more: list[tuple[str, int, int]] = []
     for kind, a, b in find(new.text) if new else ():
-        if any(new.changed[a:b]):
-            add(kind, new.starts[a], max(new.ends[a:b]))
+        if new.changed[a:b].any():
+            more.append((kind, int(new.starts[a]), int(new.ends[a:b].max())))
     for kind, a, b in spelled:
-        if new:
-            add(kind, new.starts[a], max(new.ends[a:b]))
-        else:
-            add(kind, a, b)
-    more.sort(key=lambda x: (KINDS.index(x[0]), x[1]))
-    return base, more
+        more.append((kind, int(new.starts[a]), int(new.ends[a:b].max())) if new else (kind, a, b))
+    return base, _with_new(base, more)
+
+
+def _with_new(base: list[tuple[str, int, int]], more: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Base spans and those new ones that lie in no other span of their kind, by kind and start."""
+    out, last, upto = [], "", -1
+    for _, a, back, is_new, kind in sorted([(KINDS.index(k), a, -b, False, k) for k, a, b in base] + [(KINDS.index(k), a, -b, True, k) for k, a, b in more]):
+        if kind != last:
+            last, upto = kind, -1
+        if not is_new or -back > upto:
+            out.append((kind, a, -back))
+        upto = max(upto, -back)
+    return out
 
 
 def written(found: list[tuple[str, int, int]]) -> str:
@@ -308,10 +385,11 @@ def detect(docs: DataFrame, with_text: bool = False, doc_id: str = "doc_id", tex
             out |= {f"n_{k}": np.array([x.count(k) for x in kinds], np.int64) for k in KINDS}
             out["base_sha256"] = [hashlib.sha256(written(base).encode()).hexdigest() for base, _ in both]
             out["spans"] = [written(more) for _, more in both]
+            out["n_spans"] = np.array([len(more) for _, more in both], np.int64)
             if with_text:
                 out["redacted"] = [redact(t) for t in pdf["text"]]
             yield pd.DataFrame(out)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return rows.mapInPandas(run, f"doc_id long, {counts}, base_sha256 string, spans string" + ", redacted string" * with_text)
+    return rows.mapInPandas(run, f"doc_id long, {counts}, base_sha256 string, spans string, n_spans long" + ", redacted string" * with_text)
