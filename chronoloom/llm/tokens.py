@@ -37,6 +37,8 @@ VOCABULARY = "byte_bpe_50k.json"
 BASE, LIMIT = 50_257, 1 << 16
 #: Ids of one shard, symbols between sampled offsets, words that an encoder keeps.
 SHARD_IDS, SAMPLE_EVERY, CACHE_WORDS = 2_000_000, 256, 400_000
+#: Characters that are encoded at once.
+PART_CHARS = 500_000
 MANIFEST = "part int, seq int, path string, docs long, ids long, symbols long, rules long"
 
 
@@ -62,7 +64,9 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.heads, self.number = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.raw, self.raw_used = np.zeros(1 << 16, np.uint8), 0
+        self.raw_at, self.raw_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(1 << 16, np.uint16)
         self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.used = self.count = 0
@@ -127,11 +131,15 @@ class WordEncoder:
         new = np.r_[True, ranked[1:] != ranked[:-1]] if len(ranked) else np.zeros(0, bool)
         lead = order[new]
         index = np.empty(len(starts), np.int64)
-        numbers = self._numbers(buffer, hashes[lead], starts[lead], ends[lead], is_first[lead])
+        group = np.cumsum(new) - 1
+        mine, its = starts[order], starts[lead][group]
+        sizes, numbers = ends[order] - mine, None
+        if np.array_equal(sizes, (ends[lead] - starts[lead])[group]) and same_bytes(data, mine, data, its, sizes):
+            numbers = self._numbers(buffer, data, hashes[lead], starts[lead], ends[lead], is_first[lead])
         if numbers is None:  # two pieces with one hash: the tokenizer takes the texts whole
             done = [self.whole(t) for t in texts]
             return np.concatenate([np.zeros(0, np.uint16), *done]), np.array([len(x) for x in done], np.int64)
-        index[order] = numbers[np.cumsum(new) - 1]
+        index[order] = numbers[group]
         lengths = self.lengths[index]
         ids = self.flat[ragged_take(self.starts[index], lengths)]
         upto = np.r_[0, np.cumsum(lengths)]
@@ -149,18 +157,15 @@ class WordEncoder:
                 counts[i] = len(parts[-1])
         return np.concatenate(parts), counts
 
-    def _numbers(self, buffer: bytes, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray | None:
+    def _numbers(self, buffer: bytes, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray | None:
         """Numbers of the distinct pieces' runs of ids, whose hashes ascend; None if a hash stands for two pieces."""
-        padded = np.frombuffer(buffer + bytes(8), np.uint8)
-        eight = np.lib.stride_tricks.sliding_window_view(padded, 8)[starts].copy().view("<u8")[:, 0]
-        size = np.minimum(ends - starts, 8)
-        heads = np.where(size == 8, eight, eight & ((np.uint64(1) << (np.uint64(8) * np.minimum(size, 7).astype(np.uint64))) - np.uint64(1)))
-        heads ^= (ends - starts).astype(np.uint64) << np.uint64(56)
+        sizes = ends - starts
         at = np.searchsorted(self.known, hashes)
         hit = np.zeros(len(hashes), bool)
         inside = at < len(self.known)
         hit[inside] = self.known[at[inside]] == hashes[inside]
-        if (self.heads[at[hit]] != heads[hit]).any():
+        old = at[hit]
+        if not np.array_equal(self.raw_size[old], sizes[hit]) or not same_bytes(data, starts[hit], self.raw, self.raw_at[old], sizes[hit]):
             return None
         if not hit.all():
             new = np.flatnonzero(~hit)
@@ -171,28 +176,49 @@ class WordEncoder:
             for i in np.flatnonzero(first[new]).tolist():
                 ids = self.whole(pieces[i].decode("utf-8", "surrogatepass"))
                 fresh[i] = self._add(ids, np.array([len(ids)]))
-            self.known = np.insert(self.known, at[new], hashes[new])
-            self.heads = np.insert(self.heads, at[new], heads[new])
-            self.number = np.insert(self.number, at[new], fresh)
+            held = np.frombuffer(b"".join(pieces), np.uint8)
+            while self.raw_used + len(held) > len(self.raw):
+                self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
+            self.raw[self.raw_used : self.raw_used + len(held)] = held
+            places = self.raw_used + np.cumsum(sizes[new]) - sizes[new]
+            self.raw_used += len(held)
+            self.known, self.number = np.insert(self.known, at[new], hashes[new]), np.insert(self.number, at[new], fresh)
+            self.raw_at, self.raw_size = np.insert(self.raw_at, at[new], places), np.insert(self.raw_size, at[new], sizes[new])
             at = np.searchsorted(self.known, hashes)
         return self.number[at]
 
 
+def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, sizes: np.ndarray) -> bool:
+    """Whether all runs of bytes are equal, eight bytes at a time."""
+    lanes = [np.lib.stride_tricks.sliding_window_view(np.r_[x, np.zeros(8, np.uint8)], 8) for x in (a, b)]
+    done, go = 0, np.flatnonzero(sizes)
+    while len(go):
+        left = sizes[go] - done
+        cut = (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64)).astype(np.uint64)
+        x, y = (lane[at[go] + done].copy().view("<u8")[:, 0] << cut for lane, at in zip(lanes, (a_at, b_at), strict=True))
+        if not np.array_equal(x, y):
+            return False
+        go, done = go[left > 8], done + 8
+    return True
+
+
 def encoder(path: str) -> WordEncoder:
     """One encoder for each worker process, whose words stay known from task to task."""
     return kept(f"encoder:{path}", lambda: WordEncoder(path))
 
 
-def compress(ids: np.ndarray, rounds: int = 3, least: int = 24, per_round: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair: symbols, rules (left, right), expansion lengths of the rules."""
+def compress(ids: np.ndarray, least: int = 24, per_round: int = 4096, gain: float = 0.04) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair: symbols, rules (left, right), expansion lengths of the rules.
+
+    Rounds go on until no pair occurs ``least`` times, no symbol is free, or a
+    round has shortened the sequence by less than a ``gain`` of its length.
+    """
     seq = np.asarray(ids, np.uint16)
     rules: list[np.ndarray] = []
     lengths = np.zeros(LIMIT - BASE, np.uint32)
     free = BASE
     size = np.ones(LIMIT, np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2 or free == LIMIT:
-            break
+    while len(seq) > 1 and free < LIMIT:
         pair = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
         slot = ((pair * np.uint32(2654435761)) >> np.uint32(14)).astype(np.intp)
         filled = np.bincount(slot, minlength=1 << 18)
@@ -243,8 +269,10 @@ def compress(ids: np.ndarray, rounds: int = 3, least: int = 24, per_round: int =
         stay[at + 1] = False
         seq = seq.copy()
         seq[at] = (free + which).astype(np.uint16)
-        seq = seq[stay]
+        before, seq = len(seq), seq[stay]
         free += len(keys)
+        if before - len(seq) < gain * before:
+            break
     lengths = size[BASE:free]
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16), lengths
 
@@ -348,7 +376,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
             a = 0
             while a < len(texts):
                 b, size = a, 0
-                while b < len(texts) and (b == a or size + len(texts[b]) < 2_000_000):
+                while b < len(texts) and (b == a or size + len(texts[b]) < PART_CHARS):
                     size += len(texts[b])
                     b += 1
                 ids, counts = own.encode(texts[a:b])
@@ -364,7 +392,8 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
             yield flush()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one id, or without any, are dealt by their texts' beginnings, which keeps their order.
+    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     return materialize(ordered.mapInPandas(tidy(write, True), MANIFEST), "token-manifest")
 
 

@@ -57,3 +57,27 @@ def test_grammar_round_trip():
         seq, rules, lengths = tokens.compress(ids)
         assert np.array_equal(tokens.expand(seq, rules), ids)
         assert [len(tokens.expand(np.array([tokens.BASE + k], np.uint16), rules)) for k in range(0, len(rules), 50)] == lengths[::50].tolist()
+
+
+def test_copies_shrink_to_a_few_symbols():
+    text = np.random.default_rng(2).integers(0, 50_000, 2000).astype(np.uint16)
+    seq, rules, _ = tokens.compress(np.tile(text, 500))
+    assert np.array_equal(tokens.expand(seq, rules), np.tile(text, 500)) and len(seq) + 2 * len(rules) < 10_000
+
+
+def test_pieces_are_compared_by_their_bytes():
+    rng = np.random.default_rng(3)
+    words = [rng.integers(97, 123, int(rng.integers(0, 40))).astype(np.uint8) for _ in range(200)]
+    data, sizes = np.concatenate(words), np.array([len(w) for w in words])
+    at = np.cumsum(sizes) - sizes
+    assert tokens.same_bytes(data, at, data.copy(), at, sizes)
+    for k in rng.integers(0, len(data), 50):
+        other = data.copy()
+        other[k] ^= 1
+        assert not tokens.same_bytes(data, at, other, at, sizes)
+
+
+def test_read_back_takes_several_tasks(spark, sf0001):
+    docs = spark.read.parquet(f"{sf0001}/documents.parquet")
+    out = tokens.token_round_trip(docs, shard_ids=10_000)
+    assert out.rdd.getNumPartitions() > 1
