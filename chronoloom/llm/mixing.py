@@ -101,7 +101,7 @@ def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, max_epochs: int = M
     """``row`` (all columns of the input), the tree's levels, ``n_tokens`` and ``copies`` of every document."""
     name = lambda c: F.coalesce(c.cast("string"), F.lit("\0"))
     base = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"),
         F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("ident"),
         (domain if domain is not None else domain_of(F.col(source))).alias("domain"),
         name(F.col(language)).alias("language"),

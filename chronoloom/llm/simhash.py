@@ -10,8 +10,10 @@ Manhattan bound is tested first and the exact distance then.
 
 Only distinct fingerprints are compared; copies follow by a join.  A cell
 gives a spanning forest of its links, not all pairs, which keeps every
-connection.  A cell beyond ``cell_rows`` fingerprints is cut into chunks whose
-pairs become tasks of their own; nothing is dropped.
+connection.  A cell beyond ``cell_rows`` fingerprints is refined: the other
+dimensions are cut into ``distance + 2`` blocks again, two of which linked
+points share too.  What is still crowded then is cut into chunks whose pairs
+become tasks of their own; nothing is dropped.
 
 Defined cases: null and blank texts have no words and fingerprint zero, which
 links like any other; fewer words than a shingle make one shingle; rows that
@@ -68,11 +70,21 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     return rows.mapInPandas(tidy(run), "doc_id long, fp long")
 
 
-def block_masks(distance: int) -> list[int]:
-    """Signed masks, one for each pair of blocks of dimensions (two bits a dimension)."""
-    edges = [round(i * 32 / (distance + 2)) for i in range(distance + 3)]
-    blocks = [sum(3 << (2 * d) for d in range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
-    return [int(np.uint64(x | y).astype(np.int64)) for x, y in combinations(blocks, 2)]
+def block_masks(distance: int, dims: range | list[int] = range(32)) -> list[int]:
+    """Signed masks, one for each pair of ``distance + 2`` blocks of the dimensions (two bits a dimension)."""
+    edges = [round(i * len(dims) / (distance + 2)) for i in range(distance + 3)]
+    blocks = [sum(3 << (2 * d) for d in dims[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    return [_signed(x | y) for x, y in combinations(blocks, 2)]
+
+
+def finer_masks(mask: int, distance: int) -> list[int]:
+    """Masks that hold ``mask`` and two blocks of the dimensions outside it."""
+    bits = mask & (1 << 64) - 1
+    return [_signed(bits | (m & (1 << 64) - 1)) for m in block_masks(distance, [d for d in range(32) if not bits >> (2 * d) & 1])]
+
+
+def _signed(x: int) -> int:
+    return int(np.uint64(x).astype(np.int64))
 
 
 def embed(fp) -> np.ndarray:
@@ -124,8 +136,8 @@ def link_sorted(cells: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.n
 
 def links(distinct: DataFrame, distance: int = 4, cell_rows: int = 4096) -> DataFrame:
     """Forest links ``a``, ``b`` between distinct fingerprints at ``distance`` or fewer differing bits."""
-    masks = F.array(*[F.lit(m) for m in block_masks(distance)])
-    keyed = distinct.select("fp", F.posexplode(masks).alias("block", "mask")).select(
+    masks = block_masks(distance)
+    keyed = distinct.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("block", "mask")).select(
         "fp", "block", _embed_column().bitwiseAND(F.col("mask")).alias("cell")
     )
 
@@ -171,13 +183,22 @@ def links(distinct: DataFrame, distance: int = 4, cell_rows: int = 4096) -> Data
                 yield pd.DataFrame({"kind": 0, "block": 0, "cell": 0, "a": a, "b": b})
 
     schema = "kind int, block int, cell long, a long, b long"
-    first = materialize(
-        keyed.repartition("block", "cell").sortWithinPartitions("block", "cell").mapInPandas(lambda it: per_group(it, ["block", "cell"], cell_rows), schema),
-        "simhash-cells",
-    )
-    plain = first.where("kind = 0").select("a", "b")
-    hot = first.where("kind = 1").select("block", "cell", F.col("a").alias("fp"), F.col("b").alias("chunk"))
-    if hot.isEmpty():
+
+    def met(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Links of the cells, and the rows of crowded ones."""
+        found = rows.repartition("block", "cell").sortWithinPartitions("block", "cell").mapInPandas(lambda it: per_group(it, ["block", "cell"], cell_rows), schema)
+        found = materialize(found, "simhash-cells")
+        hot = found.where("kind = 1").select("block", "cell", F.col("a").alias("fp"), F.col("b").alias("chunk"))
+        return found.where("kind = 0").select("a", "b"), None if hot.isEmpty() else hot
+
+    plain, hot = met(keyed)
+    if hot is None:
+        return plain
+    finer = F.array(*[F.array(*[F.lit(m) for m in finer_masks(mask, distance)]) for mask in masks])
+    deeper = hot.select("fp", "block", F.posexplode(F.get(finer, F.col("block"))).alias("sub", "mask"))
+    again, hot = met(deeper.select("fp", (F.col("block") * len(masks) + F.col("sub")).alias("block"), _embed_column().bitwiseAND(F.col("mask")).alias("cell")))
+    plain = plain.unionAll(again)
+    if hot is None:
         return plain
     last = hot.groupBy("block", "cell").agg(F.max("chunk").alias("last"))
     paired = hot.join(last, ["block", "cell"]).select(

@@ -41,6 +41,8 @@ EPOCHS, BATCH, RATE, SEED = 5, 128, 0.01, 11
 #: Steps that training takes at least, in several passes over a small sample.
 LEAST_STEPS = 300
 FOLDS = 5
+#: Characters of text that are scored at once.
+PART_CHARS = 400_000
 #: Distinct words whose inputs a worker keeps.
 CACHE_WORDS = 100_000
 PAD, UNKNOWN = 0, 1
@@ -238,7 +240,7 @@ def _grid(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.
     return np.where(inside, ids[at] if len(ids) else 0, PAD), inside.astype(np.float32)
 
 
-def logits(net: Network, gates: np.ndarray, ids: np.ndarray, counts: list[int], block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+def logits(net: Network, gates: np.ndarray, ids: np.ndarray, counts: list[int], block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Logit and text of every window; ``gates`` holds both directions' input gates of each word."""
     starts, lengths, owner = _layout(counts)
     out = np.empty(len(starts), np.float32)
@@ -282,6 +284,7 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
     counts = [len(w) for w in words]
     ids = vocabulary.add([w for ws in words for w in ws])
     flat = np.split(ids, np.cumsum(counts)[:-1])
+    del words, seen, every  # ids stand for them from here on
     sizes, gram_of = vocabulary.sizes, vocabulary.flat
     gram_at = np.cumsum(sizes) - sizes
     by_text = np.zeros((2, BUCKETS))
@@ -414,7 +417,7 @@ def _scorer(name: str, sent) -> Scorer:
     return kept(f"toxicity:{name}", lambda: Scorer(sent.value))
 
 
-def _in_parts(scorer: Scorer, texts: list[str | None], size: int = 2_000_000) -> np.ndarray:
+def _in_parts(scorer: Scorer, texts: list[str | None], size: int = PART_CHARS) -> np.ndarray:
     """Scores of texts, some characters at a time."""
     out, a = np.empty(len(texts)), 0
     while a < len(texts):

@@ -2,6 +2,7 @@ import duckdb
 import test_decontaminate
 import test_simhash
 import test_tokens
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chronoloom.llm import mixing, toxicity
@@ -72,3 +73,19 @@ def test_rows_of_null_and_repeated_ids_are_judged_each(spark, tmp_path):
     assert rows(corpus_pipeline.drop_near_duplicates(spark, df(clean), ""), "doc_id", "text") == sorted(clean, key=repr)
     out = rows(corpus_pipeline.drop_near_duplicates(spark, df(clean + near), ""), "doc_id", "text")
     assert len(out) == len(clean) and (6, word("e", 300)) in out and (9, word("e", 300)) not in out
+
+
+def test_odd_column_names_and_a_very_long_text(spark, sf0001, tmp_path):
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf0001}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    docs = spark.read.parquet(f"{sf0001}/documents.parquet").withColumn("a.b", F.lit(1)).withColumn("_row", F.lit("kept"))
+    long = spark.range(1).select(F.lit(10**8).alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(1_300_000)), lambda i: F.concat(F.lit("word"), i.cast("string")))).alias("text"))
+    docs = docs.unionByName(long, allowMissingColumns=True)
+    assert long.select(F.length("text")).first()[0] > 10**7
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, str(tmp_path)), "odd")
+        assert docs.columns == columns
+    # The long text has no shorter sibling to give way to; mixing may end its source before it.
+    out = materialize(corpus_pipeline.write_tokens(spark, docs, str(tmp_path)), "odd-tokens")
+    assert out.count() == docs.count() > 100 and {r._row for r in docs.select("_row").distinct().collect()} <= {"kept", None}

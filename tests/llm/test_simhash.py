@@ -92,3 +92,16 @@ def test_crowded_cells_lose_no_link(spark):
                 want[wfind(x)] = wfind(signed[j])
         parts = lambda f: sorted(sorted(x for x in signed if f(x) == r) for r in {f(x) for x in signed})
         assert parts(find) == parts(wfind)
+
+
+def test_refined_cells_keep_two_more_shared_blocks():
+    rng = random.Random(6)
+    for _ in range(300):
+        a = rng.getrandbits(64)
+        b = a ^ sum(1 << x for x in rng.sample(range(64), rng.randrange(0, 5)))
+        x, y = (int(simhash.embed(np.array([v], np.uint64))[0]) for v in (a, b))
+        shared = [m for m in simhash.block_masks(4) if (x ^ y) & m & (1 << 64) - 1 == 0]
+        assert shared
+        for m in shared:
+            assert any((x ^ y) & f & (1 << 64) - 1 == 0 for f in simhash.finer_masks(m, 4))
+            assert all(bin(f & (1 << 64) - 1).count("1") > bin(m & (1 << 64) - 1).count("1") for f in simhash.finer_masks(m, 4))
