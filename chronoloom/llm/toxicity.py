@@ -446,13 +446,15 @@ def scored_rows(docs: DataFrame, model: dict) -> DataFrame:
 def without_toxic(docs: DataFrame, model: dict, cut: float = 0.5) -> DataFrame:
     """The rows that score below the cut, with all their columns as they are."""
     sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    at = docs.columns.index("text")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # Python functions take no names with dots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _scorer(name, sent)
         for batch in batches:
-            yield batch.filter(pa.array(_in_parts(own, batch.column("text").to_pylist()) < cut))
+            yield batch.filter(pa.array(_in_parts(own, batch.column(at).to_pylist()) < cut))
 
-    return docs.mapInArrow(tidy(run, True), docs.schema)
+    return plain.mapInArrow(tidy(run, True), plain.schema).toDF(*docs.columns)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
