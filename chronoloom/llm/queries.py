@@ -72,8 +72,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_difference_cover_dedup": op10_difference_cover_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op1_warc_dictionary": warc.ORACLE,
     "op3_hierarchical_mixing": mixing.ORACLE,
     "op4_inverted_index_decontamination": decontaminate.ORACLE,
     "op7_risk_controlled_quality": quality.ORACLE,
+    "op8_suffix_array_dedup": suffixes.ORACLE,
     "op10_difference_cover_dedup": substrings.ORACLE,
 }

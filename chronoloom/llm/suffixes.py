@@ -1,21 +1,21 @@
 """Suffix arrays by induced sorting, and repeated byte strings found with them.
 
-Every string of ``length`` bytes is owned by one anchor: the smallest hash of
-the ``ANCHOR``-byte windows inside it, the leftmost of equals.  That depends on
-the string alone, so equal strings have equal anchors.  Consecutive strings of
-one anchor form a context; contexts go to shards by their anchor's hash, so all
-places of a string meet in one shard.  Contexts that occur twice as a whole are
-settled before; one copy of every other context enters its shard's text.
+Two lengths are looked for in one pass: strings of ``length`` bytes, which are
+removed, and shorter ones of ``passage`` bytes, which are counted.  Every place
+is owned by one anchor: the smallest hash of the ``ANCHOR``-byte windows in the
+``passage`` bytes from there, the leftmost of equals.  That depends on those
+bytes alone, so equal strings of either length have equal anchors.  Consecutive
+places of one anchor, with ``length`` bytes from the last, form a context;
+contexts go to shards by their anchor's hash, so all places of a string meet in
+one shard.  Contexts that occur twice as a whole are settled before; one copy of
+every other context enters its shard's text.
 
 A shard sorts its suffixes by induced sorting (types, leftmost-smaller
-substrings, names, induction, in array operations over one bucket at a time)
-and computes permuted common prefixes: only the irreducible ones are compared,
-the others follow from their left neighbour.  Neighbours in the array with a
-common prefix of ``length`` bytes hold a repeated string.
-
-The reduced string of names is sorted by rank doubling, not by induction: its
-alphabet is about as large as itself, for which buckets in array operations
-give nothing.  Doubling stops once every name's prefix is longer than a context.
+substrings, names, the names' suffixes by the same function, induction) in array
+operations: over one bucket at a time for bytes, over as many places as don't
+depend on each other for names.  Permuted common prefixes follow from the
+irreducible ones, which are compared.  Neighbours in the array with a common
+prefix of ``length`` (or ``passage``) bytes hold a repeated string.
 
 Defined cases: null texts are empty; texts shorter than ``length`` lose nothing;
 matches inside one text count, overlapping ones too; strings never cross texts;
@@ -34,10 +34,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.llm.common import merge_runs, ragged_take, run_hashes
-from chronoloom.llm.spans import collapse, keyed, marked, with_runs
+from chronoloom.llm.spans import collapse, keyed, marked
 from chronoloom.plans.materialize import materialize
 
 LENGTH, ANCHOR = 400, 64
+#: Bytes of the shorter repeats that are counted but stay: 51 words of four letters and a blank.
+PASSAGE = 255
+#: Alphabets up to this size are induced bucket by bucket.
+FEW_BUCKETS = 512
 #: Never a byte of UTF-8, so no string of text holds it.
 SEPARATOR = 0xFF
 #: Bytes of context after which a shard is sorted, and beyond which one anchor's contexts are compared by hashes instead.
@@ -75,6 +79,8 @@ def induce(s: np.ndarray, small: np.ndarray, leftmost: np.ndarray, size: int) ->
     tails = np.cumsum(counts)
     heads = tails - counts
     sa = np.full(n, -1, np.int64)
+    if size > FEW_BUCKETS:
+        return _induce_names(s, small, leftmost, sa, heads, tails)
     put = tails - 1
     _append(sa, put, s[leftmost[::-1]], leftmost[::-1], -1)
     left_tail = put + 1
@@ -117,27 +123,46 @@ def induce(s: np.ndarray, small: np.ndarray, leftmost: np.ndarray, size: int) ->
     return sa
 
 
-def _rank_order(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of a string of names by doubling, exact to ``depth`` names."""
-    rank, n, step = names.astype(np.int64), len(names), 1
-    while step < depth:
-        after = np.zeros(n, np.int64)
-        after[:-step] = rank[step:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        new = np.r_[False, key[order][1:] != key[order][:-1]]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if rank[order[-1]] == n - 1:
-            return order
-        step *= 2
-        if step >= n:
-            break
-    return np.argsort(rank, kind="stable")
-
-
-def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Suffix array of small integers; with ``depth``, exact to that many symbols only."""
+def _induce_names(s: np.ndarray, small: np.ndarray, leftmost: np.ndarray, sa: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    """The same induction where buckets are many and short: places are read in stretches that nothing is put into meanwhile."""
+    n = len(s)
+    _append(sa, tails - 1, s[leftmost[::-1]], leftmost[::-1], -1)
+    front = heads.copy()
+    _append(sa, front, s[n - 1 : n], np.array([n - 1]), 1)
+    for step, put, kind in ((1, front, False), (-1, tails - 1, True)):
+        if step < 0:  # the smaller suffixes are put anew
+            sa[small[sa] & (sa >= 0)] = -1
+        at, wide = 0, 1024  # how many places were read
+        while at < n:
+            upto = min(n, at + wide)
+            now = sa[at:upto] if step > 0 else sa[n - upto : n - at][::-1]
+            read = np.flatnonzero(now > 0)
+            before = now[read] - 1
+            right = small[before] == kind
+            read, before = read[right], before[right]
+            if len(before):
+                chars = s[before]
+                order = np.argsort(chars, kind="stable")
+                c = chars[order]
+                first = np.r_[True, c[1:] != c[:-1]]
+                begin = np.flatnonzero(first)
+                rank = np.arange(len(c)) - begin[np.cumsum(first) - 1]
+                target = np.empty(len(c), np.int64)
+                target[order] = put[c] + step * rank
+                nearest = int(target.min()) if step > 0 else n - 1 - int(target.max())
+                if nearest < upto:  # what stands from there on waits for it
+                    upto = nearest
+                    ready = read < upto - at
+                    before, chars, target = before[ready], chars[ready], target[ready]
+                sa[target] = before
+                np.add.at(put, chars, step)
+            wide = max(256, 2 * (upto - at))
+            at = upto
+    return sa
+
+
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    """Suffix array of a string of integers from zero."""
     s = np.asarray(s)
     n = len(s)
     if n < 2:
@@ -166,7 +191,7 @@ def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
     names = np.empty(len(spots), np.int64)
     names[which] = np.cumsum(~same) - 1
     if names.max() + 1 < len(spots):
-        ordered = spots[_rank_order(names, len(names) if depth is None else depth)]
+        ordered = spots[suffix_array(names)]
     else:
         ordered = spots[np.argsort(names)]
     return induce(s, small, ordered, size)
@@ -223,18 +248,20 @@ def permuted_prefixes(s: np.ndarray, sa: np.ndarray, most: int | None = None, re
     return np.maximum(found[source] - (place - source), 0)
 
 
-def anchor_rows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
-    """``kind`` 1: a covered run already known; ``kind`` 0: the context of an anchor, string starts ``a``..``b``."""
-    reach = length - anchor + 1
+def anchor_rows(docs: DataFrame, length: int, passage: int, anchor: int) -> DataFrame:
+    """``kind`` 0: the context ``a``..``e`` of an anchor that owns places ``a``..``b``; ``kind`` 1: one known to be repeated."""
+    reach = passage - anchor + 1
     segment = 1_000_000
     place_bits = np.uint64((1 << 20) - 1)
 
-    def cut(key: int, body: bytes) -> Iterator[tuple[int, int, bytes]]:
+    def cut(key: int, body: bytes) -> Iterator[tuple[int, int, bytes, int]]:
+        """Pieces with the number of places they own; the last one owns all it has."""
         for at in range(0, max(1, len(body) - length + 1), segment - length):
-            if len(body) - at >= length:
-                yield key, at, body[at : at + segment - 1]
+            piece = body[at : at + segment - 1]
+            if len(piece) >= passage:
+                yield key, at, piece, len(piece) - passage + 1 if at + len(piece) == len(body) else segment - length
 
-    def rows(parts: list[tuple[int, int, bytes]]) -> Iterator[pd.DataFrame]:
+    def rows(parts: list[tuple[int, int, bytes, int]]) -> Iterator[pd.DataFrame]:
         data = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
         sizes = np.array([len(p[2]) for p in parts])
         first = np.cumsum(sizes) - sizes
@@ -249,20 +276,21 @@ def anchor_rows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
         low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
         owner = (low & place_bits).astype(np.int64)
         part = np.repeat(np.arange(len(parts)), sizes)[: len(owner)]
-        whole = np.arange(len(owner)) + length <= (first + sizes)[part]
-        begin = np.flatnonzero(whole & np.r_[True, (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])])
-        inside = np.cumsum(whole)
+        own = np.arange(len(owner)) - first[part] < np.array([p[3] for p in parts])[part]
+        begin = np.flatnonzero(own & np.r_[True, (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])])
+        inside = np.cumsum(own)
         stop = np.r_[begin[1:], len(owner)]
-        stop = begin + (inside[stop - 1] - inside[begin])  # the last start that is whole
+        stop = begin + (inside[stop - 1] - inside[begin])  # the last place that is owned
         p, who = owner[begin], part[begin]
+        end = np.minimum(stop + length, (first + sizes)[who])
         ah = run_hashes(data, p, p + anchor)
-        ch = run_hashes(data, begin, stop + length) ^ (p - begin).astype(np.uint64)
+        ch = run_hashes(data, begin, end) ^ (p - begin).astype(np.uint64)
         keys = np.array([x[0] for x in parts], np.int64)[who]
         shift = np.array([x[1] for x in parts], np.int64)[who] - first[who]
         lead, again = collapse(ah, ch)
-        a, b = (begin + shift).astype(np.int64), (stop + shift).astype(np.int64)
-        yield pd.DataFrame({"kind": 1, "ah": keys[again], "ch": 0, "key": keys[again], "a": a[again], "b": b[again]})
-        yield pd.DataFrame({"kind": 0, "ah": ah[lead].view(np.int64), "ch": ch[lead].view(np.int64), "key": keys[lead], "a": a[lead], "b": b[lead]})
+        a, b, e = ((x + shift).astype(np.int64) for x in (begin, stop, end))
+        yield pd.DataFrame({"kind": 1, "ah": keys[again], "ch": 0, "key": keys[again], "a": a[again], "b": b[again], "e": e[again]})
+        yield pd.DataFrame({"kind": 0, "ah": ah[lead].view(np.int64), "ch": ch[lead].view(np.int64), "key": keys[lead], "a": a[lead], "b": b[lead], "e": e[lead]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -277,10 +305,10 @@ def anchor_rows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
             if held:
                 yield from rows(held)
 
-    return docs.select("key", "body").mapInPandas(run, "kind int, ah long, ch long, key long, a long, b long")
+    return docs.select("key", "body").mapInPandas(run, "kind int, ah long, ch long, key long, a long, b long, e long")
 
 
-def context_rows(wanted: DataFrame, length: int) -> DataFrame:
+def context_rows(wanted: DataFrame) -> DataFrame:
     """The bytes of the open contexts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -289,15 +317,20 @@ def context_rows(wanted: DataFrame, length: int) -> DataFrame:
                 for at in range(0, len(opens), 4096):
                     part = opens[at : at + 4096]
                     yield pd.DataFrame({
-                        "ah": [o["ah"] for o in part], "key": key, "a": [o["a"] for o in part],
-                        "context": [body[o["a"] : o["b"] + length] for o in part],
+                        "ah": [o["ah"] for o in part], "key": key, "a": [o["a"] for o in part], "places": [o["b"] - o["a"] + 1 for o in part],
+                        "context": [body[o["a"] : o["e"]] for o in part],
                     })
 
-    return wanted.mapInPandas(run, "ah long, key long, a long, context binary")
+    return wanted.mapInPandas(run, "ah long, key long, a long, places long, context binary")
+
 
+def repeated_starts(contexts: list[bytes], places: list[int], lengths: tuple[int, ...]) -> list[tuple[np.ndarray, ...]]:
+    """Of each context, for each length, the offsets among its first ``places`` whose strings start elsewhere too.
 
-def repeated_starts(contexts: list[bytes], length: int) -> list[np.ndarray]:
-    """Of each context, the offsets of strings that occur elsewhere among the contexts."""
+    Neighbouring contexts overlap after the places that they own, so only owned
+    places count: a run of the array with common prefixes of the length must
+    hold two of them.
+    """
     parts: list[bytes] = []
     for c in contexts:
         parts += [c, bytes([SEPARATOR])]
@@ -306,21 +339,22 @@ def repeated_starts(contexts: list[bytes], length: int) -> list[np.ndarray]:
     first = np.cumsum(sizes + 1) - sizes - 1
     values = np.unique(data)
     dense = np.searchsorted(values, data).astype(np.uint8)
-    longest = int(sizes.max())
-    sa = suffix_array(dense, longest)
-    near = permuted_prefixes(dense, sa, longest + 8, first)
-    common = near[sa] >= length
-    common[0] = False
-    both = common.copy()
-    both[:-1] |= common[1:]
-    hit = np.zeros(len(data), bool)
-    hit[sa[both]] = True
+    sa = suffix_array(dense)
+    near = permuted_prefixes(dense, sa, int(sizes.max()) + 8, first)
     which = np.repeat(np.arange(len(contexts)), sizes + 1)
-    ends = (first + sizes)[which]
-    hit &= np.arange(len(data)) + length <= ends
-    spots = np.flatnonzero(hit)
-    cuts = np.searchsorted(spots, np.r_[first, len(data)])
-    return [spots[cuts[i] : cuts[i + 1]] - first[i] for i in range(len(contexts))]
+    at = np.arange(len(data))
+    room = (first + sizes)[which] - at
+    own = (at - first[which] < np.array(places)[which])[sa]
+    found = []
+    for length in lengths:
+        run = np.cumsum(near[sa] < length)
+        mine = own & (room[sa] >= length)
+        hit = np.zeros(len(data), bool)
+        hit[sa[mine & (np.bincount(run[mine], minlength=len(data) + 2)[run] > 1)]] = True
+        spots = np.flatnonzero(hit)
+        cuts = np.searchsorted(spots, np.r_[first, len(data)])
+        found.append([spots[cuts[i] : cuts[i + 1]] - first[i] for i in range(len(contexts))])
+    return list(zip(*found, strict=True))
 
 
 def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -331,25 +365,27 @@ def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.r_[0, gap + 1]].tolist(), (starts[np.r_[gap, len(starts) - 1]] + length).tolist(), strict=True))
 
 
-def shard_rows(contexts: DataFrame, length: int, shard_bytes: int, group_bytes: int) -> DataFrame:
+def shard_rows(contexts: DataFrame, lengths: tuple[int, int], shard_bytes: int, group_bytes: int) -> DataFrame:
     """``kind`` 1: covered runs from the shards' arrays; ``kind`` 0: string hashes of an anchor too crowded for a shard."""
-    schema = "kind int, w1 long, w2 long, key long, a long, b long"
+    schema = "kind int, w1 long, w2 long, key long, a long, b long, size int"
 
     def sort(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(held, ignore_index=True)
         out = []
-        for key, a, starts in zip(pdf["key"].tolist(), pdf["a"].tolist(), repeated_starts(pdf["context"].tolist(), length), strict=True):
-            out += [(1, key, 0, key, a + x, a + y) for x, y in _runs(starts, length)]
+        for key, a, found in zip(pdf["key"].tolist(), pdf["a"].tolist(), repeated_starts(pdf["context"].tolist(), pdf["places"].tolist(), lengths), strict=True):
+            for size, starts in zip(lengths, found, strict=True):
+                out += [(1, key, 0, key, a + x, a + y, size) for x, y in _runs(starts, size)]
         if out:
-            yield pd.DataFrame(out, columns=["kind", "w1", "w2", "key", "a", "b"])
+            yield pd.DataFrame(out, columns=["kind", "w1", "w2", "key", "a", "b", "size"])
 
     def spill(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for key, a, c in zip(pdf["key"].tolist(), pdf["a"].tolist(), pdf["context"], strict=True):
+        for key, a, n, c in zip(pdf["key"].tolist(), pdf["a"].tolist(), pdf["places"].tolist(), pdf["context"], strict=True):
             data = np.frombuffer(c, np.uint8)
-            at = np.arange(len(data) - length + 1)
-            w1 = run_hashes(data, at, at + length)
-            w2 = run_hashes(data[::-1].copy(), len(data) - at - length, len(data) - at)
-            yield pd.DataFrame({"kind": 0, "w1": w1.view(np.int64), "w2": w2.view(np.int64), "key": key, "a": a + at, "b": a + at + length})
+            for size in lengths:
+                at = np.arange(min(n, max(0, len(data) - size + 1)))
+                w1 = run_hashes(data, at, at + size)
+                w2 = run_hashes(data[::-1].copy(), len(data) - at - size, len(data) - at)
+                yield pd.DataFrame({"kind": 0, "w1": w1.view(np.int64), "w2": w2.view(np.int64), "key": key, "a": a + at, "b": a + at + size, "size": size})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, tail, tail_size, crowded = [], 0, [], 0, None
@@ -380,39 +416,75 @@ def shard_rows(contexts: DataFrame, length: int, shard_bytes: int, group_bytes:
     return contexts.repartition("ah").sortWithinPartitions("ah").mapInPandas(run, schema)
 
 
-def covered_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """``key``, ``a``, ``b``: runs of bytes that lie in repeated strings."""
-    found = anchor_rows(docs, length, anchor)
+def covered_bytes(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """``key``, ``a``, ``b``, ``size``: runs of bytes that lie in repeated strings of ``size`` bytes, one of the two lengths."""
+    if not anchor <= passage < length:
+        raise ValueError("an anchor must fit into a passage, and a passage be shorter than what is removed")
+    found = anchor_rows(docs, length, passage, anchor)
     seen = marked(found.withColumn("ch", F.when(F.col("kind") == 0, F.col("ch"))))
-    kept = materialize(seen.where("kind = 1 or settled or open").select("kind", "ah", "key", "a", "b", "settled", "open"), "contexts")
-    runs = kept.where("kind = 1 or settled").select("key", "a", (F.col("b") + F.lit(length)).alias("b"))
-    opens = kept.where("kind = 0 and open").groupBy("key").agg(F.collect_list(F.struct("ah", "a", "b")).alias("opens"))
+    kept = materialize(seen.where("kind = 1 or settled or open").select("kind", "ah", "key", "a", "b", "e", "settled", "open"), "contexts")
+    both = F.explode(F.array(F.struct((F.col("b") + F.lit(passage)).alias("b"), F.lit(passage).alias("size")), F.struct(F.col("e").alias("b"), F.lit(length).alias("size"))))
+    runs = kept.where("kind = 1 or settled").select("key", "a", both.alias("r")).select("key", "a", "r.*").where("b - a >= size")
+    opens = kept.where("kind = 0 and open").groupBy("key").agg(F.collect_list(F.struct("ah", "a", "b", "e")).alias("opens"))
     wanted = docs.select("key", "body").join(opens.hint("shuffle_hash"), "key")
-    sharded = materialize(shard_rows(context_rows(wanted, length), length, shard_bytes, group_bytes), "shards")
+    sharded = materialize(shard_rows(context_rows(wanted), (length, passage), shard_bytes, group_bytes), "shards")
     by = Window.partitionBy("w1").orderBy("w2")
     crowded = sharded.where("kind = 0").withColumn(
         "again", F.coalesce(F.lag("w2").over(by) == F.col("w2"), F.lit(False)) | F.coalesce(F.lead("w2").over(by) == F.col("w2"), F.lit(False))
     )
-    return runs.unionAll(sharded.where("kind = 1").select("key", "a", "b")).unionAll(crowded.where("again").select("key", "a", "b"))
+    columns = ["key", "a", "b", "size"]
+    return runs.select(*columns).unionAll(sharded.where("kind = 1").select(*columns)).unionAll(crowded.where("again").select(*columns))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False, doc_id: str = "doc_id", text: str = "text", **sizes) -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` (and the kept bytes) of every document."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, with_text: bool = False, doc_id: str = "doc_id", text: str = "text", **sizes) -> DataFrame:
+    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``n_passage`` (and the kept bytes) of every document.
+
+    ``n_passage`` counts the bytes in repeated strings of ``passage`` bytes, which stay where they are shorter than ``length``.
+    """
     rows = keyed(docs, doc_id, text)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for d, body, s, e in zip(pdf["doc_id"].astype("Int64"), pdf["body"], pdf["starts"], pdf["ends"], strict=True):
-                merged, parts, at = merge_runs(s, e) if s is not None else [], [], 0
+            for d, body, s, e, z in zip(pdf["doc_id"].astype("Int64"), pdf["body"], pdf["starts"], pdf["ends"], pdf["sizes"], strict=True):
+                merged, short, parts, at = [], 0, [], 0
+                if s is not None:
+                    merged = merge_runs(s[z == length], e[z == length])
+                    short = sum(b - a for a, b in merge_runs(s, e))
                 for a, b in merged:
                     parts.append(body[at:a])
                     at = b
                 kept = b"".join([*parts, body[at:]])
-                out.append((d, len(body), len(body) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), *([kept] * with_text)))
-            got = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
+                out.append((d, len(body), len(body) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), short, *([kept] * with_text)))
+            got = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage", *["kept"] * with_text])
             got["doc_id"] = got["doc_id"].astype("Int64")
             yield got
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return with_runs(rows, covered_bytes(rows, length, **sizes)).select("doc_id", "body", "starts", "ends").mapInPandas(cut, schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage long" + ", kept binary" * with_text
+    runs = covered_bytes(rows, length, passage, **sizes).groupBy("key").agg(F.collect_list(F.struct("a", "b", "size")).alias("r"))
+    runs = runs.select("key", F.col("r.a").alias("starts"), F.col("r.b").alias("ends"), F.col("r.size").alias("sizes"))
+    whole = rows.join(runs.hint("shuffle_hash"), "key", "left")  # the narrow side is hashed, so the texts aren't sorted
+    return whole.select("doc_id", "body", "starts", "ends", "sizes").mapInPandas(cut, schema)
+
+
+def _covered_sql(size: int) -> str:
+    """Places of repeated strings of ``size`` bytes and the runs that they cover, over hexadecimal bodies."""
+    return f"""
+w{size} AS (SELECT k, i, md5(substr(h, 2 * i + 1, {2 * size})) AS m FROM (SELECT k, h, unnest(range(0, n - {size} + 1)) AS i FROM bodies WHERE n >= {size})),
+t{size} AS (SELECT k, i FROM w{size} QUALIFY count(*) OVER (PARTITION BY m) > 1),
+e{size} AS (SELECT k, i, CASE WHEN i - lag(i) OVER (PARTITION BY k ORDER BY i) <= {size} THEN 0 ELSE 1 END AS new FROM t{size}),
+g{size} AS (SELECT k, i, sum(new) OVER (PARTITION BY k ORDER BY i) AS g FROM e{size}),
+r{size} AS (SELECT k, min(i) AS a, max(i) + {size} AS b FROM g{size} GROUP BY k, g)"""
+
+
+#: The same answer in SQL, over a table ``documents``.
+ORACLE = f"""
+WITH bodies AS (SELECT row_number() OVER () AS k, doc_id, lower(hex(encode(coalesce(text, '')))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+{_covered_sql(LENGTH)}, {_covered_sql(PASSAGE)},
+removed AS (SELECT k, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM r{LENGTH} GROUP BY k),
+gaps AS (SELECT k, b AS a, lead(a) OVER (PARTITION BY k ORDER BY a) AS z FROM r{LENGTH} UNION ALL SELECT k, 0, min(a) FROM r{LENGTH} GROUP BY k),
+kept AS (SELECT k, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(z, n) - a)), '' ORDER BY a) AS h FROM gaps JOIN bodies USING (k) GROUP BY k),
+short AS (SELECT k, sum(b - a)::BIGINT AS n_passage FROM r{PASSAGE} GROUP BY k)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept.h, bodies.h))) AS kept_sha256, coalesce(n_passage, 0)::BIGINT AS n_passage
+FROM bodies LEFT JOIN removed USING (k) LEFT JOIN kept USING (k) LEFT JOIN short USING (k)"""

@@ -243,3 +243,16 @@ def archive_round_trip(pages: DataFrame, **options) -> DataFrame:
     """Write the pages to shared archives and read every record back."""
     folder = new_folder(pages.sparkSession, "warc")
     return read_archives(write_archives(pages, folder, **options), folder)
+
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: The same answer in SQL, over a table ``pages``.
+ORACLE = f"""
+WITH rows AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
+marked AS (SELECT page_id, octet_length(encode(p))::BIGINT AS payload_bytes, sha1(p) AS s, min(page_id) OVER (PARTITION BY p) AS low FROM rows),
+digits AS (SELECT *, list_transform(range(0, 8), lambda g: ('0x' || substr(s, 5 * g + 1, 5))::BIGINT) AS twenties FROM marked)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(twenties, lambda v: concat({', '.join(f"substr('{_BASE32}', ((v >> {k}) & 31) + 1, 1)" for k in (15, 10, 5, 0))})), '') AS payload_digest,
+  CASE WHEN low IS NOT NULL AND page_id IS DISTINCT FROM low THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM low THEN low END AS refers_to
+FROM digits"""

@@ -7,25 +7,29 @@ import numpy as np
 from chronoloom.llm import suffixes
 
 
-def brute(rows, length=400):
-    bodies = [(t or "").encode() for _, t in rows]
+def covered(bodies, length):
     seen = Counter(hash(b[i : i + length]) for b in bodies for i in range(len(b) - length + 1))
-    out = []
-    for (d, _), b in zip(rows, bodies):
+    for b in bodies:
         gone = np.zeros(len(b) + 1, int)
         for i in range(len(b) - length + 1):
             if seen[hash(b[i : i + length])] > 1:
                 gone[i] += 1
                 gone[i + length] -= 1
-        mask = np.cumsum(gone)[:-1] > 0
+        yield np.cumsum(gone)[:-1] > 0
+
+
+def brute(rows, length=400, passage=suffixes.PASSAGE):
+    bodies = [(t or "").encode() for _, t in rows]
+    out = []
+    for (d, _), b, mask, short in zip(rows, bodies, covered(bodies, length), covered(bodies, passage)):
         edge = np.flatnonzero(mask & ~np.r_[False, mask[:-1]]) if len(mask) else []
         kept = bytes(np.frombuffer(b, np.uint8)[~mask]) if len(b) else b""
-        out.append((d, len(b), int(mask.sum()), len(edge), hashlib.sha256(kept).hexdigest()))
+        out.append((d, len(b), int(mask.sum()), len(edge), hashlib.sha256(kept).hexdigest(), int(short.sum())))
     return sorted(out, key=repr)
 
 
 def got(df):
-    return sorted(map(tuple, df.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=repr)
+    return sorted(map(tuple, df.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage").collect()), key=repr)
 
 
 def naive(s):
@@ -48,6 +52,20 @@ def test_arrays_and_prefixes_of_random_strings():
         assert suffixes.permuted_prefixes(s, sa).tolist() == prefix.tolist()
 
 
+def test_arrays_of_large_alphabets(monkeypatch):
+    rng = np.random.default_rng(1)
+    for t in range(200):
+        s = rng.integers(0, int(rng.integers(1, 40)), int(rng.integers(1, 120)))
+        s = np.tile(s[: 1 + t % 7], 20) if t % 4 == 0 else s
+        monkeypatch.setattr(suffixes, "FEW_BUCKETS", 0)
+        assert suffixes.suffix_array(s).tolist() == naive(s.tolist())
+    monkeypatch.undo()
+    s = rng.integers(0, 5000, 30_000)
+    sa = suffixes.suffix_array(np.r_[s, s[:9000], s])
+    text = np.r_[s, s[:9000], s].astype(">u2").tobytes()
+    assert all(text[2 * a :] < text[2 * b :] for a, b in zip(sa[:-1:97].tolist(), sa[1::97].tolist()))
+
+
 def test_whole_table(spark, sf001):
     docs = spark.read.parquet(f"{sf001}/documents.parquet")
     want = brute([tuple(r) for r in docs.select("doc_id", "text").collect()])
