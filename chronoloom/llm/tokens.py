@@ -36,9 +36,9 @@ VOCABULARY = "byte_bpe_50k.json"
 #: First nonterminal; symbols stay below 2**16, so a symbol takes two bytes.
 BASE, LIMIT = 50_257, 1 << 16
 #: Ids of one shard, symbols between sampled offsets, words that an encoder keeps.
-SHARD_IDS, SAMPLE_EVERY, CACHE_WORDS = 2_000_000, 256, 400_000
+SHARD_IDS, SAMPLE_EVERY, CACHE_WORDS = 2_000_000, 256, 800_000
 #: Characters that are encoded at once.
-PART_CHARS = 500_000
+PART_CHARS = 2_000_000
 MANIFEST = "part int, seq int, path string, docs long, ids long, symbols long, rules long"
 
 
@@ -207,7 +207,7 @@ def encoder(path: str) -> WordEncoder:
     return kept(f"encoder:{path}", lambda: WordEncoder(path))
 
 
-def compress(ids: np.ndarray, least: int = 24, per_round: int = 4096, gain: float = 0.04) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, least: int = 24, per_round: int = 4096, gain: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: symbols, rules (left, right), expansion lengths of the rules.
 
     Rounds go on until no pair occurs ``least`` times, no symbol is free, or a
