@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronoloom.functions.text import char_grams, characters, core_name, cosine, jaccard, leading_name, strip
 from chronoloom.operators.components import connected_components
 
-TITLE_SUFFIXES = "教授|博士|先生|女士|老师|同学|院士|主任|经理|总裁"
+# Scores and bounds of name matches and decisions.
 EXACT_CORE, SUBSTRING_BASE, SUBSTRING_SPAN, SUBSTRING_CAP = 0.85, 0.65, 0.30, 0.95
 SAME_VERSION, NEW_ENTITY, MERGE_ACROSS = 0.85, 0.4, 0.75
 

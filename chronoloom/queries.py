@@ -787,3 +787,6 @@ def metric_summary(v):
 
 
 FLAGSHIP = "hub_entities"
+
+
+from chronoloom import more_queries  # noqa: E402, F401  registers further queries
