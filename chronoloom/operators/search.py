@@ -121,8 +121,17 @@ def all_keywords(rows: DataFrame, words: list[str], column: str = "content") ->
 
 
 def ranked(rows: DataFrame, key: str = "family_id") -> DataFrame:
-    """Adds the zero-based place of each row of an already cut result list."""
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)) - 1)
+    """Adds the zero-based place of each row by score.
+
+    Rows are dealt by ranges of the score; a place is the number of rows in the
+    ranges before plus the place in its own, so no task holds the whole list.
+    """
+    dealt = materialize(rows.repartitionByRange(F.desc("score"), key).withColumn("_part", F.spark_partition_id()), "ranked")
+    sizes = dealt.groupBy("_part").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = sizes.select("_part", before.alias("_before"))  # one row for each range
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc("score"), key))
+    return dealt.withColumn("_own", own).join(F.broadcast(shift), "_part").withColumn("rank", F.col("_before") + F.col("_own") - 1).drop("_part", "_own", "_before")
 
 
 def fuse(arms: list[tuple[DataFrame, float]], key: str = "family_id", k: int = RRF_K, normalise: bool = True) -> DataFrame:

@@ -73,7 +73,7 @@ def redirect_ends(relations: DataFrame, entities: DataFrame, old_family: str, ne
     moves = old.join(F.broadcast(to))
     out = relations
     for side in ("entity1_id", "entity2_id"):
-        out = out.join(F.broadcast(moves), out[side] == F.col("_old"), "left").withColumn(side, F.coalesce("_to", side)).drop("_old", "_to")
+        out = out.join(moves, out[side] == F.col("_old"), "left").withColumn(side, F.coalesce("_to", side)).drop("_old", "_to")
     return out
 
 

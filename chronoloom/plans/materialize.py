@@ -1,7 +1,8 @@
 """Lineage cuts that survive lost executors: written tables in the cluster's shared folder.
 
 The folder is the one named by ``spark.checkpoint.dir``.  Only where that
-setting is absent (tests, notebooks) a folder is chosen here.
+setting is absent and Spark runs in one process (tests, notebooks) a folder is
+chosen here; on a cluster the setting is required.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ def shared_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="chronoloom-")

@@ -776,9 +776,14 @@ def context_snippets(v):
     return v.table("documents").select("doc_id", tx.snippet("text", ["ander"], 20).alias("hit"))
 
 
-@query(("relations",), "SELECT id, length(content) >= 8 AS valid FROM relations")
+TOLD = [(1, "colleague"), (2, " Colleagues "), (3, "works for the harbour office"), (4, "A is related to B"), (5, "there is a connection between Ada and Bob"), (6, "甲与乙有关"), (7, "甲在乙的公司任职五年"), (8, "short"), (9, None), (10, "related by blood to the late queen of the north"), (11, "Ada and Bob are linked"), (12, "同事关系")]
+
+
+@query(("relations",), """SELECT id, length(content) >= 8 AS valid FROM relations UNION ALL SELECT 'told' || n, ok FROM (VALUES (1, false), (2, false), (3, true), (4, false), (5, false), (6, false), (7, true), (8, false), (9, false),
+ (10, true), (11, false), (12, false)) t(n, ok)""")
 def valid_relation_contents(v):
-    return v.relations.select("id", va.valid_relation_content("content").alias("valid"))
+    told = v.spark.createDataFrame(TOLD, "n int, content string").select(F.concat(F.lit("told"), "n").alias("id"), "content")
+    return v.relations.select("id", "content").unionAll(told).select("id", va.valid_relation_content("content").alias("valid"))
 
 
 @query((), "SELECT event_type AS strategy, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1")

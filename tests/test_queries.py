@@ -60,3 +60,18 @@ def test_communities_read_every_edge(spark, duck, sf0001):
         groups.setdefault(c, []).append(x)
     want = sorted((c, len(m), ",".join(sorted(m))) for c, m in groups.items() if len(m) >= 3)
     assert sorted(map(tuple, q.QUERIES["communities"](spark, sf0001).collect())) == want
+
+
+def test_components_read_every_edge(spark, duck, sf0001):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, w in duck.execute("SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem").fetchall():
+        a, b = sorted((find(u), find(w)))
+        root[b] = a
+    want = sorted((x, find(x)) for x in root)
+    assert sorted(map(tuple, q.QUERIES["connected_families"](spark, sf0001).select("id", "component").collect())) == want
