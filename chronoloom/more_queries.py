@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import names as nm
 from chronoloom.functions import text as tx
+from chronoloom.operators import concepts as co
+from chronoloom.operators import dream as dr
 from chronoloom.operators import graph as gr
 from chronoloom.operators import logs as lg
+from chronoloom.operators import relations as re
 from chronoloom.operators import reports as rp
+from chronoloom.operators import resolution as rs
 from chronoloom.operators import retrieval as rt
 from chronoloom.operators import search as se
-from chronoloom.queries import _CONCEPTS, ASOF, MID, NEWEST, NOW, _concepts, query
+from chronoloom.operators import stats as st
+from chronoloom.plans.dream_cycle import explore
+from chronoloom.queries import _CONCEPTS, _JACCARD, ASOF, MID, NEWEST, NOW, US, _concepts, query
 
 # Rows beside the tables, as (position, name, content).
 NAMED = [
@@ -328,3 +334,72 @@ def community_sizes(v):
 def connected_families(v):
     """Components over every edge; the recursive SQL is for sparse edges, so brute force checks this one."""
     return gr.components(v.links)
+
+
+# --- whole tables -----------------------------------------------------------
+# Operators that other entries show on a part of the tables, over every row.
+
+# Customers have no relations, so isolation shows without leaving relations out.
+_EVERYONE = ", everyone AS (SELECT id, family_id FROM things UNION ALL SELECT 'c' || c_custkey, 'c' || c_custkey FROM customer), touched AS (SELECT entity1_id AS id FROM relations UNION SELECT entity2_id FROM relations)"
+
+
+def _everyone(v):
+    customer = F.concat(F.lit("c"), "c_custkey")
+    rows = v.things.select("id", "family_id", "name").unionAll(v.table("customer").select(customer, customer, "c_name"))
+    return rows.withColumn("processed_time", F.lit(NOW).cast("timestamp")).withColumn("invalid_at", F.lit(None).cast("timestamp"))
+
+
+@query(("things", "relations"), _EVERYONE.replace("FROM relations", "FROM relations WHERE invalid_at IS NULL") + " SELECT family_id FROM everyone WHERE id NOT IN (SELECT id FROM touched)")
+def isolated_families(v):
+    return re.isolated(_everyone(v), v.relations).select("family_id")
+
+
+@query(("things", "relations"), _EVERYONE + " SELECT family_id FROM everyone WHERE id NOT IN (SELECT id FROM touched)")
+def orphaned_families(v):
+    return rs.orphans(_everyone(v), v.edges)
+
+
+@query(("things", "relations"), _EVERYONE.replace("FROM relations", "FROM relations WHERE invalid_at IS NULL") + " SELECT id FROM everyone WHERE id NOT IN (SELECT id FROM touched) ORDER BY id DESC LIMIT 25")
+def seeds_isolated(v):
+    return dr.seeds_orphan(_everyone(v), v.relations, 25).select("id")
+
+
+@query(("things", "relations"), _EVERYONE + """, lone AS (SELECT count(*) AS n FROM everyone WHERE id NOT IN (SELECT id FROM touched)), n AS (SELECT (SELECT count(DISTINCT family_id) FROM relations) AS r, (SELECT count(DISTINCT family_id) FROM everyone) AS e)
+SELECT 'connect_isolated' AS rule, CASE WHEN n > 20 THEN 'high' ELSE 'medium' END AS priority FROM lone WHERE n > 0 UNION ALL SELECT 'discover_relations', 'high' FROM n WHERE r < 0.3 * e""")
+def graph_advice(v):
+    return st.recommendations(st.graph_statistics(_everyone(v), v.relations))
+
+
+_LOW = lambda side: f"lower({side}.name)"
+_ALL_SCORE = f"""CASE WHEN a.name = b.name THEN 1.0 ELSE greatest({_JACCARD.format(_LOW('a'), _LOW('b'))}, CASE WHEN lower(a.name) = lower(b.name) THEN 0.85
+ WHEN contains(lower(a.name), lower(b.name)) OR contains(lower(b.name), lower(a.name)) THEN least(0.65 + 0.30 * least(length(a.name), length(b.name)) / greatest(length(a.name), length(b.name)), 0.95) ELSE 0 END) END"""
+
+
+@query(("things",), f""", names AS (SELECT DISTINCT name FROM things), j AS (SELECT a.name AS left_name, b.name AS right_name, round({_ALL_SCORE}, 6) AS score FROM names a, names b)
+SELECT left_name, right_name, score FROM j WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY left_name ORDER BY score DESC, right_name) <= 5""")
+def name_candidates(v):
+    names = v.things.select("name").distinct()
+    return rs.candidate_table(names, names, 0.5, 5).select("left_name", "right_name", "score")
+
+
+@query(("relations", "things", "episodes", "mentions"), f""", newest AS (SELECT * FROM relations QUALIFY {NEWEST} = 1), ends AS (SELECT r, e FROM (SELECT family_id AS r, unnest([entity1_id, entity2_id]) AS e FROM newest) WHERE e IN (SELECT id FROM things))
+SELECT e AS family_id, r AS neighbour FROM ends UNION SELECT r, e FROM ends UNION SELECT family_id, target_id FROM episodes JOIN mentions ON episode_id = episodes.id WHERE target_id IN (SELECT id FROM things)""")
+def neighbours_by_role(v):
+    rows = _concepts(v)
+    return co.neighbours(rows, v.mentions, rows.select("family_id"))
+
+
+@query(("things", "mentions", "episodes"), "SELECT DISTINCT target_id AS family_id, episode_id, epoch_us(event_time) AS event_time FROM mentions JOIN episodes ON episodes.id = episode_id WHERE target_id IN (SELECT id FROM things)")
+def provenance_of_all(v):
+    rows = _concepts(v)
+    return co.provenance(rows, v.mentions, v.episodes, rows.select("family_id")).select("family_id", "episode_id", US("event_time"))
+
+
+@query(("edges",), """, e AS (SELECT DISTINCT fam1 AS u, fam2 AS v FROM edges), near AS (SELECT u, v FROM e UNION SELECT v, u FROM e), seeds AS (SELECT DISTINCT v AS seed FROM e),
+one AS (SELECT seed, near.v AS f FROM seeds JOIN near ON near.u = seed), two AS (SELECT seed, near.v AS f FROM one JOIN near ON near.u = one.f), pairs AS (SELECT DISTINCT least(seed, f) AS fam1, greatest(seed, f) AS fam2 FROM (FROM one UNION FROM two) WHERE seed <> f)
+SELECT fam1, fam2 FROM pairs ANTI JOIN e ON u = fam1 AND v = fam2""")
+def explored_pairs(v):
+    known = v.edges.select("fam1", "fam2").distinct()
+    seeds = known.select(F.col("fam2").alias("family_id")).distinct()
+    reach = explore(v.links, seeds, 2)
+    return dr.unchecked_pairs(seeds, reach, known, v.spark.createDataFrame([], "fam1 string, fam2 string"))
