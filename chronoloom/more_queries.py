@@ -21,7 +21,7 @@ from chronoloom.operators import retrieval as rt
 from chronoloom.operators import search as se
 from chronoloom.operators import stats as st
 from chronoloom.plans.dream_cycle import explore
-from chronoloom.queries import _CONCEPTS, _JACCARD, ASOF, MID, NEWEST, NOW, US, _concepts, query
+from chronoloom.queries import _BM25, _CONCEPTS, _JACCARD, ASOF, MID, NEWEST, NOW, US, _concepts, query
 
 # Rows beside the tables, as (position, name, content).
 NAMED = [
@@ -403,3 +403,14 @@ def explored_pairs(v):
     seeds = known.select(F.col("fam2").alias("family_id")).distinct()
     reach = explore(v.links, seeds, 2)
     return dr.unchecked_pairs(seeds, reach, known, v.spark.createDataFrame([], "fam1 string, fam2 string"))
+
+
+@query((), _BM25)
+def bm25_from_index(v):
+    return se.bm25_stored(se.stored_index(v.table("documents"), "doc_id", "text"), "doc_id", "the thtion ander", 20)
+
+
+@query()
+def modular_communities(v):
+    """A search has no SQL; tests hold it against all partitions of small graphs."""
+    return gr.modularity_search(v.links)

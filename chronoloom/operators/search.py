@@ -51,6 +51,31 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, limit: int | None = 2
     return out.orderBy(F.desc("score"), key).limit(limit) if limit else out
 
 
+def stored_index(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and one row of totals, written once for many queries; ``key`` names a row.
+
+    Postings lie in ranges of term and key, so a query skips the files and row
+    groups of other terms, and a very frequent term takes several files.
+    """
+    postings = inverted_index(docs, key, text).repartitionByRange("term", key).sortWithinPartitions("term", key)
+    postings = materialize(postings, "postings")
+    words = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_words"))
+    totals = docs.agg(F.count("*").alias("_docs")).join(F.broadcast(words)).select("_docs", (F.col("_words") / F.nullif("_docs", F.lit(0))).alias("_avg"))
+    return postings, materialize(totals, "totals")
+
+
+def bm25_stored(index: tuple[DataFrame, DataFrame], key: str, query: str, limit: int | None = 20) -> DataFrame:
+    """The ranking of ``bm25`` from a stored index; texts aren't read."""
+    postings, totals = index
+    hits = postings.where(F.col("term").isin(sorted(set(_query_terms(query)))))
+    often = hits.groupBy("term").agg(F.count("*").alias("_df"))  # one row for each term of the query
+    rows = hits.join(F.broadcast(often), "term").join(F.broadcast(totals))
+    idf = F.log(1 + (F.col("_docs") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("_avg")))
+    out = rows.groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
+    return out.orderBy(F.desc("score"), key).limit(limit) if limit else out
+
+
 def _count(words: str, term: str) -> Column:
     return F.size(F.filter(words, lambda x: x == F.lit(term)))
 
