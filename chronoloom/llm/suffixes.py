@@ -11,11 +11,9 @@ one shard.  Contexts that occur twice as a whole are settled before; one copy of
 every other context enters its shard's text.
 
 A shard sorts its suffixes by induced sorting (types, leftmost-smaller
-substrings, names, the names' suffixes, induction) in array operations: over one
-bucket at a time for bytes, over as many places as don't depend on each other
-for names.  ``suffix_array`` sorts names by itself, recursively; in shards, where
-nothing beyond a context's length counts, the names' ranks are doubled up to
-that length, which takes a third of the time.  Permuted common prefixes follow from the
+substrings, names, the names' suffixes recursively, induction) in array
+operations: over one bucket at a time for bytes, over as many places as don't
+depend on each other for names.  Permuted common prefixes follow from the
 irreducible ones, which are compared.  Neighbours in the array with a common
 prefix of ``length`` (or ``passage``) bytes hold a repeated string.
 
@@ -127,7 +125,7 @@ def induce(s: np.ndarray, small: np.ndarray, leftmost: np.ndarray, size: int) ->
 
 def _induce_names(s: np.ndarray, small: np.ndarray, leftmost: np.ndarray, sa: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
     """The same induction where buckets are many and short: places are read in stretches that nothing is put into meanwhile."""
-    n = len(s)
+    n, places = len(s), np.arange(len(s))
     _append(sa, tails - 1, s[leftmost[::-1]], leftmost[::-1], -1)
     front = heads.copy()
     _append(sa, front, s[n - 1 : n], np.array([n - 1]), 1)
@@ -138,19 +136,19 @@ def _induce_names(s: np.ndarray, small: np.ndarray, leftmost: np.ndarray, sa: np
         while at < n:
             upto = min(n, at + wide)
             now = sa[at:upto] if step > 0 else sa[n - upto : n - at][::-1]
-            read = np.flatnonzero(now > 0)
+            read = (now > 0).nonzero()[0]
             before = now[read] - 1
             right = small[before] == kind
             read, before = read[right], before[right]
             if len(before):
                 chars = s[before]
-                order = np.argsort(chars, kind="stable")
+                order = chars.argsort(kind="stable")
                 c = chars[order]
-                first = np.r_[True, c[1:] != c[:-1]]
-                begin = np.flatnonzero(first)
-                rank = np.arange(len(c)) - begin[np.cumsum(first) - 1]
+                spot = places[: len(c)]
+                first = spot.copy()
+                first[1:][c[1:] == c[:-1]] = 0  # where each bucket's run begins
                 target = np.empty(len(c), np.int64)
-                target[order] = put[c] + step * rank
+                target[order] = put[c] + step * (spot - np.maximum.accumulate(first))
                 nearest = int(target.min()) if step > 0 else n - 1 - int(target.max())
                 if nearest < upto:  # what stands from there on waits for it
                     upto = nearest
@@ -163,62 +161,55 @@ def _induce_names(s: np.ndarray, small: np.ndarray, leftmost: np.ndarray, sa: np
     return sa
 
 
-def _rank_order(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of a string of names by doubling, exact to ``depth`` names."""
-    rank, n, step = names.astype(np.int64), len(names), 1
-    while step < depth:
-        after = np.zeros(n, np.int64)
-        after[:-step] = rank[step:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        new = np.r_[False, key[order][1:] != key[order][:-1]]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if rank[order[-1]] == n - 1:
-            return order
-        step *= 2
-        if step >= n:
-            break
-    return np.argsort(rank, kind="stable")
-
-
-def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Suffix array of a string of integers from zero; with ``depth``, exact to that many symbols only.
-
-    The names' suffixes are sorted by this function itself or, where only
-    ``depth`` symbols count, by doubling their ranks up to there.
+def substring_names(s: np.ndarray, small: np.ndarray, spots: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """Ranks of the leftmost-smaller substrings at ``spots``, equal ones sharing a rank, and how many differ.
+
+    Symbols are compared together with their suffix's type, so no substring is a
+    prefix of another but the last, which ends the string and comes first.  As
+    many symbols as fit into a word are compared at once; only what is still
+    equal goes on, so all rounds together read each substring once.
     """
+    n, m = len(s), len(spots)
+    symbols = s.astype(np.int64) * 2 + small + 1
+    length = np.append(spots[1:] + 1, n) - spots
+    bits = (2 * size).bit_length()
+    width = 63 // bits
+    rank, live, done = np.zeros(m, np.int64), np.arange(m), 0
+    while len(live):
+        at, left = spots[live] + done, length[live] - done
+        key = np.zeros(len(live), np.int64)
+        for k in range(width):
+            key = (key << bits) | np.where(k < left, symbols[np.minimum(at + k, n - 1)], 0)
+        before = rank[live]
+        order = np.lexsort((key, before)) if done else np.argsort(key)
+        k, r, who = key[order], before[order], live[order]
+        old = np.append(True, r[1:] != r[:-1])
+        new = old | np.append(True, k[1:] != k[:-1])
+        spot = np.arange(len(who))
+        first = np.maximum.accumulate(np.where(new, spot, 0))
+        rank[who] = r + first - np.maximum.accumulate(np.where(old, spot, 0))
+        alone = new & np.append(new[1:], True)
+        done += width
+        live = who[~alone & (length[who] > done)]
+    taken = np.zeros(m, bool)
+    taken[rank] = True
+    dense = np.cumsum(taken)
+    return dense[rank] - 1, int(dense[-1])
+
+
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    """Suffix array of a string of integers from zero; the names' suffixes are sorted by this function itself."""
     s = np.asarray(s)
     n = len(s)
     if n < 2:
         return np.arange(n)
     size = int(s.max()) + 1
     small = suffix_types(s)
-    left = np.zeros(n, bool)
-    left[1:] = small[1:] & ~small[:-1]
-    spots = np.flatnonzero(left)
+    spots = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(spots) < 2:
         return induce(s, small, spots, size)
-    rough = induce(s, small, spots, size)
-    ranked = rough[left[rough]]
-    # Names: equal leftmost-smaller substrings, from one such place to the next.
-    number = np.zeros(n, np.int64)
-    number[spots] = np.arange(len(spots))
-    upto = np.r_[spots[1:] + 1, n]
-    which = number[ranked]
-    length = upto[which] - spots[which]
-    same = np.zeros(len(ranked), bool)
-    pairs = np.flatnonzero((length[1:] == length[:-1]) & (which[1:] != len(spots) - 1) & (which[:-1] != len(spots) - 1)) + 1
-    if len(pairs):
-        a, b = ragged_take(ranked[pairs], length[pairs]), ragged_take(ranked[pairs - 1], length[pairs])
-        bad = np.add.reduceat((s[a] != s[b]).astype(np.int64), np.cumsum(length[pairs]) - length[pairs])
-        same[pairs] = bad == 0
-    names = np.empty(len(spots), np.int64)
-    names[which] = np.cumsum(~same) - 1
-    if names.max() + 1 < len(spots):
-        ordered = spots[suffix_array(names) if depth is None else _rank_order(names, depth)]
-    else:
-        ordered = spots[np.argsort(names)]
+    names, different = substring_names(s, small, spots, size)
+    ordered = spots[suffix_array(names) if different < len(spots) else np.argsort(names)]
     return induce(s, small, ordered, size)
 
 
@@ -364,7 +355,7 @@ def repeated_starts(contexts: list[bytes], places: list[int], lengths: tuple[int
     first = np.cumsum(sizes + 1) - sizes - 1
     values = np.unique(data)
     dense = np.searchsorted(values, data).astype(np.uint8)
-    sa = suffix_array(dense, int(sizes.max()))
+    sa = suffix_array(dense)
     near = permuted_prefixes(dense, sa, int(sizes.max()) + 8, first)
     which = np.repeat(np.arange(len(contexts)), sizes + 1)
     at = np.arange(len(data))
