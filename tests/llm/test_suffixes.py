@@ -97,3 +97,19 @@ def test_texts_longer_than_a_segment(spark):
     rows = [(1, long), (2, "x" + long[999_700:1_000_300] + "y"), (3, long[1_299_000:])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(suffixes.remove_repeats(df)) == brute(rows)
+
+
+def test_names_of_leftmost_smaller_substrings():
+    rng = np.random.default_rng(2)
+    for t in range(200):
+        s = rng.integers(0, int(rng.integers(2, 6)), int(rng.integers(8, 200)))
+        s = np.tile(s[: 3 + t % 60], 9) if t % 3 == 0 else s
+        small = suffixes.suffix_types(s)
+        spots = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+        if len(spots) < 2:
+            continue
+        ends = [*(spots[1:] + 1), len(s)]
+        strings = [tuple(zip(s[a:b].tolist(), small[a:b].tolist())) for a, b in zip(spots, ends)]
+        order = {x: i for i, x in enumerate(sorted(set(strings)))}
+        names, different = suffixes.substring_names(s, small, spots, int(s.max()) + 1)
+        assert names.tolist() == [order[x] for x in strings] and different == len(order)
