@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.llm import decontaminate, mixing, pii, quality, simhash, substrings, suffixes, tokens, toxicity, warc
+from chronoloom.llm import decontaminate, divergence, mixing, phrases, pii, quality, secrets, simhash, substrings, suffixes, tokens, toxicity, warc
 from chronoloom.llm.common import small_batches, table
 
 
@@ -59,6 +59,18 @@ def op10_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(whole(spark, sf_dir, "documents"))
 
 
+def op11_vocabulary_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(whole(spark, sf_dir, "documents"))
+
+
+def op12_prefix_growth_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(whole(spark, sf_dir, "documents"))
+
+
+def op13_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.detect(whole(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_dictionary": op1_warc_dictionary,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -70,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_deobfuscated_pii": op9_deobfuscated_pii,
     "op10_difference_cover_dedup": op10_difference_cover_dedup,
+    "op11_vocabulary_divergence": op11_vocabulary_divergence,
+    "op12_prefix_growth_collocations": op12_prefix_growth_collocations,
+    "op13_linked_secrets": op13_linked_secrets,
 }
 ORACLES: dict[str, str] = {
     "op1_warc_dictionary": warc.ORACLE,
@@ -78,4 +93,6 @@ ORACLES: dict[str, str] = {
     "op7_risk_controlled_quality": quality.ORACLE,
     "op8_suffix_array_dedup": suffixes.ORACLE,
     "op10_difference_cover_dedup": substrings.ORACLE,
+    "op11_vocabulary_divergence": divergence.ORACLE,
+    "op12_prefix_growth_collocations": phrases.ORACLE,
 }
