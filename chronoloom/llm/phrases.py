@@ -69,12 +69,12 @@ def bit_field(spots: DataFrame) -> Broadcast:
     rows = spots.select(at.alias("at")).selectExpr(f"at div {PIECE} AS piece", f"at % {PIECE} AS bit").groupBy("piece").agg(F.bitmap_construct_agg(F.col("bit")).alias("bits"))
     field = np.zeros(BITS // 8, np.uint8)
     for row in rows.toLocalIterator():  # BITS / PIECE rows at most
-        field[row["piece"] * PIECE // 8 :][: PIECE // 8] = np.frombuffer(row["bits"], np.uint8)
+        field[row["piece"] * PIECE // 8 :][: PIECE // 8] = np.frombuffer(row["bits"], np.uint8)[: PIECE // 8]
     return spark.sparkContext.broadcast(field)
 
 
 def _set(field: np.ndarray, spots: np.ndarray) -> np.ndarray:
-    at = spots & np.uint64(BITS - 1)
+    at = spots & np.uint64(8 * len(field) - 1)
     return (field[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 

@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -109,7 +110,7 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
         free, upto = [], -1
         starts, furthest = [a for a, _ in taken], np.maximum.accumulate([b for _, b in taken] or [-1])
         for a, b in sorted(set(found[kind])):
-            i = np.searchsorted(starts, b) - 1  # the last taken run that begins before the end
+            i = bisect_left(starts, b) - 1  # the last taken run that begins before the end
             if a < b and a >= upto and (i < 0 or furthest[i] <= a):
                 free.append((a, b))
                 upto = b
@@ -223,8 +224,9 @@ def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             for i, (spans, more) in enumerate(zip(base, linked(texts, base), strict=True)):
                 rows += [(i, *s, False, "", "") for s in spans]
                 rows += [(i, *s, True, written([x]), written([y]) if y else "") for s, x, y in more]
-            out = pd.DataFrame(rows, columns=["i", "kind", "start", "end", "weak", "link", "second_link"])
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy()[out.pop("i").to_numpy(np.int64)] if rows else pd.Series([], dtype="Int64"))
+            out = pd.DataFrame(rows, columns=["doc_id", "kind", "start", "end", "weak", "link", "second_link"])
+            out["doc_id"] = pdf["doc_id"].astype("Int64").take(out["doc_id"].to_numpy(np.int64)).to_numpy()
+            out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
     return _texts(docs, doc_id, text).mapInPandas(run, "doc_id long, kind string, start long, end long, weak boolean, link string, second_link string")
