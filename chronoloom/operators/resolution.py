@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.functions.text import char_grams, characters, core_name, cosine, jaccard, leading_name, strip
+from chronoloom.functions.text import characters, core_name, cosine, jaccard, leading_name
+from chronoloom.operators import search as se
+from chronoloom.operators import vectors as vx
 from chronoloom.operators.components import connected_components
+from chronoloom.operators.simjoin import name_pairs, overlap_join
+from chronoloom.plans.materialize import materialize
 
 # Scores and bounds of name matches and decisions.
 EXACT_CORE, SUBSTRING_BASE, SUBSTRING_SPAN, SUBSTRING_CAP = 0.85, 0.65, 0.30, 0.95
@@ -79,34 +83,6 @@ def resolve_ends(relations: DataFrame, names: DataFrame) -> DataFrame:
     return out.withColumn("reason", reason).withColumn("name1", F.coalesce("_name1", "name1")).withColumn("name2", F.coalesce("_name2", "name2")).drop("_row", "_name1", "_name2")
 
 
-def blocked_pairs(left: DataFrame, right: DataFrame, key: str = "name", most: int = 2000, keep: Column | None = None) -> DataFrame:
-    """Pairs whose names or core names share a bigram, whose core names are equal, or of which one has a single character that the other holds.
-
-    Blocks of more than ``most`` right names are cut into slices, each of which
-    meets all left names, so no pair is lost.  ``keep`` is a condition on
-    ``left_name`` and ``right_name``, tested before pairs are made distinct.
-    """
-    tag = lambda mark, x: F.transform(x, lambda c: F.concat(F.lit(mark), c))
-
-    def tokens(df: DataFrame, n: str, own: str, other: str) -> DataFrame:
-        name, core = F.lower(F.trim(key)), F.lower(core_name(key))
-        every = F.array_union(characters(name), characters(core))
-        alone = F.filter(F.array(F.lower(strip(F.col(key))), core), lambda c: F.length(c) == 1)
-        grams = F.array_union(char_grams(name, 2), char_grams(core, 2))
-        return df.select(F.col(key).alias(n), F.explode(F.array_distinct(F.concat(tag("2", grams), tag(own, alone), tag(other, every)))).alias("token"))
-
-    a = tokens(left.select(key).distinct(), "left_name", "l", "r")
-    b = tokens(right.select(key).distinct(), "right_name", "r", "l")
-    slices = b.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > most).select("token", F.ceil(F.col("n") / most).alias("slices"))
-    n = F.coalesce("slices", F.lit(1))
-    a = a.join(slices, "token", "left").select("token", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("slice"), "left_name")
-    b = b.join(slices, "token", "left").select("token", F.pmod(F.xxhash64("right_name"), n).alias("slice"), "right_name")
-    shared = a.join(b, ["token", "slice"]).select("left_name", "right_name")
-    cores = left.select(F.col(key).alias("left_name"), F.lower(core_name(key)).alias("c")).join(right.select(F.col(key).alias("right_name"), F.lower(core_name(key)).alias("c")), "c").select("left_name", "right_name")
-    out = shared.unionAll(cores)
-    return (out if keep is None else out.where(keep)).distinct()
-
-
 def name_score(left: Column, right: Column) -> Column:
     """Jaccard of names, lifted by an equal core name or by one core name holding the other."""
     a, b = F.lower(core_name(left)), F.lower(core_name(right))
@@ -119,11 +95,57 @@ def name_score(left: Column, right: Column) -> Column:
 def candidate_table(extracted: DataFrame, known: DataFrame, threshold: float = 0.6, top: int = 5) -> DataFrame:
     """Best known names for each extracted one, by score then name."""
     score = F.round(name_score(F.col("left_name"), F.col("right_name")), 6)
-    scored = blocked_pairs(extracted, known, keep=score >= threshold).withColumn("score", score)
+    pairs = name_pairs(extracted, known, threshold, top, exact_core=EXACT_CORE, base=SUBSTRING_BASE, span=SUBSTRING_SPAN)
+    scored = pairs.withColumn("score", score).where(F.col("score") >= threshold).distinct()
     by = Window.partitionBy("left_name").orderBy(F.desc("score"), "right_name")
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
 
 
+def entity_candidates(extracted: DataFrame, known: DataFrame, lexical: float = 0.6, dense: float = 0.6, top: int = 10, safe_lexical: float = 0.5, safe_dense: float = 0.85) -> DataFrame:
+    """Known families for each extracted row, by names and by vectors: ``pos``, ``family_id``, the scores, ``merge_safe`` and ``rank``.
+
+    ``extracted`` has ``pos``, ``name``, ``name_vector`` and ``full_vector``;
+    ``known`` has one row for each family with ``name`` and ``embedding``.  A pair
+    comes in by its name score or by either cosine; all three are then computed
+    for it, and the largest counts.  Merging is safe for equal core names, or if
+    both the names and a vector are close enough.
+    """
+    mine = materialize(extracted.select("pos", "name", "name_vector", "full_vector"), "extracted")
+    rows = materialize(known.select("family_id", F.col("name").alias("known_name"), "embedding"), "known")
+    names = lambda df, c: df.select(F.col(c).alias("name"))
+    score = F.round(name_score(F.col("left_name"), F.col("right_name")), 6)
+    alike = name_pairs(names(mine, "name"), names(rows, "known_name"), lexical, exact_core=EXACT_CORE, base=SUBSTRING_BASE, span=SUBSTRING_SPAN).withColumn("score", score).where(F.col("score") >= lexical)
+    alike = alike.select("left_name", "right_name").distinct()
+    pairs = mine.join(alike, F.col("name") == F.col("left_name")).join(rows, F.col("known_name") == F.col("right_name")).select("pos", "family_id")
+    index = vx.build(rows, "family_id")
+    for column in ("name_vector", "full_vector"):
+        pairs = pairs.unionAll(vx.within(index, mine, "pos", dense, column).select("pos", "family_id"))
+    met = pairs.distinct().join(mine, "pos").join(rows, "family_id")
+    scored = met.withColumn("lexical_score", F.round(name_score(F.col("name"), F.col("known_name")), 6)).withColumn(
+        "dense_score", F.round(F.greatest(cosine("name_vector", "embedding"), cosine("full_vector", "embedding")), 6)
+    )
+    same = (F.lower(core_name("name")) == F.lower(core_name("known_name"))) & (core_name("name") != "")
+    scored = scored.withColumn("score", F.greatest("lexical_score", "dense_score")).withColumn("merge_safe", same | ((F.col("dense_score") >= safe_dense) & (F.col("lexical_score") >= safe_lexical)))
+    by = Window.partitionBy("pos").orderBy(F.desc("score"), "family_id")
+    ranked = scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
+    return ranked.select("pos", "family_id", "lexical_score", "dense_score", "score", "merge_safe", "rank")
+
+
+def with_text_hits(candidates: DataFrame, extracted: DataFrame, known: DataFrame, lexical: float = 0.6, hits: int = 5, top: int = 10) -> DataFrame:
+    """Candidates with those families added that a text search for the extracted name finds and whose name is similar enough.
+
+    Each distinct name is a query to one inverted index of the known contents,
+    all in one join; added rows have no dense score and are not safe to merge.
+    """
+    names = extracted.where(F.trim("name") != "").select(F.trim("name").alias("query")).distinct()
+    found = se.bm25_join(names, known, "query", "family_id", "content", hits)
+    near = found.join(known.select("family_id", F.col("name").alias("known_name")), "family_id").withColumn("lexical_score", F.round(jaccard("query", "known_name"), 6)).where(F.col("lexical_score") >= lexical)
+    more = extracted.select("pos", F.trim("name").alias("query")).join(near, "query").select("pos", "family_id", "lexical_score")
+    more = more.join(candidates.select("pos", "family_id"), ["pos", "family_id"], "left_anti").select("*", F.lit(0.0).alias("dense_score"), F.col("lexical_score").alias("score"), F.lit(False).alias("merge_safe"))
+    by = Window.partitionBy("pos").orderBy(F.desc("score"), "family_id")
+    return candidates.drop("rank").unionByName(more).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
+
+
 def decide(scored: DataFrame) -> DataFrame:
     """Decision by score: a version of the known entity, a new one, or a case for the judge."""
     kind = F.when((F.col("score") >= SAME_VERSION) & (F.lower(core_name("left_name")) == F.lower(core_name("right_name"))), "version").when(F.col("score") < NEW_ENTITY, "new").otherwise("judge")
@@ -133,21 +155,13 @@ def decide(scored: DataFrame) -> DataFrame:
 def similar_contents(rows: DataFrame, threshold: float = 0.65) -> DataFrame:
     """Groups of contents whose character sets overlap by more than the threshold: ``id``, ``group``.
 
-    Equal character sets are compared once; two sets of Jaccard above t share a
-    character among the rarest (1 - t) share of either, so only those are joined.
+    Equal character sets are compared once, others by an overlap join.
     """
     chars = rows.select("id", F.array_sort(characters(F.lower(F.trim(F.coalesce("content", F.lit("")))))).alias("set"))
-    kinds = chars.groupBy("set").agg(F.min("id").alias("rep"))
-    spread = kinds.select("rep", "set", F.explode("set").alias("c"))
-    often = spread.groupBy("c").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("rep").orderBy("n", "c")
-    prefix = spread.join(often, "c").withColumn("place", F.row_number().over(by)).where(F.col("place") <= F.floor(F.size("set") * F.lit(1 - threshold)) + 1)
-    a = prefix.select("c", F.col("rep").alias("u"), F.col("set").alias("s"))
-    b = prefix.select("c", F.col("rep").alias("v"), F.col("set").alias("t"))
-    pairs = a.join(b, "c").where("u < v").where((F.size("s") > F.size("t") * threshold) & (F.size("t") > F.size("s") * threshold)).dropDuplicates(["u", "v"])
-    both = F.size(F.array_intersect("s", "t"))
-    links = pairs.where(both / (F.size("s") + F.size("t") - both) > threshold).select("u", "v")
-    groups = connected_components(links, "u", "v")
+    kinds = materialize(chars.groupBy("set").agg(F.min("id").alias("rep")), "character-sets")
+    sets = kinds.where(F.size("set") > 0).select(F.col("rep").alias("id"), F.col("set").alias("tokens"))
+    links = overlap_join(sets, sets, threshold).where(F.col("left_id") < F.col("right_id")).where(F.col("similarity") > threshold)
+    groups = connected_components(links.select(F.col("left_id").alias("u"), F.col("right_id").alias("v")), "u", "v")
     final = kinds.join(groups, kinds["rep"] == groups["id"], "left").select("set", F.coalesce("component", "rep").alias("group"))
     return chars.join(final, "set").select("id", "group")
 

@@ -11,7 +11,7 @@ from chronoloom.functions.text import bleu, core_name, cosine, jaccard, sequence
 from chronoloom.plans.materialize import materialize
 
 K1, B = 1.2, 0.75
-#: Rank constant and arm weights of the fusion.
+# Rank constant and arm weights of the fusion.
 RRF_K, VECTOR_WEIGHT, BM25_WEIGHT, GRAPH_WEIGHT = 60, 0.7, 0.3, 0.15
 
 
@@ -76,6 +76,24 @@ def bm25_stored(index: tuple[DataFrame, DataFrame], key: str, query: str, limit:
     return out.orderBy(F.desc("score"), key).limit(limit) if limit else out
 
 
+def bm25_join(queries: DataFrame, docs: DataFrame, query: str, key: str, text: str, limit: int) -> DataFrame:
+    """The first ``limit`` documents by BM25 for every distinct query text, all queries in one join over one inverted index: ``query``, ``key``, ``score``.
+
+    Terms of a query count once; a query without terms finds nothing.
+    """
+    postings = materialize(inverted_index(docs, key, text), "postings")
+    often = postings.groupBy("term").agg(F.count("*").alias("_df"))
+    words = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_words"))
+    totals = docs.agg(F.count("*").alias("_docs")).join(F.broadcast(words)).select("_docs", (F.col("_words") / F.nullif("_docs", F.lit(0))).alias("_avg"))
+    asked = queries.select(F.col(query)).distinct().select(query, F.explode(F.array_distinct(terms(F.col(query)))).alias("term"))
+    rows = asked.join(often, "term").join(postings, "term").join(F.broadcast(totals))
+    idf = F.log(1 + (F.col("_docs") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("_avg")))
+    scored = rows.groupBy(query, key).agg(F.round(F.sum(part), 6).alias("score"))
+    by = Window.partitionBy(query).orderBy(F.desc("score"), key)
+    return scored.withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= limit).drop("_rank")
+
+
 def _count(words: str, term: str) -> Column:
     return F.size(F.filter(words, lambda x: x == F.lit(term)))
 
@@ -132,7 +150,9 @@ def by_similarity(rows: DataFrame, query: str, threshold: float, limit: int, met
 
 
 def occurrences(rows: DataFrame, query: str, key: str = "id", column: str = "content", limit: int = 20) -> DataFrame:
-    """Rows that hold the query, by how often (case-folded), newest events first among equals."""
+    """Rows that hold the query, by how often (case-folded), newest events first among equals; an empty query finds none."""
+    if not query:
+        return rows.where("false").select(key, "event_time", F.lit(0).cast("long").alias("score"))
     low, q = F.lower(column), query.lower()
     n = ((F.length(low) - F.length(F.replace(low, F.lit(q), F.lit("")))) / len(q)).cast("long")
     return rows.where(low.contains(q)).select(key, "event_time", n.alias("score")).orderBy(F.desc("score"), F.desc("event_time"), key).limit(limit)
