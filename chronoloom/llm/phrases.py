@@ -2,14 +2,15 @@
 
 Words come first: their counts are aggregated, and those too rare for any
 phrase are marked absent in a bit field of fixed size, which passes all others.
-Pairs of frequent words are the prefixes that growth starts from.  A second
-bit field holds the frequent pairs; the third pass over the texts projects, for
-every occurrence of a frequent pair, the pointer to the one or two words after
-it, as long as each next pair is frequent too.  Pointers of one prefix are dealt
-to one task, which reads them in the order of the words they point at, so
-growing to the right depth-first means closing runs of that order, and no
-prefix is ever held in memory.  Prefixes with more occurrences than a bound are
-grown by a distributed count instead, which combines before the shuffle.
+Pairs of frequent words are the prefixes that growth starts from: a pass over
+the texts counts their hashes, and one more counts those pairs whose hash is
+frequent enough.  The last pass projects, for every occurrence of a frequent
+pair, the pointer to the one or two words after it, as long as each next pair is
+frequent too.  Pointers of one prefix are dealt to one task, which reads them in
+the order of the words they point at, so growing to the right depth-first means
+closing runs of that order, and no prefix is ever held in memory.  Pointers of
+prefixes with more occurrences than a bound are dealt to many tasks by the words
+they point at, and what these count is summed.
 
 Bits are chosen by hash, so the bit fields may let a rare pattern through,
 never lose one; counts are of the words themselves and exact.
@@ -32,15 +33,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.llm.common import tidy
-from chronoloom.llm.words import byte_table, constant, groups, split, strings
+from chronoloom.llm.words import Words, byte_table, constant, groups, split, strings
 from chronoloom.plans.materialize import materialize
 
 TABLE = byte_table(b"\x09\x20", b".,;:!?\x0a\x0b\x0c\x0d")
 LEAST, LONGEST, TOP, COVER = 30, 4, 2000, 80
 #: Bits of a field (16 MB), in pieces that Spark's bitmap functions fill.
 BITS, PIECE = 1 << 27, 32768
-#: Prefixes of more occurrences than this, or than this share of all, are grown by a distributed count; the share bounds their number.
-HOT, HOT_SHARE = 1 << 12, 1 << 16
+#: Pointers of prefixes with more occurrences than this, and than this share of all, are dealt to so many tasks; the share bounds the prefixes' number.
+HOT, HOT_SHARE, SALTS = 1 << 12, 1 << 16, 256
 
 
 def _spot(lang: Column, word: Column) -> Column:
@@ -106,14 +107,34 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return _over_texts(docs, run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
 
 
-def pair_counts(docs: DataFrame, words: Broadcast) -> DataFrame:
-    """Occurrences of pairs of frequent words."""
+def _frequent_pairs(w: Words, lang: str, field: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of frequent words, and all words' hashes."""
+    spots = _spots(lang, w.names)
+    ok = _set(field, spots)[w.codes] if len(w.codes) else np.zeros(0, bool)
+    return np.flatnonzero(w.runs_on[:-1] & ok[:-1] & ok[1:]), spots
+
+
+def pair_field(docs: DataFrame, words: Broadcast, least: int) -> Broadcast:
+    """Bits of the pairs of frequent words that together with those of the same bit occur ``least`` times."""
+
+    def run(lang: str, texts: pa.Array) -> list[pa.Array]:
+        w = split(texts, TABLE)
+        at, spots = _frequent_pairs(w, lang, words.value)
+        found, n = _tally(_pair_spots(spots[w.codes[at]], spots[w.codes[at + 1]]) & np.uint64(8 * len(words.value) - 1))
+        return [pa.array(found.astype(np.int64)), n]
+
+    rows = _over_texts(docs, run, "lang string, spot long, n long")
+    return bit_field(rows.groupBy("spot").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("spot"))
+
+
+def pair_counts(docs: DataFrame, words: Broadcast, pairs: Broadcast) -> DataFrame:
+    """Occurrences of pairs of frequent words whose bit is set."""
 
     def run(lang: str, texts: pa.Array) -> list[pa.Array]:
         w = split(texts, TABLE)
-        often, size = _set(words.value, _spots(lang, w.names)), max(1, len(w.names))
-        ok = often[w.codes] if len(w.codes) else np.zeros(0, bool)
-        at = np.flatnonzero(w.runs_on[:-1] & ok[:-1] & ok[1:])
+        at, spots = _frequent_pairs(w, lang, words.value)
+        at = at[_set(pairs.value, _pair_spots(spots[w.codes[at]], spots[w.codes[at + 1]]))]
+        size = max(1, len(w.names))
         found, n = _tally(w.codes[at] * size + w.codes[at + 1])
         return [strings(w.names.take(pa.array(found // size))), strings(w.names.take(pa.array(found % size))), n]
 
@@ -149,20 +170,25 @@ def projections(docs: DataFrame, pairs: Broadcast, hot: Broadcast) -> DataFrame:
 
 
 def grow(pointers: DataFrame, least: int) -> DataFrame:
-    """Frequent patterns that begin with a prefix, each prefix in one task, from pointers in the order of their words."""
+    """Frequent patterns that begin with a prefix, from its pointers in the order of their words.
+
+    A prefix is one task's, but for the hot ones: their pointers are dealt by
+    the words they point at, and what is counted of them is summed afterwards.
+    """
     depths = (("lang", "prefix", "third"), ("lang", "prefix", "third", "fourth"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        still: list[tuple[tuple, int] | None] = [None, None]  # the run of each depth that may go on
+        still: list[tuple[tuple, int, bool] | None] = [None, None]  # the run of each depth that may go on
 
-        def closed(keys: list[tuple], counts: list[int]) -> pa.RecordBatch:
-            rows = [(k[0], " ".join(k[1:]), len(k), int(n)) for k, n in zip(keys, counts, strict=True) if n >= least and k[-1]]
-            return pa.RecordBatch.from_pylist([dict(zip(("lang", "phrase", "words", "f"), r, strict=True)) for r in rows], pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("f", pa.int64())]))
+        def closed(found: list[tuple[tuple, int, bool]]) -> pa.RecordBatch:
+            rows = [(k[0], " ".join(k[1:]), len(k), n) for k, n, hot in found if (hot or n >= least) and k[-1]]
+            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], ["lang", "phrase", "words", "f"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new, n = np.zeros(batch.num_rows, bool), batch.column("n").to_numpy()
+            new, n, hot = np.zeros(batch.num_rows, bool), batch.column("n").to_numpy(), batch.column("hot").to_numpy(zero_copy_only=False)
             new[0] = True
             for depth, names in enumerate(depths):
                 for name in names if not depth else names[-1:]:
@@ -170,21 +196,23 @@ def grow(pointers: DataFrame, least: int) -> DataFrame:
                     new[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
                 at = np.flatnonzero(new)
                 sums = np.add.reduceat(n, at)
-                key = lambda i: tuple(batch.column(name)[int(at[i])].as_py() for name in names)  # noqa: B023, E731
-                keys, counts = [], []
-                if still[depth] is not None:
-                    if still[depth][0] == key(0):
-                        sums[0] += still[depth][1]
+                run_of = lambda i: (tuple(batch.column(name)[int(at[i])].as_py() for name in names), int(sums[i]), bool(hot[at[i]]))  # noqa: B023, E731
+                found, first = [], still[depth]
+                if first is not None:
+                    if first[0] == run_of(0)[0]:
+                        sums[0] += first[1]
                     else:
-                        keys.append(still[depth][0])
-                        counts.append(still[depth][1])
-                full = [i for i in np.flatnonzero(sums >= least) if i < len(at) - 1]
-                still[depth] = (key(len(at) - 1), int(sums[-1]))
-                yield closed(keys + [key(i) for i in full], counts + [int(sums[i]) for i in full])
-        yield closed([s[0] for s in still if s], [s[1] for s in still if s])
+                        found.append(first)
+                last = len(at) - 1
+                found += [run_of(i) for i in np.flatnonzero((sums >= least) | hot[at]) if i < last]
+                still[depth] = run_of(last)
+                yield closed(found)
+        yield closed([s for s in still if s])
 
-    dealt = pointers.repartition("lang", "prefix").sortWithinPartitions("lang", "prefix", "third", "fourth")
-    return dealt.select("lang", "prefix", "third", "fourth", "n").mapInArrow(tidy(run), "lang string, phrase string, words int, f long")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("third", "fourth"), F.lit(SALTS))).otherwise(0)
+    dealt = pointers.withColumn("salt", salt).repartition("lang", "prefix", "salt").sortWithinPartitions("lang", "prefix", "third", "fourth")
+    counted = dealt.select("lang", "prefix", "third", "fourth", "n", "hot").mapInArrow(tidy(run), "lang string, phrase string, words int, f long")
+    return counted.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -196,18 +224,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Da
     sizes = counts.groupBy("lang").agg(F.sum("f").alias("n"))
     words = counts.where(F.col("f") >= least)
     often = bit_field(words.select(_spot(F.col("lang"), F.col("phrase")).alias("spot")))
-    pairs = materialize(pair_counts(docs, often).where(F.col("f") >= least), "phrase-pairs")
+    pairs = materialize(pair_counts(docs, often, pair_field(docs, often, least)).where(F.col("f") >= least), "phrase-pairs")
     spots = pairs.select("f", _pair_spot(F.col("lang"), F.col("first"), F.col("second")).alias("spot"))
     total = pairs.agg(F.sum("f")).first()[0] or 0
     most = max(HOT, total // HOT_SHARE)
     hot = np.array([r["spot"] for r in spots.where(F.col("f") > most).select("spot").toLocalIterator()], np.int64).view(np.uint64)
-    spark = docs.sparkSession
-    pointers = materialize(projections(docs, bit_field(spots), spark.sparkContext.broadcast(hot)), "phrase-pointers")
-    crowded = pointers.where("hot")
-    third = crowded.groupBy("lang", "prefix", "third").agg(F.sum("n").alias("f")).select("lang", F.concat_ws(" ", "prefix", "third").alias("phrase"), F.lit(3).alias("words"), "f")
-    fourth = crowded.where("fourth <> ''").groupBy("lang", "prefix", "third", "fourth").agg(F.sum("n").alias("f"))
-    fourth = fourth.select("lang", F.concat_ws(" ", "prefix", "third", "fourth").alias("phrase"), F.lit(4).alias("words"), "f")
-    grown = grow(pointers.where("not hot"), least).unionByName(third.unionByName(fourth).where(F.col("f") >= least))
+    grown = grow(projections(docs, bit_field(spots), docs.sparkSession.sparkContext.broadcast(hot)), least)
     short = words.select("lang", "phrase", F.lit(1).alias("words"), "f").unionByName(pairs.select("lang", F.concat_ws(" ", "first", "second").alias("phrase"), F.lit(2).alias("words"), "f"))
     return materialize(short.unionByName(grown), "phrase-frequent"), sizes
 
