@@ -46,6 +46,8 @@ LEAST_DOCUMENTS, TOP_TERMS, UNIT = 3, 200, 1_000_000_000
 PART_CHARS, STRETCH = 6_000_000, 32 << 20
 #: Pairs summed at once, and sums a task holds before it sends them on.
 PAIRS, SUMS = 1 << 20, 1 << 20
+#: Tasks that share a language's distinct counts.
+SALTS = 32
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -215,7 +217,9 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS, p
     neither = both.select("lang", "a", "b", wide(f"v * cast({_gap('none_a', 'none_b')} AS decimal(20,0))").alias("value"))
     levels = postings.groupBy("lang", "number", "none", "p").agg(F.count("*").alias("m"))
     times = lambda e: wide(f"m * cast({e} AS decimal(20,0))").alias("value")
-    one = levels.withColumnsRenamed({"number": "x", "none": "none_x"}).join(other.withColumnsRenamed({"b": "y", "none_b": "none_y"}), "lang").where("x <> y")
+    salted = levels.withColumnsRenamed({"number": "x", "none": "none_x"}).withColumn("salt", F.pmod(F.xxhash64("x", "p"), F.lit(SALTS)).cast("int"))
+    others = other.withColumnsRenamed({"b": "y", "none_b": "none_y"}).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    one = salted.join(others, ["lang", "salt"]).where("x <> y")
     forth = one.select("lang", F.col("x").alias("a"), F.col("y").alias("b"), times(f"{_gap('p', 'none_y')} - {_gap('none_x', 'none_y')}"))
     back = one.select("lang", F.col("y").alias("a"), F.col("x").alias("b"), times(f"{_gap('none_y', 'p')} - {_gap('none_y', 'none_x')}"))
     shared = shared_terms(postings)
