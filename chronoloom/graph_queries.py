@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronoloom.operators import endpoints as en
+from chronoloom.operators import incremental as inc
 from chronoloom.operators import resolution as rs
 from chronoloom.operators import retrieval as rt
+from chronoloom.operators import temporal as tm
+from chronoloom.operators import traversal as tv
 from chronoloom.operators import vectors as vx
 from chronoloom.more_queries import _AGED, _CORE, _NOW_REL, _PROBE, _STRIP, bm25_sql, rank_sql
-from chronoloom.queries import NOW, ORACLES, _GRAMS, _JACCARD, query
+from chronoloom.queries import _JACCARD, ASOF, EARLY, NEWEST, NOW, ORACLES, _concepts, query
 
 # --- vector index -----------------------------------------------------------
 
@@ -201,3 +204,103 @@ def ends_by_vector(v):
     names = v.table("supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("place"))
     own = v.table("supplier").join(vec, F.col("vec_id") == F.col("s_suppkey")).select(F.col("s_name").alias("name"), "embedding")
     return en.resolved(raws, names, inside=False, vectors=(raws, own), nearest=0.35).select("raw", "name", "stage")
+
+
+# --- incremental maintenance ------------------------------------------------
+
+SINCE, UNTIL = "2024-01-15 00:00:00", "2024-01-18 00:00:00"
+# Meetings of users: each event with the next one; a fifth of them end after five days.  One user in fifty is merged into the next one by UNTIL.
+_MEET = """, meet AS (SELECT 'm' || a.event_id AS id, 'm' || (a.event_id % 997) AS family_id, 'e' || a.event_id AS entity1_id, 'e' || b.event_id AS entity2_id, a.event_type AS content, greatest(a.ts, b.ts) AS processed_time,
+CASE WHEN a.event_id % 5 = 0 THEN greatest(a.ts, b.ts) + INTERVAL 5 DAY END AS invalid_at FROM events a JOIN events b ON b.event_id = a.event_id + 1),
+moved AS (SELECT DISTINCT 'u' || user_id AS s, 'u' || (user_id + 1) AS t FROM events WHERE user_id % 50 = 7)"""
+
+
+def _edges_sql(name: str, t: str, merged: bool) -> str:
+    family = "coalesce(moved.t, family_id)" if merged else "family_id"
+    return f""", ent_{name} AS (SELECT id, {family} AS family_id, processed_time, invalid_at IS NULL OR invalid_at > TIMESTAMP '{t}' AS open FROM entities LEFT JOIN moved ON moved.s = family_id WHERE processed_time <= TIMESTAMP '{t}'),
+cur_{name} AS (SELECT family_id, id FROM ent_{name} WHERE open QUALIFY row_number() OVER (PARTITION BY family_id ORDER BY processed_time DESC, id DESC) = 1),
+full_{name} AS (SELECT m.id AS relation_id, m.family_id, a.family_id AS fam1, b.family_id AS fam2, ca.id AS source_id, cb.id AS target_id, m.content FROM meet m JOIN ent_{name} a ON a.id = entity1_id JOIN ent_{name} b ON b.id = entity2_id
+ JOIN cur_{name} ca ON ca.family_id = a.family_id JOIN cur_{name} cb ON cb.family_id = b.family_id WHERE m.processed_time <= TIMESTAMP '{t}' AND (m.invalid_at IS NULL OR m.invalid_at > TIMESTAMP '{t}') AND a.family_id <> b.family_id)"""
+
+
+def _meetings(v):
+    e = v.table("events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    b = e.select((F.col("event_id") - 1).alias("event_id"), F.col("ts").alias("next_ts"))
+    at = F.greatest("ts", "next_ts")
+    return e.join(b, "event_id").select(
+        F.concat(F.lit("m"), "event_id").alias("id"), F.concat(F.lit("m"), F.col("event_id") % 997).alias("family_id"), F.concat(F.lit("e"), "event_id").alias("entity1_id"),
+        F.concat(F.lit("e"), F.col("event_id") + 1).alias("entity2_id"), F.col("event_type").alias("content"), at.alias("processed_time"), F.when(F.col("event_id") % 5 == 0, at + F.expr("INTERVAL 5 DAYS")).alias("invalid_at"),
+    )
+
+
+def _moved(v):
+    users = v.table("events").where("user_id % 50 = 7").select("user_id").distinct()
+    return users.select(F.concat(F.lit("u"), "user_id").alias("source_family_id"), F.concat(F.lit("u"), F.col("user_id") + 1).alias("target_family_id"))
+
+
+def _refresh(v):
+    """Edges before the batch, and what the batch does to them."""
+    relations, entities, moved = _meetings(v), v.entities, _moved(v)
+    old = inc.current_edges(inc.known_at(relations, SINCE), inc.known_at(entities, SINCE))
+    changed = [inc.feed(rows, SINCE, UNTIL) for rows in (relations, entities)]
+    now = [inc.known_at(rows, UNTIL) for rows in (relations, entities)]
+    return old, inc.refresh_edges(old, *now, *changed, moved, moved)
+
+
+_BOTH = _MEET + _edges_sql("a", SINCE, False) + _edges_sql("b", UNTIL, True)
+
+
+@query(("entities",), _BOTH + " SELECT * FROM full_b")
+def edges_refreshed(v):
+    return inc.applied(*_refresh(v), "relation_id")
+
+
+@query(("entities",), _BOTH + " SELECT *, 'delete' AS op FROM (FROM full_a EXCEPT FROM full_b) UNION ALL SELECT *, 'insert' FROM (FROM full_b EXCEPT FROM full_a)")
+def edges_delta(v):
+    return _refresh(v)[1]
+
+
+@query(("entities",), _BOTH.replace("coalesce(moved.t, family_id)", "family_id") + " SELECT *, 'delete' AS op FROM (FROM cur_a EXCEPT FROM cur_b) UNION ALL SELECT *, 'insert' FROM (FROM cur_b EXCEPT FROM cur_a)")
+def newest_delta(v):
+    old = tm.latest(inc.known_at(v.entities, SINCE).where("invalid_at is null"))
+    return inc.refresh_newest(old, inc.feed(v.entities, SINCE, UNTIL), inc.known_at(v.entities, UNTIL))
+
+
+# --- traversal at a time ----------------------------------------------------
+
+
+def _steps_sql(t: str, relations: str, costs: dict[str, int]) -> str:
+    cost = "CASE role " + " ".join(f"WHEN '{r}' THEN {c}" for r, c in costs.items()) + " END"
+    return f""", every AS (SELECT id, family_id, 'entity' AS role, TIMESTAMP '1990-01-01' AS processed_time, NULL AS e1, NULL AS e2, false AS hid FROM things
+UNION ALL SELECT id, family_id, 'relation', processed_time, entity1_id, entity2_id, coalesce(json_extract_string(attributes, '$.tier') = 'candidate' AND json_extract_string(attributes, '$.status') = 'hypothesized', false)
+ FROM relations WHERE {relations} AND (valid_at IS NULL OR valid_at <= TIMESTAMP '{t}') AND (invalid_at IS NULL OR invalid_at > TIMESTAMP '{t}')
+UNION ALL SELECT id, family_id, 'observation', processed_time, NULL, NULL, false FROM episodes),
+stand AS (SELECT *, {cost} AS c FROM (SELECT * FROM every QUALIFY {NEWEST} = 1) WHERE NOT hid),
+ends AS (SELECT DISTINCT family_id AS r, x AS e FROM (SELECT family_id, unnest([e1, e2]) AS x FROM stand WHERE role = 'relation') WHERE x IN (SELECT id FROM things)),
+told AS (SELECT DISTINCT family_id AS u, target_id AS v FROM stand JOIN mentions ON episode_id = stand.id WHERE role = 'observation' AND target_id IN (SELECT id FROM things)),
+near AS (SELECT u, v, c FROM (SELECT r AS u, e AS v FROM ends UNION ALL SELECT e, r FROM ends UNION ALL SELECT u, v FROM told) JOIN stand ON stand.family_id = v)"""
+
+
+def _reached_sql(starts: str, most: int) -> str:
+    return f""", reach(family_id, cost) AS (SELECT family_id, 0 FROM stand WHERE family_id IN ({starts}) UNION SELECT near.v, cost + c FROM reach JOIN near ON near.u = reach.family_id WHERE cost + c <= {most})
+SELECT family_id, id, role, min(cost)::INTEGER AS cost FROM reach JOIN stand USING (family_id) GROUP BY ALL"""
+
+
+@query(("things", "relations", "episodes", "mentions"), _steps_sql(EARLY, f"event_time <= TIMESTAMP '{EARLY}'", {"entity": 1, "relation": 2, "observation": 1}) + _reached_sql("'s1', 's2', 'c1', 'c2', 'c4', 'none'", 9))
+def reached_at_a_time(v):
+    """Few relations stand at the time, so the recursion visits ways of any length."""
+    rows = _concepts(v).where((F.col("role") != "relation") | (F.col("event_time") <= F.lit(EARLY).cast("timestamp")))
+    starts = v.spark.createDataFrame([(x,) for x in ("s1", "s2", "c1", "c2", "c4", "none")], "family_id string")
+    return tv.traverse(tv.steps(rows, v.mentions, EARLY, {"entity": 1, "relation": 2, "observation": 1}), starts, 9)
+
+
+@query(("things", "relations", "episodes", "mentions"), _steps_sql(ASOF, "true", {"entity": 1, "relation": 0, "observation": 1}) + _reached_sql("'p1'", 2))
+def reached_over_all(v):
+    starts = v.spark.createDataFrame([("p1",)], "family_id string")
+    return tv.traverse(tv.steps(_concepts(v), v.mentions, ASOF, {"entity": 1, "relation": 0, "observation": 1}), starts, 2)
+
+
+@query(("things", "relations", "episodes", "mentions"), _steps_sql(EARLY, f"event_time <= TIMESTAMP '{EARLY}'", {"entity": 1, "relation": 1, "observation": 1}) + " SELECT u, v, c::INTEGER AS cost FROM near")
+def steps_at_a_time(v):
+    rows = _concepts(v).where((F.col("role") != "relation") | (F.col("event_time") <= F.lit(EARLY).cast("timestamp")))
+    return tv.steps(rows, v.mentions, EARLY)[1]

@@ -42,32 +42,43 @@ def ego_network(edges: DataFrame, node: str, depth: int = 1) -> tuple[DataFrame,
 def shortest_paths(edges: DataFrame, source: str, target: str, max_depth: int = 6, max_paths: int = 10) -> DataFrame:
     """All shortest paths as ``path`` arrays, in lexicographic order, up to ``max_paths``.
 
-    Levels are found forward from the source until the target shows up; then
-    only nodes that lie on a shortest path are kept, level by level backward,
-    and paths are grown over those.
+    Levels are found from both ends, the smaller frontier first, until they
+    meet; then only nodes on a way between the ends are kept, from the meeting
+    level outwards, and paths are grown over those.
     """
     spark = edges.sparkSession
-    near = materialize(both_ways(edges), "path-edges")
-    levels = [spark.createDataFrame([(source,)], "id string")]
-    seen, found = levels[0], source == target
-    while not found and len(levels) <= max_depth:
-        step = near.join(levels[-1].select(F.col("id").alias("u")), "u").select(F.col("v").alias("id")).distinct()
-        level = materialize(step.join(seen, "id", "left_anti"), "path-level")
-        if level.isEmpty():
+    rows = edges.where("u is not null and v is not null and u <> v").select("u", "v")
+    near = materialize(rows.unionAll(rows.select(F.col("v").alias("u"), F.col("u").alias("v"))), "path-edges")
+
+    def step(level: DataFrame) -> DataFrame:
+        return near.join(level.select(F.col("id").alias("u")), "u").select(F.col("v").alias("id")).distinct()
+
+    one = lambda x: spark.createDataFrame([(x,)], "id string")
+    sides = [[one(source)], [one(target)]]
+    sizes, met = [1, 1], source == target
+    while not met and len(sides[0]) + len(sides[1]) - 2 < max_depth:
+        own, other = (0, 1) if sizes[0] <= sizes[1] else (1, 0)
+        seen = sides[own][0]
+        for level in sides[own][1:]:
+            seen = seen.unionAll(level)
+        level = materialize(step(sides[own][-1]).join(seen, "id", "left_anti"), "path-level")
+        sizes[own] = level.count()
+        if not sizes[own]:
             break
-        levels.append(level)
-        seen = seen.unionAll(level)
-        found = not level.where(F.col("id") == target).isEmpty()
-    if not found:
+        sides[own].append(level)
+        met = not level.join(sides[other][-1], "id", "left_semi").isEmpty()
+    if not met:
         return spark.createDataFrame([], "path array<string>, length int")
-    useful = [spark.createDataFrame([(target,)], "id string")]
-    for level in reversed(levels[:-1]):
-        back = near.join(useful[-1].select(F.col("id").alias("u")), "u").select(F.col("v").alias("id")).distinct()
-        useful.append(materialize(back.join(level, "id", "left_semi"), "path-back"))
+    middle = sides[0][-1].join(sides[1][-1], "id", "left_semi") if source != target else sides[0][0]
+    useful = [middle]
+    for level in reversed(sides[0][:-1]):
+        useful.insert(0, materialize(step(useful[0]).join(level, "id", "left_semi"), "path-back"))
+    for level in reversed(sides[1][:-1]):
+        useful.append(materialize(step(useful[-1]).join(level, "id", "left_semi"), "path-back"))
     paths = spark.createDataFrame([([source],)], "path array<string>")
-    for level in reversed(useful[:-1]):
+    for level in useful[1:]:
         grown = paths.withColumn("u", F.element_at("path", -1)).join(near, "u").join(level.select(F.col("id").alias("v")), "v", "left_semi")
-        paths = materialize(grown.select(F.concat("path", F.array("v")).alias("path")).orderBy("path").limit(max_paths * 10), "paths")
+        paths = materialize(grown.select(F.concat("path", F.array("v")).alias("path")).distinct().orderBy("path").limit(max_paths), "paths")
     return paths.select("path", (F.size("path") - 1).alias("length")).orderBy("path").limit(max_paths)
 
 
