@@ -95,4 +95,4 @@ def refresh_newest(old: DataFrame, changed: DataFrame, rows: DataFrame) -> DataF
 def applied(old: DataFrame, delta: DataFrame, key: str) -> DataFrame:
     """The table after a refresh; ``key`` names a row."""
     gone = delta.where("op = 'delete'").select(key)
-    return old.join(gone, key, "left_anti").unionByName(delta.where("op = 'insert'").select(*old.columns))
+    return old.join(gone, key, "left_anti").select(*old.columns).unionByName(delta.where("op = 'insert'").select(*old.columns))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.functions import text as tx
-from chronoloom.operators import dream, graph, relations, resolution, search, temporal, writes
+from chronoloom.operators import dream, graph, relations, resolution, search, simjoin, temporal, writes
 from chronoloom.operators.components import connected_components
 from chronoloom.sources import io
 from chronoloom.streaming import ingest
