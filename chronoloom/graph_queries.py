@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronoloom.functions import name_rules as nr
+from chronoloom.functions.text import strip
 from chronoloom.operators import endpoints as en
 from chronoloom.operators import incremental as inc
 from chronoloom.operators import resolution as rs
 from chronoloom.operators import retrieval as rt
 from chronoloom.operators import temporal as tm
 from chronoloom.operators import traversal as tv
+from chronoloom.operators import upkeep as up
 from chronoloom.operators import vectors as vx
+from chronoloom.plans.materialize import materialize
 from chronoloom.more_queries import _AGED, _CORE, _NOW_REL, _PROBE, _STRIP, bm25_sql, rank_sql
 from chronoloom.queries import _JACCARD, ASOF, EARLY, NEWEST, NOW, ORACLES, _concepts, query
 
@@ -304,3 +308,135 @@ def reached_over_all(v):
 def steps_at_a_time(v):
     rows = _concepts(v).where((F.col("role") != "relation") | (F.col("event_time") <= F.lit(EARLY).cast("timestamp")))
     return tv.steps(rows, v.mentions, EARLY)[1]
+
+
+# --- names, health, actions -------------------------------------------------
+
+# One name at least for each rule, and valid ones, beside the tables' own.
+ODD_NAMES = [
+    "", "x", "an entity name that is far longer than a name of this language is", "这是一个非常非常非常非常非常非常非常非常非常非常长的名字没有人会用", "12345", "1984年5月3日", "1984", "处理进度表", "the json file", "my token", "abababab", "玄德曰：善", "according to Ada",
+    "Watch out!", "甲、乙", "a, b, c, d", "天下大势，分久必合", "He came. He saw", "北京大学的物理学家", "some_name_here", "张伟（他说，好）", "标题：引言", "how to win", "the best method", "Building a bridge", "曹操病逝", "Research", "研究（topic）",
+    "History of Rome", "market analysis", "Ada Lovelace", "李明教授", "JSON（format）", "token ring", "太尉", "C++", "Grace Hopper (admiral)", " padded ", "UPPER", "naïve Bayes",
+]
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _broken_sql(n: str) -> str:
+    core = _CORE(n)
+    texts = {"name": n, "core": core, "long core": f"CASE WHEN length({core}) > 6 THEN {core} ELSE '' END", "notes": f"array_to_string(regexp_extract_all({n}, {_sql_text(nr.NOTE)}, 1), ' ')"}
+    cases = []
+    for r in nr.RULES:
+        x = texts[r.of]
+        test = {
+            "shorter": lambda x=x, r=r: f"length({x}) < {r.value}",
+            "longer": lambda x=x, r=r: f"length({x}) > {r.value}",
+            "matches": lambda x=x, r=r: f"regexp_matches({x}, {_sql_text(r.value)})",
+            "lacks": lambda x=x, r=r: f"NOT regexp_matches({x}, {_sql_text(r.value)})",
+            "among": lambda x=x, r=r: f"lower({x}) IN ({', '.join(map(_sql_text, r.value))})",
+            "stutters": lambda x=x: f"len(list_filter(range(1, length({x}) - 4), lambda i: substr({x}, i, 2) = substr({x}, i + 2, 2) AND substr({x}, i, 2) = substr({x}, i + 4, 2))) > 0",
+        }[r.kind]()
+        latin = "" if r.latin is None else f" AND {'' if r.latin else 'NOT '}regexp_matches({n}, '^[\\x00-\\x7F]*$')"
+        cases.append(f"WHEN {test}{latin} THEN '{r.reason}'")
+    return f"CASE {' '.join(cases)} END"
+
+
+_WORDS3 = "array_to_string(string_split(regexp_replace(substr(coalesce(text, ''), 1, 200), '[\\x00-\\x20]+', ' ', 'g'), ' ')[{0}:{1}], ' ')"
+_NAMES_ALL = f"""names AS (SELECT DISTINCT {_STRIP('name')} AS name FROM (SELECT name FROM things UNION ALL SELECT c_name FROM customer UNION ALL SELECT n_name FROM nation UNION ALL SELECT p_type || ' of ' || p_name FROM part UNION ALL SELECT p_name || ' ' || o_orderpriority || '、' FROM part, (SELECT DISTINCT o_orderpriority FROM orders)
+UNION ALL SELECT {_WORDS3.format(1, 1)} FROM documents UNION ALL SELECT {_WORDS3.format(2, 4)} FROM documents UNION ALL SELECT unnest([{', '.join(map(_sql_text, ODD_NAMES))}])))"""
+
+
+def _words(start: int, n: int):
+    flat = F.split(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 200), r"[\x00-\x20]+", " "), " ")
+    return F.array_join(F.slice(flat, start, n), " ").alias("name")
+
+
+@query(("things",), f", {_NAMES_ALL} SELECT name, coalesce({_broken_sql('name')}, 'valid') AS reason FROM names")
+def checked_names(v):
+    docs, part = v.table("documents"), v.table("part")
+    kinds = v.table("orders").select("o_orderpriority").distinct()
+    rows = v.things.select("name").unionAll(v.table("customer").select("c_name")).unionAll(v.table("nation").select("n_name")).unionAll(part.select(F.concat_ws(" of ", "p_type", "p_name")))
+    rows = rows.unionAll(part.select("p_name").distinct().join(F.broadcast(kinds)).select(F.concat("p_name", F.lit(" "), "o_orderpriority", F.lit("、"))))  # the priorities are a few fixed values
+    rows = rows.unionAll(docs.select(_words(1, 1))).unionAll(docs.select(_words(2, 3))).unionAll(v.spark.createDataFrame([(n,) for n in ODD_NAMES], "name string"))
+    names = rows.select(strip("name").alias("name")).distinct()
+    return names.select("name", F.coalesce(nr.first_broken("name"), F.lit("valid")).alias("reason"))
+
+
+# Things, customers (every tenth has ended) and documents as entities, a third of the parts with a summary; relations as they are, and one for each document that names no entity.
+_UPKEEP = f""", ents AS (SELECT id, family_id, name, content, NULL::TIMESTAMP AS invalid_at, CASE WHEN id LIKE 'p%' AND substr(id, 2)::BIGINT % 3 = 0 THEN 'told' END AS summary FROM things
+UNION ALL SELECT 'c' || c_custkey, 'c' || c_custkey, c_name, '', CASE WHEN c_custkey % 10 = 0 THEN TIMESTAMP '{NOW}' END, '' FROM customer UNION ALL SELECT 'd' || doc_id, 'd' || doc_id, {_WORDS3.format(2, 4)}, substr(text, 1, 300), NULL, NULL FROM documents),
+rels AS (SELECT id, family_id, entity1_id, entity2_id, content, invalid_at FROM relations UNION ALL SELECT 'w' || doc_id, 'w' || doc_id, 'd' || doc_id, CASE WHEN doc_id % 4 = 0 THEN 'd' || doc_id ELSE 'src:' || coalesce(source, '') END, 'from', NULL FROM documents WHERE doc_id % 2 = 0),
+open_e AS (SELECT * FROM ents WHERE invalid_at IS NULL), open_ends AS (SELECT entity1_id AS id FROM rels WHERE invalid_at IS NULL UNION SELECT entity2_id FROM rels WHERE invalid_at IS NULL),
+lone AS (SELECT DISTINCT family_id FROM open_e WHERE family_id NOT IN (SELECT family_id FROM ents WHERE id IN (SELECT id FROM open_ends))),
+lost AS (SELECT DISTINCT id, e FROM (SELECT id, unnest([entity1_id, entity2_id]) AS e FROM rels) WHERE e NOT IN (SELECT id FROM ents))"""
+_BAD = f"(SELECT id, {_broken_sql('name')} AS reason FROM (SELECT id, {_STRIP('name')} AS name FROM open_e))"
+
+
+def _kept(v):
+    told = F.when(F.col("id").startswith("p") & (F.substring("id", 2, 20).cast("long") % 3 == 0), "told")
+    things = v.things.select("id", "family_id", "name", "content", F.lit(None).cast("timestamp").alias("invalid_at"), told.alias("summary"))
+    c = F.concat(F.lit("c"), "c_custkey")
+    ended = F.when(F.col("c_custkey") % 10 == 0, F.lit(NOW).cast("timestamp"))
+    customers = v.table("customer").select(c, c, "c_name", F.lit(""), ended, F.lit(""))
+    d = F.concat(F.lit("d"), "doc_id")
+    docs = v.table("documents")
+    entities = things.unionAll(customers).unionAll(docs.select(d, d, _words(2, 3), F.substring("text", 1, 300), F.lit(None).cast("timestamp"), F.lit(None).cast("string")))
+    w = F.concat(F.lit("w"), "doc_id")
+    end = F.when(F.col("doc_id") % 4 == 0, d).otherwise(F.concat(F.lit("src:"), F.coalesce("source", F.lit(""))))
+    relations = v.relations.select("id", "family_id", "entity1_id", "entity2_id", "content", "invalid_at").unionAll(docs.where("doc_id % 2 = 0").select(w, w, d, end, F.lit("from"), F.lit(None).cast("timestamp")))
+    return entities, relations
+
+
+_HEALTH = _UPKEEP + f""", health AS (SELECT (SELECT count(DISTINCT family_id) FROM open_e) AS entities, (SELECT count(*) FROM open_e WHERE coalesce(summary, '') = '') AS unsummarised, (SELECT count(*) FROM {_BAD} WHERE reason IS NOT NULL) AS bad_names,
+(SELECT count(DISTINCT family_id) FROM rels WHERE invalid_at IS NULL) AS relations, (SELECT count(*) FROM episodes) AS episodes, (SELECT count(invalid_at) FROM (SELECT invalid_at FROM ents UNION ALL SELECT invalid_at FROM rels)) AS invalid_versions,
+(SELECT count(*) FROM lone) AS isolated_entities, (SELECT count(*) FROM lost) AS dangling_ends, (SELECT count(DISTINCT source) FROM documents) AS communities, 0::BIGINT AS cycles)"""
+
+
+def _health(v):
+    labels = v.table("documents").select(F.col("source").alias("community_id"))
+    return up.health(*_kept(v), v.episodes, labels)
+
+
+@query(("things", "relations", "episodes"), _HEALTH + " SELECT * FROM health")
+def graph_health(v):
+    return _health(v)
+
+
+# The same row, and one of an empty and one of a sparse graph, so that each rule is kept and broken.
+_ROWS3 = "(SELECT 'all' AS graph, * FROM health UNION ALL SELECT 'none', 0, 0, 0, 0, 0, 0, 0, 0, 0, 3 UNION ALL SELECT 'sparse', (SELECT count(*) FROM part), 5, 1, (SELECT count(*) FROM region), 0, 0, 7, 0, 0, 1)"
+
+
+@query(("things", "relations", "episodes"), _HEALTH + f""" SELECT graph, action, why, priority, count::BIGINT AS count FROM (
+{' UNION ALL '.join(f"SELECT graph, '{r.action}' AS action, '{r.why}' AS why, {r.priority} AS priority, {r.count} AS count FROM {_ROWS3} WHERE {r.when}" for r in up.ADVICE)})""")
+def advised_actions(v):
+    row = _health(v)
+    sizes = v.table("part").agg(F.count("*").alias("p")).join(F.broadcast(v.table("region").agg(F.count("*").alias("r"))))
+    made = [("none", [F.lit(0)] * 9 + [F.lit(3)]), ("sparse", [F.col("p"), F.lit(5), F.lit(1), F.col("r"), F.lit(0), F.lit(0), F.lit(7), F.lit(0), F.lit(0), F.lit(1)])]
+    out = None
+    for name, rows in [("all", row), *((n, sizes.select(*[x.cast("long").alias(c) for x, c in zip(values, row.columns, strict=True)])) for n, values in made)]:
+        part = up.advice(rows).select(F.lit(name).alias("graph"), "action", "why", "priority", "count")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+@query(("things", "relations"), _UPKEEP + f""" SELECT 'bad_name' AS kind, id AS subject, reason AS detail FROM {_BAD} WHERE reason IS NOT NULL UNION ALL SELECT 'empty_content', id, '' FROM open_e WHERE trim(coalesce(content, '')) = ''
+UNION ALL SELECT 'isolated_entity', family_id, '' FROM lone UNION ALL SELECT 'self_relation', id, entity1_id FROM rels WHERE invalid_at IS NULL AND entity1_id = entity2_id UNION ALL SELECT 'dangling_end', id, e FROM lost
+UNION ALL SELECT 'shared_core_name', family_id, core FROM (SELECT DISTINCT family_id, lower({_CORE('name')}) AS core FROM open_e WHERE {_CORE('name')} <> '') QUALIFY count(*) OVER (PARTITION BY core) > 1""")
+def row_findings(v):
+    return up.findings(*_kept(v))
+
+
+@query(("things", "relations"), _UPKEEP + """, r1 AS (SELECT * FROM rels WHERE id NOT IN (SELECT id FROM lost)), ends1 AS (SELECT entity1_id AS id FROM r1 WHERE invalid_at IS NULL UNION SELECT entity2_id FROM r1 WHERE invalid_at IS NULL),
+lone1 AS (SELECT DISTINCT family_id FROM open_e WHERE family_id NOT IN (SELECT family_id FROM ents WHERE id IN (SELECT id FROM ends1)))
+SELECT 'mend_ends' AS action, 'relations' AS target, id AS subject, 'done' AS status FROM (SELECT DISTINCT id FROM lost) UNION ALL SELECT 'cleanup_isolated', 'entities', id, 'done' FROM ents WHERE family_id IN (SELECT family_id FROM lone1)
+UNION ALL SELECT 'cleanup_invalidated', 'entities', id, 'preview' FROM ents WHERE invalid_at IS NOT NULL AND family_id NOT IN (SELECT family_id FROM lone1) UNION ALL SELECT 'cleanup_invalidated', 'relations', id, 'preview' FROM r1 WHERE invalid_at IS NOT NULL""")
+def action_log(v):
+    """Two actions, each twice, then a dry run; the log holds every key once."""
+    entities, relations = _kept(v)
+    log = v.spark.createDataFrame([], "key string, action string, target string, op string, subject string, status string")
+    for action in ("mend_ends", "mend_ends", "cleanup_isolated", "cleanup_isolated"):
+        entities, relations, log = up.execute(action, entities, relations, log)
+        entities, relations, log = (materialize(x, "upkeep") for x in (entities, relations, log))
+    return up.execute("cleanup_invalidated", entities, relations, log, dry_run=True)[2].select("action", "target", "subject", "status")
