@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions import name_rules as nr
@@ -14,7 +15,11 @@ from chronoloom.operators import temporal as tm
 from chronoloom.operators import traversal as tv
 from chronoloom.operators import upkeep as up
 from chronoloom.operators import vectors as vx
+from chronoloom.operators.episodes import windows
+from chronoloom.plans import align as al
 from chronoloom.plans.materialize import materialize
+from chronoloom.plans.remember import capitalised
+from chronoloom.streaming import documents as dc
 from chronoloom.more_queries import _AGED, _CORE, _NOW_REL, _PROBE, _STRIP, bm25_sql, rank_sql
 from chronoloom.queries import _JACCARD, ASOF, EARLY, NEWEST, NOW, ORACLES, _concepts, query
 
@@ -440,3 +445,46 @@ def action_log(v):
         entities, relations, log = up.execute(action, entities, relations, log)
         entities, relations, log = (materialize(x, "upkeep") for x in (entities, relations, log))
     return up.execute("cleanup_invalidated", entities, relations, log, dry_run=True)[2].select("action", "target", "subject", "status")
+
+
+# --- alignment with a catalogue, documents by windows -----------------------
+
+
+def _batch(v):
+    """Names that documents tell of, as a batch beside a catalogue of families with some of those names."""
+    chunks = windows(v.table("documents"), "doc_id", "text").withColumnRenamed("doc_id", "key")
+    entities, relations = capitalised(chunks)
+    clean = rs.dedupe_entities(entities.select("name", "content")).select("name", "content")
+    none = F.lit(None).cast("array<double>")
+    batch = clean.select(F.abs(F.xxhash64("name")).alias("pos"), "name", "content", none.alias("name_vector"), none.alias("full_vector"))
+    first = v.table("documents").select(F.concat(F.lit("k"), F.col("doc_id")).alias("family_id"), F.regexp_extract("text", r"^(\p{Lu}[\p{L}\p{N}]{2,})", 1).alias("name"), F.substring("text", 1, 200).alias("content"))
+    known = first.where("name <> ''").select("*", none.alias("embedding"))
+    return batch, relations, known
+
+
+@query()
+def aligned_documents(v):
+    """Matching in order of score has no SQL; a test holds it against a plain loop."""
+    return al.align(*_batch(v), NOW)[0].select("family_id", "name", "is_new")
+
+
+@query()
+def aligned_relations(v):
+    return al.align(*_batch(v), NOW)[1].select("fam1", "fam2", "content")
+
+
+_TOLD = """, told AS (SELECT 'c' || o_custkey AS doc, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) AS win, CASE WHEN o_custkey % 3 > 0 THEN count(*) OVER (PARTITION BY o_custkey) ELSE 99999 END AS total,
+CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN ' (x)' ELSE '' END END AS name, o_orderstatus || ' ' || o_orderpriority AS content FROM orders)"""
+
+
+@query((), _TOLD + """, s AS (SELECT doc, count(DISTINCT win) AS seen, max(total) AS total FROM told GROUP BY 1), n AS (SELECT doc, lower(trim(regexp_replace(name, '[（(][^）)]+[）)]', '', 'g'))) AS core, min(name) AS name, arg_max(content, (length(content), content)) AS content, count(DISTINCT win)::INTEGER AS windows FROM told WHERE name IS NOT NULL GROUP BY 1, 2)
+SELECT doc, core, name, content, windows, CASE WHEN seen >= total THEN 'complete' ELSE 'expired' END AS closed FROM n JOIN s USING (doc)""")
+def documents_by_windows(v):
+    """The batch answer that the streaming state must reach; a test replays and restarts the stream."""
+    o, by = v.table("orders"), Window.partitionBy("o_custkey")
+    name = F.when(F.col("o_orderstatus") != "P", F.concat("o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, " (x)").otherwise("")))
+    rows = o.select(
+        F.concat(F.lit("c"), "o_custkey").alias("doc"), (F.row_number().over(by.orderBy("o_orderkey")) - 1).alias("window"), F.when(F.col("o_custkey") % 3 > 0, F.count("*").over(by)).otherwise(99999).alias("total"),
+        name.alias("name"), F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("content"), F.col("o_orderdate").alias("at"),
+    )
+    return dc.merged_batch(rows)
