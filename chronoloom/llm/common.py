@@ -67,6 +67,14 @@ def small_batches(spark: SparkSession, most: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(most))
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """For a query to call whose steps write tables: shuffle files go when the step that made them has ended.
+
+    A setting of the session, like the one above.
+    """
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def spread(manifest: DataFrame, by: str, size: str, per_task: int = 128 << 20) -> DataFrame:
     """The manifest's rows over several tasks, by their number and summed sizes.
 

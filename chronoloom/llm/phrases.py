@@ -41,7 +41,7 @@ LEAST, LONGEST, TOP, COVER = 30, 4, 2000, 80
 #: Bits of a field (16 MB), in pieces that Spark's bitmap functions fill.
 BITS, PIECE = 1 << 27, 32768
 #: Pointers of prefixes with more occurrences than this, and than this share of all, are dealt to so many tasks; the share bounds the prefixes' number.
-HOT, HOT_SHARE, SALTS = 1 << 12, 1 << 16, 256
+HOT, HOT_SHARE, SALTS = 1 << 16, 1 << 16, 256
 
 
 def _spot(lang: Column, word: Column) -> Column:
@@ -142,7 +142,10 @@ def pair_counts(docs: DataFrame, words: Broadcast, pairs: Broadcast) -> DataFram
 
 
 def projections(docs: DataFrame, pairs: Broadcast, hot: Broadcast) -> DataFrame:
-    """Pointers behind every occurrence of a frequent pair: the next word and the one after it, or an empty one; ``hot`` marks prefixes to be counted apart."""
+    """Pointers behind every occurrence of a frequent pair: the next word and the one after it, or an empty one.
+
+    ``heat`` is 1 for a hot pair, and 2 if the pair that ends with the next word is hot too, as it is for every hot pattern of three words.
+    """
 
     def run(lang: str, texts: pa.Array) -> list[pa.Array]:
         w = split(texts, TABLE)
@@ -163,17 +166,20 @@ def projections(docs: DataFrame, pairs: Broadcast, hot: Broadcast) -> DataFrame:
         names = pa.concat_arrays([w.names, pa.array([""], pa.large_string())])
         take = lambda codes: strings(names.take(pa.array(codes)))
         prefix = pc.binary_join_element_wise(take(heads // size), take(heads % size), " ")
-        is_hot = np.isin(_pair_spots(spots[heads // size], spots[heads % size]), hot.value)
-        return [prefix, take(tails // size), take(tails % size), pa.array(n.astype(np.int64)), pa.array(is_hot)]
+        first, second, third = spots[heads // size], spots[heads % size], spots[tails // size]
+        heat = np.isin(_pair_spots(first, second), hot.value).astype(np.int32)
+        heat += heat * np.isin(_pair_spots(second, third), hot.value)
+        return [prefix, take(tails // size), take(tails % size), pa.array(n.astype(np.int64)), pa.array(heat)]
 
-    return _over_texts(docs, run, "lang string, prefix string, third string, fourth string, n long, hot boolean")
+    return _over_texts(docs, run, "lang string, prefix string, third string, fourth string, n long, heat int")
 
 
 def grow(pointers: DataFrame, least: int) -> DataFrame:
     """Frequent patterns that begin with a prefix, from its pointers in the order of their words.
 
-    A prefix is one task's, but for the hot ones: their pointers are dealt by
-    the words they point at, and what is counted of them is summed afterwards.
+    A prefix is one task's, but for the hot ones: their pointers are dealt by the
+    next word, and where that may be hot too, by the word after it as well; then
+    a pattern of three words is counted in several tasks and summed afterwards.
     """
     depths = (("lang", "prefix", "third"), ("lang", "prefix", "third", "fourth"))
 
@@ -181,14 +187,14 @@ def grow(pointers: DataFrame, least: int) -> DataFrame:
         still: list[tuple[tuple, int, bool] | None] = [None, None]  # the run of each depth that may go on
 
         def closed(found: list[tuple[tuple, int, bool]]) -> pa.RecordBatch:
-            rows = [(k[0], " ".join(k[1:]), len(k), n) for k, n, hot in found if (hot or n >= least) and k[-1]]
+            rows = [(k[0], " ".join(k[1:]), len(k), n) for k, n, part in found if (part or n >= least) and k[-1]]
             columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], ["lang", "phrase", "words", "f"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new, n, hot = np.zeros(batch.num_rows, bool), batch.column("n").to_numpy(), batch.column("hot").to_numpy(zero_copy_only=False)
+            new, n, in_parts = np.zeros(batch.num_rows, bool), batch.column("n").to_numpy(), batch.column("heat").to_numpy() == 2
             new[0] = True
             for depth, names in enumerate(depths):
                 for name in names if not depth else names[-1:]:
@@ -196,7 +202,7 @@ def grow(pointers: DataFrame, least: int) -> DataFrame:
                     new[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
                 at = np.flatnonzero(new)
                 sums = np.add.reduceat(n, at)
-                run_of = lambda i: (tuple(batch.column(name)[int(at[i])].as_py() for name in names), int(sums[i]), bool(hot[at[i]]))  # noqa: B023, E731
+                run_of = lambda i: (tuple(batch.column(name)[int(at[i])].as_py() for name in names), int(sums[i]), not depth and bool(in_parts[at[i]]))  # noqa: B023, E731
                 found, first = [], still[depth]
                 if first is not None:
                     if first[0] == run_of(0)[0]:
@@ -204,14 +210,14 @@ def grow(pointers: DataFrame, least: int) -> DataFrame:
                     else:
                         found.append(first)
                 last = len(at) - 1
-                found += [run_of(i) for i in np.flatnonzero((sums >= least) | hot[at]) if i < last]
+                found += [run_of(i) for i in np.flatnonzero((sums >= least) | (in_parts[at] & (not depth))) if i < last]
                 still[depth] = run_of(last)
                 yield closed(found)
         yield closed([s for s in still if s])
 
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("third", "fourth"), F.lit(SALTS))).otherwise(0)
+    salt = F.when(F.col("heat") == 0, 0).otherwise(F.pmod(F.xxhash64("third", F.when(F.col("heat") == 2, F.col("fourth")).otherwise("")), F.lit(SALTS)))
     dealt = pointers.withColumn("salt", salt).repartition("lang", "prefix", "salt").sortWithinPartitions("lang", "prefix", "third", "fourth")
-    counted = dealt.select("lang", "prefix", "third", "fourth", "n", "hot").mapInArrow(tidy(run), "lang string, phrase string, words int, f long")
+    counted = dealt.select("lang", "prefix", "third", "fourth", "n", "heat").mapInArrow(tidy(run), "lang string, phrase string, words int, f long")
     return counted.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
