@@ -9,13 +9,16 @@ read as whole epochs and the prefix of one more, in an order seeded by epoch
 and id.
 
 Leaves are cut into hash buckets whose totals give the bucket in which a prefix
-ends; only that bucket's rows are sorted.  No window ever holds a leaf, so one
-source may hold any share of the rows.
+ends; only that bucket's rows are sorted.  One source may hold any share of the
+rows; only rows of one id, or of one text and no id, stay together.
 
 Defined cases: a null text has no words and follows its order at no cost; null
 languages and sources are nodes of their own; a node without a weight has
-``default_weight``, one of weight zero gets nothing; rows that repeat an id are
-counted each; an empty table gives no rows; all columns of the input are kept.
+``default_weight``, one of weight zero gets nothing; a row without an id is
+placed by its text; rows that repeat an id, or a text without one, share a place
+and are counted each, those of fewer words first, ties by the rows' contents, so
+only rows equal in every column tie; an empty table gives no rows; all columns
+of the input are kept.
 """
 
 from __future__ import annotations
@@ -102,7 +105,7 @@ def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, max_epochs: int = M
     name = lambda c: F.coalesce(c.cast("string"), F.lit("\0"))
     base = docs.select(
         F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"),
-        F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("ident"),
+        F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))).alias("ident"),
         (domain if domain is not None else domain_of(F.col(source))).alias("domain"),
         name(F.col(language)).alias("language"),
         name(F.col(source)).alias("source"),
@@ -134,8 +137,8 @@ def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, max_epochs: int = M
     sure = placed.where("edge is null or bucket <> edge").select(
         *out, (F.col("epochs") + F.when(F.col("edge").isNull() | (F.col("bucket") < F.col("edge")), 1).otherwise(0)).alias("copies")
     )
-    within = Window.partitionBy(*LEVELS).orderBy("spot", "ident", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    edge = placed.where("bucket = edge").withColumn("upto", F.col("before") + F.sum("n_tokens").over(within))
+    within = Window.partitionBy(*LEVELS).orderBy("spot", "ident", "n_tokens", "last").rowsBetween(Window.unboundedPreceding, 0)
+    edge = placed.where("bucket = edge").withColumn("last", F.md5(F.to_json("row").cast("binary"))).withColumn("upto", F.col("before") + F.sum("n_tokens").over(within))
     return sure.unionAll(edge.select(*out, (F.col("epochs") + F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0)).alias("copies")))
 
 
@@ -169,7 +172,7 @@ def oracle(budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS) ->
     three = "SELECT a.domain, a.language, a.source, a.tokens, a.capacity, p.budget::BIGINT AS given, 1 AS weight FROM leaves a JOIN l2 p USING (domain, language)"
     return f"""
 WITH base AS (SELECT doc_id, 'd' || (coalesce(try_cast(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS BIGINT), 0) % 3)::VARCHAR AS domain,
-  coalesce(lang, chr(0)) AS language, coalesce(source, chr(0)) AS source, coalesce(doc_id::VARCHAR, '') AS ident,
+  coalesce(lang, chr(0)) AS language, coalesce(source, chr(0)) AS source, coalesce(doc_id::VARCHAR, '#' || md5(coalesce(text, ''))) AS ident,
   len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents),
 leaves AS (SELECT domain, language, source, sum(n_tokens)::BIGINT AS tokens, (sum(n_tokens) * {max_epochs})::BIGINT AS capacity FROM base GROUP BY ALL),
 {_share_sql("l1", one, "1", "domain")}, {_share_sql("l2", two, "domain", "language")}, {_share_sql("l3", three, "domain, language", "source")},

@@ -2,6 +2,8 @@ import re
 from collections import Counter
 from math import comb
 
+from pyspark.sql import functions as F
+
 from chronoloom.llm import mixing, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -128,6 +130,24 @@ def test_mixing_odd_rows_and_prefixes(spark):
     assert mixing.mixed(df, budget_share=1.0, max_epochs=1).count() == len(rows)
 
 
+def test_rows_without_ids_are_drawn_by_seed(spark):
+    """A hundred rows of different lengths: neither the shortest are kept nor does the order of rows matter."""
+    rows = [(None, f"t{i} " + "w " * (3 * i + 1), "en", "src1") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = lambda d: sorted(r.row.text for r in mixing.mix(d, budget_share=0.5, max_epochs=1).collect() if r.copies)
+    got = kept(df)
+    shortest = sorted(t for _, t, _, _ in sorted(rows, key=lambda r: len(r[1]))[: len(got)])
+    assert 30 < len(got) < 65 and len(set(got) & set(shortest)) < 0.8 * len(got)
+    assert kept(df.repartition(7)) == got == kept(df.orderBy(F.desc("text")).coalesce(1))
+
+
+def test_rows_that_share_an_id_do_not_tie(spark):
+    rows = [(1, f"{x} y", "en", "s", i) for i, x in enumerate("abcdefgh")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, extra int")
+    kept = lambda d: sorted(r.row.extra for r in mixing.mix(d, budget_share=0.5, max_epochs=1).collect() if r.copies)
+    assert kept(df) == kept(df.repartition(5)) == kept(df.orderBy(F.desc("extra")).coalesce(1))
+
+
 def test_budgets_of_a_hundred_terabytes(spark):
     from fractions import Fraction
 
