@@ -54,6 +54,8 @@ def merged_documents(stream: DataFrame, patience: str = "1 hour", lateness: str
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
                 return
         for pdf in batches:
+            if pdf.empty:  # a timeout brings no rows
+                continue
             held["last"] = max(held["last"], int(pdf["at"].max().timestamp() * 1000))
             for window, rows in pdf.groupby("window", sort=True):
                 if held["closed"] or int(window) in held["seen"]:
