@@ -69,7 +69,7 @@ def bit_field(spots: DataFrame) -> Broadcast:
     at = F.col("spot").bitwiseAND(F.lit(BITS - 1))
     rows = spots.select(at.alias("at")).selectExpr(f"at div {PIECE} AS piece", f"at % {PIECE} AS bit").groupBy("piece").agg(F.bitmap_construct_agg(F.col("bit")).alias("bits"))
     field = np.zeros(BITS // 8, np.uint8)
-    for row in rows.toLocalIterator():  # BITS / PIECE rows at most
+    for row in rows.collect():  # BITS / PIECE rows at most
         field[row["piece"] * PIECE // 8 :][: PIECE // 8] = np.frombuffer(row["bits"], np.uint8)[: PIECE // 8]
     return spark.sparkContext.broadcast(field)
 
@@ -234,7 +234,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, Da
     spots = pairs.select("f", _pair_spot(F.col("lang"), F.col("first"), F.col("second")).alias("spot"))
     total = pairs.agg(F.sum("f")).first()[0] or 0
     most = max(HOT, total // HOT_SHARE)
-    hot = np.array([r["spot"] for r in spots.where(F.col("f") > most).select("spot").toLocalIterator()], np.int64).view(np.uint64)
+    hot = np.array([r["spot"] for r in spots.where(F.col("f") > most).select("spot").collect()], np.int64).view(np.uint64)
     grown = grow(projections(docs, bit_field(spots), docs.sparkSession.sparkContext.broadcast(hot)), least)
     short = words.select("lang", "phrase", F.lit(1).alias("words"), "f").unionByName(pairs.select("lang", F.concat_ws(" ", "first", "second").alias("phrase"), F.lit(2).alias("words"), "f"))
     return materialize(short.unionByName(grown), "phrase-frequent"), sizes
