@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from chronoloom.functions.text import DEFAULT_SECTION, col, core_name, sections, strip
 
 # Titles that may follow a person's name.
-TITLE_SUFFIXES = ["教授", "博士", "先生", "女士", "老师", "同学", "院士", "主任", "经理", "总裁"]
+TITLE_SUFFIXES = [
+    "教授", "博士", "先生", "女士", "同学", "老师", "工程师", "经理", "总监", "院长", "所长", "主任", "校长", "站长", "馆长", "主编", "首席", "总裁",
+    "部长", "省长", "市长", "县长", "区长", "镇长", "村长", "将军", "上校", "中校", "少校", "大校", "司令", "参谋", "政委", "舰长", "机长",
+]
 BRACKETED = r"[（(][^）)]+[）)]"
 
 

@@ -40,8 +40,15 @@ def _values(name: str, columns: str, rows: list[tuple]) -> str:
     return f", {name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)})"
 
 
-_NAMED = _values("named", "pos, name, content", NAMED)
-_LINKS = _values("ties", "id, name1, name2, content, entity1_id, entity2_id", LINKS)
+_NAMED = (
+    _values("odd", "pos, name, content", NAMED)
+    + """, named AS (SELECT pos, name, content FROM odd UNION ALL SELECT 100 + p_partkey, p_name || CASE p_partkey % 3 WHEN 0 THEN ' (' || p_brand || ')' ELSE '' END, p_type || ' ' || p_brand FROM part
+UNION ALL SELECT 1000000000 + s_suppkey, s_name, NULL FROM supplier UNION ALL SELECT 2000000000 + doc_id, array_to_string(string_split(substr(coalesce(text, ''), 1, 100), ' ')[1:2], ' '), substr(text, 1, 200) FROM documents)"""
+)
+_LINKS = (
+    _values("odd_ties", "id, name1, name2, content, entity1_id, entity2_id", LINKS)
+    + """, ties AS (SELECT * FROM odd_ties UNION ALL SELECT 't' || l_orderkey || ':' || l_linenumber, p_name, s_name, l_returnflag || ' ' || l_shipmode, 'f' || (100 + p_partkey), 'f' || (1000000000 + s_suppkey) FROM (SELECT *, 'by ' || l_linestatus AS l_shipmode FROM lineitem) JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey)"""
+)
 _STRIP = lambda c: f"trim({c}, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160) || chr(12288))"
 _CORE = lambda c: _STRIP(f"regexp_replace({c}, '[（(][^）)]+[）)]', '', 'g')")
 _CLEAN = lambda c: f"(CASE WHEN contains({c}, '/') AND regexp_matches(split_part({c}, '/', 1), '[\\x{{4e00}}-\\x{{9fff}}]') AND regexp_full_match(split_part({c}, '/', -1), '[\\x00-\\x7F]+') THEN split_part({c}, '/', 1) ELSE {c} END)"
@@ -50,11 +57,22 @@ _TITLES = "|".join(nm.TITLE_SUFFIXES)
 
 
 def _named(v):
-    return v.spark.createDataFrame(NAMED, "pos int, name string, content string")
+    """The rows above, and names and contents of parts, suppliers and documents."""
+    p, big = v.table("part"), 1000000000
+    noted = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" ("), "p_brand", F.lit(")"))).otherwise(""))
+    rows = v.spark.createDataFrame(NAMED, "pos long, name string, content string")
+    rows = rows.unionAll(p.select(100 + F.col("p_partkey"), noted, F.concat_ws(" ", "p_type", "p_brand"))).unionAll(v.table("supplier").select(big + F.col("s_suppkey"), "s_name", F.lit(None).cast("string")))
+    words = F.array_join(F.slice(F.split(F.substring(F.coalesce("text", F.lit("")), 1, 100), " "), 1, 2), " ")
+    return rows.unionAll(v.table("documents").select(2 * big + F.col("doc_id"), words, F.substring("text", 1, 200)))
 
 
 def _ties(v):
-    return v.spark.createDataFrame(LINKS, "id string, name1 string, name2 string, content string, entity1_id string, entity2_id string")
+    """The links above, and line items as links of parts and suppliers."""
+    rows = v.spark.createDataFrame(LINKS, "id string, name1 string, name2 string, content string, entity1_id string, entity2_id string")
+    items = v.table("lineitem").join(v.table("part"), F.col("p_partkey") == F.col("l_partkey")).join(v.table("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    name = F.concat(F.lit("t"), "l_orderkey", F.lit(":"), "l_linenumber")
+    ends = [F.concat(F.lit("f"), x) for x in (100 + F.col("p_partkey"), 1000000000 + F.col("s_suppkey"))]
+    return rows.unionAll(items.select(name, "p_name", "s_name", F.concat("l_returnflag", F.lit(" by "), "l_linestatus"), *ends))
 
 
 def bm25_sql(source: str, key: str, text: str, words: list[str], limit: int, out: str) -> str:
@@ -91,9 +109,18 @@ def rendered_sections(v):
 QUESTIONS = [(1, "What is the path between Ada and Bob?"), (2, "Who are the neighbours of Ada?"), (3, "What happened before 1990?"), (4, "How many relations exist?"), (5, "Ada Lovelace"), (6, None)]
 
 
-@query((), "SELECT * FROM (VALUES (1, 'path'), (2, 'traverse'), (3, 'timeline'), (4, 'statistics'), (5, 'search'), (6, 'search')) t(n, route)")
+_ROUTES = [
+    (r"\b(path|connect(s|ed|ion)?|link(s|ed)?)\b.*\b(between|to|and)\b", "path"), (r"\b(neighbou?rs?|related to|relations? of|around)\b", "traverse"),
+    (r"\b(when|history|timeline|before|after|since)\b", "timeline"), (r"\b(how many|count|number of|statistics)\b", "statistics"),
+]
+_ASKED = ", asked AS (SELECT * FROM odd_asked UNION ALL SELECT 1000 + doc_id, CASE doc_id % 5 WHEN 0 THEN 'path to ' WHEN 1 THEN 'related to ' WHEN 2 THEN 'how many ' WHEN 3 THEN 'since ' ELSE '' END || regexp_replace(substr(text, 1, 60), '[^A-Za-z ]', ' ', 'g') FROM documents)"
+
+
+@query((), _values("odd_asked", "n, q", QUESTIONS) + _ASKED + f" SELECT n, CASE {' '.join(f"WHEN regexp_matches(lower(coalesce(q, '')), '{p}') THEN '{r}'" for p, r in _ROUTES)} ELSE 'search' END AS route FROM asked")
 def question_routes(v):
-    return v.spark.createDataFrame(QUESTIONS, "n int, q string").select("n", nm.intent("q").alias("route"))
+    opening = F.when(F.col("doc_id") % 5 == 0, "path to ").when(F.col("doc_id") % 5 == 1, "related to ").when(F.col("doc_id") % 5 == 2, "how many ").when(F.col("doc_id") % 5 == 3, "since ").otherwise("")
+    asked = v.table("documents").select(1000 + F.col("doc_id"), F.concat(opening, F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z ]", " ")))
+    return v.spark.createDataFrame(QUESTIONS, "n long, q string").unionAll(asked).select("n", nm.intent("q").alias("route"))
 
 
 @query((), "SELECT doc_id, true AS valid FROM documents")
@@ -103,44 +130,46 @@ def valid_texts(v):
 
 # --- reports ----------------------------------------------------------------
 
-_GOOD = f""", cleaned AS (SELECT pos, {_STRIP('name')} AS name, {_STRIP('content')} AS content, {_CLEAN(_STRIP('name'))} AS cleaned FROM named),
+_GOOD = f""", cleaned AS (SELECT pos, {_STRIP('name')} AS name, coalesce({_STRIP('content')}, '') AS content, {_CLEAN(_STRIP('name'))} AS cleaned FROM named),
 good AS (SELECT *, {_CORE('cleaned')} AS core FROM cleaned WHERE {_VIABLE('cleaned')})"""
 
 
-@query((), _NAMED + _GOOD + """ SELECT min(pos) AS pos, arg_max(cleaned, length(cleaned) * 1000 - pos) AS name, arg_max(content, length(content) * 1000 - pos) AS content FROM good GROUP BY core""")
+@query((), _NAMED + _GOOD + """ SELECT min(pos) AS pos, arg_max(cleaned, length(cleaned)::BIGINT * 10000000000 - pos) AS name, arg_max(content, length(content)::BIGINT * 10000000000 - pos) AS content FROM good GROUP BY core""")
 def stabilised_entities(v):
     return rp.stabilised(_named(v))[0]
 
 
 @query((), _NAMED + _GOOD + f""" SELECT pos, name, 'invalid_name' AS reason FROM cleaned WHERE NOT {_VIABLE('cleaned')}
-UNION ALL SELECT pos, name, CASE WHEN NOT EXISTS (SELECT 1 FROM good b WHERE b.core = a.core AND b.cleaned = a.cleaned AND b.pos < a.pos) THEN 'duplicate_core_name'
- WHEN length(content) > (SELECT max(length(content)) FROM good b WHERE b.core = a.core AND b.pos < a.pos) THEN 'duplicate_name_replaced_shorter_content' ELSE 'duplicate_name' END
-FROM good a WHERE EXISTS (SELECT 1 FROM good b WHERE b.core = a.core AND b.pos < a.pos)""")
+UNION ALL SELECT pos, name, CASE WHEN first = 1 THEN 'duplicate_core_name' WHEN length(content) > longest THEN 'duplicate_name_replaced_shorter_content' ELSE 'duplicate_name' END FROM (SELECT *, row_number() OVER (PARTITION BY core, cleaned ORDER BY pos) AS first,
+ row_number() OVER (PARTITION BY core ORDER BY pos) AS place, max(length(content)) OVER (PARTITION BY core ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS longest FROM good) WHERE place > 1""")
 def stabilised_report(v):
     return rp.stabilised(_named(v))[1]
 
 
 STABLE = [("张伟",), ("Ada",), ("图灵",), ("Nobody",), ("Spare",)]
 SPARE = [("Ada", "fallback of Ada"), ("Spare", " spare text "), ("Nobody", None)]
-_WRITTEN = _NAMED + _values("stable", "name", STABLE) + _values("spares", "name, content", SPARE) + f""", own AS (SELECT pos, {_CLEAN(_STRIP('name'))} AS name, {_STRIP('content')} AS c FROM named),
+_WRITTEN = _NAMED + _values("odd_stable", "name", STABLE) + _values("odd_spares", "name, content", SPARE) + f""", stable AS (SELECT name FROM odd_stable UNION SELECT p_name FROM part UNION SELECT s_name FROM supplier WHERE s_suppkey % 2 = 0), spares AS (SELECT * FROM odd_spares UNION ALL SELECT s_name, 'nation ' || s_nationkey FROM supplier WHERE s_suppkey % 4 = 0), own AS (SELECT pos, {_CLEAN(_STRIP('name'))} AS name, coalesce({_STRIP('content')}, '') AS c FROM named),
 filled AS (SELECT own.*, coalesce(nullif(c, ''), nullif({_STRIP('s.content')}, ''), '文本中提到了“' || own.name || '”这一概念。') AS content, s.content AS spare FROM own LEFT JOIN spares s USING (name)),
 kept AS (SELECT * FROM filled WHERE name IN (SELECT name FROM stable))"""
 
 
 def _written(v):
-    return rp.written(_named(v), v.spark.createDataFrame(STABLE, "name string"), v.spark.createDataFrame(SPARE, "name string, content string"))
+    s = v.table("supplier")
+    stable = v.spark.createDataFrame(STABLE, "name string").union(v.table("part").select("p_name")).union(s.where("s_suppkey % 2 = 0").select("s_name")).distinct()
+    spares = v.spark.createDataFrame(SPARE, "name string, content string").union(s.where("s_suppkey % 4 = 0").select("s_name", F.concat(F.lit("nation "), "s_nationkey")))
+    return rp.written(_named(v), stable, spares)
 
 
 @query((), _WRITTEN + f""" SELECT t.name, coalesce(b.content, nullif({_STRIP('s.content')}, ''), '文本中提到了“' || t.name || '”这一概念。') AS content
-FROM stable t LEFT JOIN (SELECT name, arg_max(content, length(content) * 1000 - pos) AS content FROM kept GROUP BY 1) b USING (name) LEFT JOIN spares s USING (name)""")
+FROM stable t LEFT JOIN (SELECT name, arg_max(content, length(content)::BIGINT * 10000000000 - pos) AS content FROM kept GROUP BY 1) b USING (name) LEFT JOIN spares s USING (name)""")
 def written_entities(v):
     return _written(v)[0]
 
 
 @query((), _WRITTEN + """ SELECT name, CASE WHEN name = '' THEN 'missing_name' ELSE 'unknown_stable_name' END AS reason FROM filled WHERE name NOT IN (SELECT name FROM stable)
 UNION ALL SELECT name, 'empty_content_fallback' FROM kept WHERE c = '' AND coalesce(spare, '') = ''
-UNION ALL SELECT name, CASE WHEN length(content) > (SELECT max(length(content)) FROM kept b WHERE b.name = a.name AND b.pos < a.pos) THEN 'duplicate_name_replaced_shorter_content' ELSE 'duplicate_name' END
- FROM kept a WHERE EXISTS (SELECT 1 FROM kept b WHERE b.name = a.name AND b.pos < a.pos)
+UNION ALL SELECT name, CASE WHEN length(content) > longest THEN 'duplicate_name_replaced_shorter_content' ELSE 'duplicate_name' END FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY pos) AS place,
+ max(length(content)) OVER (PARTITION BY name ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS longest FROM kept) WHERE place > 1
 UNION ALL SELECT name, 'missing_written_entity_fallback' FROM stable WHERE name NOT IN (SELECT name FROM kept)""")
 def written_report(v):
     return _written(v)[1]
@@ -169,16 +198,28 @@ def verified_window(v):
 SCORED = [("Ada", "Ada (poet)", 0.9, 1), ("Ada", "Ada Byron", 0.9, 2), ("张伟", "张伟", 0.7, 3), ("张伟", "张偉", 0.7, 4), ("Ada", "Grace Hopper", 0.95, 5), ("Grace Hopper", "Grace", 0.5, 6), ("Grace Hopper", "Grace Hopper", 0.5, 6)]
 
 
-@query((), "SELECT * FROM (VALUES ('Ada', 'Grace Hopper', 0.95::DOUBLE), ('张伟', '张偉', 0.7), ('Grace Hopper', 'Grace Hopper', 0.5)) t(left_name, right_name, score)")
+_PAIRS = _values("odd_pairs", "left_name, right_name, score, place", SCORED) + """, pairs AS (SELECT left_name, right_name, score::DOUBLE AS score, place FROM odd_pairs
+UNION ALL SELECT p_name, s_name, p_size / 100.0::DOUBLE, s_suppkey FROM part JOIN supplier ON p_partkey % 10 = s_suppkey % 10 UNION ALL SELECT p_brand, p_name || CASE p_partkey % 3 WHEN 0 THEN ' (' || p_type || ')' ELSE '' END, p_size / 100.0::DOUBLE, p_partkey FROM part)"""
+
+
+def _pairs(v):
+    p, s = v.table("part"), v.table("supplier")
+    rows = v.spark.createDataFrame(SCORED, "left_name string, right_name string, score double, place long")
+    size = F.col("p_size") / F.lit(100.0)
+    near = p.join(s, F.col("p_partkey") % 10 == F.col("s_suppkey") % 10).select("p_name", "s_name", size, "s_suppkey")
+    noted = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" ("), "p_type", F.lit(")"))).otherwise(""))
+    return rows.unionAll(near).unionAll(p.select("p_brand", noted, size, "p_partkey"))
+
+
+@query((), _PAIRS + " SELECT left_name, arg_max(right_name, (score, noted, place, length(right_name), right_name)) AS right_name, max(score) AS score FROM (SELECT *, regexp_matches(right_name, '[（(][^）)]+[）)]')::INT AS noted FROM pairs) GROUP BY 1")
 def best_matches(v):
-    return rp.best_match(v.spark.createDataFrame(SCORED, "left_name string, right_name string, score double, place int"))
+    return rp.best_match(_pairs(v))
 
 
-@query((), _NAMED + _LINKS + _values("pairs", "left_name, right_name, score, place", SCORED) + """ SELECT left_name, right_name FROM pairs WHERE left_name = right_name OR NOT EXISTS (
-SELECT 1 FROM ties WHERE least(name1, name2) = least(left_name, right_name) AND greatest(name1, name2) = greatest(left_name, right_name) AND name1 IN (SELECT name FROM named) AND name2 IN (SELECT name FROM named))""")
+@query((), _NAMED + _LINKS + _PAIRS + """, known AS (SELECT DISTINCT least(name1, name2) AS a, greatest(name1, name2) AS b FROM ties WHERE name1 IN (SELECT name FROM named) AND name2 IN (SELECT name FROM named))
+SELECT left_name, right_name FROM pairs WHERE left_name = right_name OR (least(left_name, right_name), greatest(left_name, right_name)) NOT IN (SELECT a, b FROM known)""")
 def new_candidates(v):
-    pairs = v.spark.createDataFrame(SCORED, "left_name string, right_name string, score double, place int")
-    return rp.new_candidates(pairs, _named(v), _ties(v)).select("left_name", "right_name")
+    return rp.new_candidates(_pairs(v), _named(v), _ties(v)).select("left_name", "right_name")
 
 
 @query(("episodes",), "SELECT id, ((row_number() OVER (PARTITION BY family_id ORDER BY id) - 1) // 3)::BIGINT AS chunk FROM episodes")
