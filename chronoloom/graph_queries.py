@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions import name_rules as nr
+from chronoloom.functions import text as tx
 from chronoloom.functions.text import strip
 from chronoloom.operators import endpoints as en
 from chronoloom.operators import incremental as inc
@@ -13,6 +14,7 @@ from chronoloom.operators import resolution as rs
 from chronoloom.operators import retrieval as rt
 from chronoloom.operators import temporal as tm
 from chronoloom.operators import traversal as tv
+from chronoloom.operators import unified as uf
 from chronoloom.operators import upkeep as up
 from chronoloom.operators import vectors as vx
 from chronoloom.operators.episodes import windows
@@ -21,7 +23,8 @@ from chronoloom.plans.materialize import materialize
 from chronoloom.plans.remember import capitalised
 from chronoloom.streaming import documents as dc
 from chronoloom.more_queries import _AGED, _CORE, _NOW_REL, _PROBE, _STRIP, bm25_sql, rank_sql
-from chronoloom.queries import _JACCARD, ASOF, EARLY, NEWEST, NOW, ORACLES, _concepts, query
+from chronoloom.queries import _JACCARD, ASOF, EARLY, MID, NEWEST, NOW, ORACLES, _concepts, query
+from chronoloom.sources.adapters import sql
 
 # --- vector index -----------------------------------------------------------
 
@@ -488,3 +491,63 @@ def documents_by_windows(v):
         name.alias("name"), F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("content"), F.col("o_orderdate").alias("at"),
     )
     return dc.merged_batch(rows)
+
+
+# --- unified find -----------------------------------------------------------
+
+_HITS0 = ", evec AS (SELECT 'p' || e.vec_id AS family_id, " + _COS("e.embedding", "q.embedding") + " AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, family_id LIMIT 40)"
+_FUSED = "f AS (SELECT family_id, sum(w) AS w FROM ({0}) GROUP BY 1)"
+ORACLES["hybrid_search"] = (
+    sql("things") + bm25_sql("things", "family_id", "content", ["red", "widget"], 40, "hits") + _HITS0 + ", " + _FUSED.format(rank_sql("hits", 0.3) + " UNION ALL " + rank_sql("evec", 0.7))
+    + " SELECT family_id, round(w / (SELECT max(w) FROM f), 4) AS score FROM f ORDER BY score DESC, family_id LIMIT 20"
+)
+ORACLES["find_by_name"] = (
+    sql("things") + bm25_sql("things", "family_id", "name", ["red", "widget"], 20, "hits")
+    + f""", ways AS (SELECT family_id, CASE WHEN name = 'Red Widget' THEN 0 WHEN lower({_CORE('name')}) = 'red widget' THEN 1 WHEN starts_with(lower(name), 'red widget') THEN 2 END AS kind, 1.0::DOUBLE AS score FROM things),
+every AS (SELECT * FROM ways WHERE kind IS NOT NULL UNION ALL SELECT family_id, 3, score FROM hits) SELECT family_id, kind, score FROM every WHERE kind = (SELECT min(kind) FROM every) ORDER BY score DESC, family_id LIMIT 20"""
+)
+
+
+def _found_sql(query: str, words: list[str], entity_arms: str, until: str | None) -> str:
+    """All stages over things and the newest visible relations."""
+    named = f"({_CORE('name')} = '{query}' OR name = '{query}' OR starts_with(name, '{query}（') OR starts_with(name, '{query}('))"
+    when = f" WHERE event_time IS NULL OR event_time <= TIMESTAMP '{until}'" if until else ""
+    return (
+        _NOW_REL + bm25_sql("things", "family_id", "content", words, 40, "hits") + bm25_sql("nowrel", "family_id", "content", words, 100, "rhits") + _HITS0
+        + ", " + _FUSED.format(rank_sql("hits", 0.3) + entity_arms)
+        + f""", eh AS (SELECT family_id, round(w / (SELECT max(w) FROM f), 4) AS score FROM f ORDER BY score DESC, family_id LIMIT 20),
+rf AS ({rank_sql('rhits', 0.3)}), rh AS (SELECT family_id, round(w / (SELECT max(w) FROM rf), 4) AS score FROM rf ORDER BY score DESC, family_id LIMIT 50),
+pre AS (SELECT family_id FROM things WHERE starts_with(name, '{query}') AND family_id NOT IN (SELECT family_id FROM eh) ORDER BY family_id LIMIT 3),
+e1 AS (SELECT * FROM eh UNION ALL SELECT family_id, 0.0 FROM pre WHERE EXISTS (SELECT 1 FROM eh JOIN things USING (family_id)) AND NOT EXISTS (SELECT 1 FROM eh JOIN things USING (family_id) WHERE {named})),
+ends AS (SELECT DISTINCT relation, x AS family_id FROM (SELECT family_id AS relation, unnest([entity1_id, entity2_id]) AS x FROM nowrel) WHERE x IN (SELECT id FROM things)),
+e2 AS (SELECT * FROM e1 UNION ALL SELECT ends.family_id, max(rh.score) * 0.5 FROM rh JOIN ends ON relation = rh.family_id WHERE ends.family_id NOT IN (SELECT family_id FROM e1) GROUP BY 1),
+near AS (SELECT relation, max(e2.score) * 0.3 AS score FROM ends JOIN e2 USING (family_id) GROUP BY 1),
+wide AS (SELECT relation AS family_id, score FROM (SELECT near.*, processed_time, id FROM near JOIN nowrel ON nowrel.family_id = relation ORDER BY processed_time DESC, id DESC LIMIT 50) WHERE relation NOT IN (SELECT family_id FROM rh)),
+e3 AS (SELECT * FROM e2 UNION ALL SELECT DISTINCT ends.family_id, 0.0 FROM wide JOIN ends ON relation = wide.family_id WHERE ends.family_id NOT IN (SELECT family_id FROM e2)),
+r3 AS (SELECT * FROM rh UNION ALL SELECT * FROM wide),
+ee AS (SELECT family_id, name, TIMESTAMP '{MID}' AS event_time, 0.8::DOUBLE AS confidence, score AS s FROM e3 JOIN things USING (family_id)),
+es AS (SELECT family_id, name, round(s * {_AGED}, 6) AS score FROM ee{when} ORDER BY score DESC, family_id LIMIT 20),
+rr AS (SELECT family_id, content, event_time, confidence, r3.score AS s FROM r3 JOIN nowrel USING (family_id)),
+rs AS (SELECT family_id, content, round(s * {_AGED}, 6) AS score FROM rr{when} ORDER BY score DESC, family_id LIMIT 50),
+rd AS (SELECT * FROM rs QUALIFY trim(substr(coalesce(content, ''), 1, 60)) = '' OR row_number() OVER (PARTITION BY trim(substr(coalesce(content, ''), 1, 60)) ORDER BY score DESC, family_id) = 1)
+SELECT 'entity' AS kind, family_id, score, row_number() OVER (ORDER BY CASE WHEN {named} THEN 0 ELSE 1 END, score DESC, family_id)::INTEGER AS place FROM es
+UNION ALL SELECT 'relation', family_id, score, row_number() OVER (ORDER BY score DESC, family_id)::INTEGER FROM rd"""
+    )
+
+
+def _dated(v):
+    return v.things.withColumn("event_time", F.lit(MID).cast("timestamp")).withColumn("confidence", F.lit(0.8))
+
+
+@query(("things", "relations"), _found_sql("red widget", ["red", "widget", "r", "36"], " UNION ALL " + rank_sql("evec", 0.7), None).replace("'red widget", "'red widget r 36"))
+def found_with_relations(v):
+    """A query that hits things by text and vectors and relations by text."""
+    vec = v.table("embeddings")
+    near = vec.join(F.broadcast(vec.where("vec_id = 0").select(F.col("embedding").alias("q")))).select(F.concat(F.lit("p"), "vec_id").alias("family_id"), F.round(tx.cosine("embedding", "q"), 6).alias("score"))
+    return uf.find(_dated(v), v.relations, "red widget r 36", NOW, entity_hits=near.orderBy(F.desc("score"), "family_id").limit(40))
+
+
+@query(("things", "relations"), _found_sql("small", ["small"], "", "1998-06-01 00:00:00").replace(f"TIMESTAMP '{MID}' AS event_time", "NULL::TIMESTAMP AS event_time").replace("epoch_us(event_time)", f"epoch_us(coalesce(event_time, TIMESTAMP '{NOW}'))"))
+def found_before(v):
+    """A short query that begins names, up to a time; things have no event and aren't aged."""
+    return uf.find(_dated(v).withColumn("event_time", F.lit(None).cast("timestamp")), v.relations, "small", NOW, until="1998-06-01 00:00:00")
