@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -67,12 +68,22 @@ def small_batches(spark: SparkSession, most: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(most))
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """For a query to call whose steps write tables: shuffle files go when the step that made them has ended.
+@contextmanager
+def dropped_shuffles(spark: SparkSession) -> Iterator[None]:
+    """For a query whose steps write tables: within, shuffle files go when the step that made them has ended.
 
-    A setting of the session, like the one above.
+    A setting of the session, which has its former value again afterwards.
     """
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def spread(manifest: DataFrame, by: str, size: str, per_task: int = 128 << 20) -> DataFrame:

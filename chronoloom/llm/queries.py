@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chronoloom.llm import decontaminate, divergence, mixing, phrases, pii, quality, secrets, simhash, substrings, suffixes, tokens, toxicity, warc
-from chronoloom.llm.common import drop_shuffles, small_batches, table
+from chronoloom.llm.common import dropped_shuffles, small_batches, table
 
 
 def whole(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,8 +64,8 @@ def op11_vocabulary_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_prefix_growth_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drop_shuffles(spark)
-    return phrases.collocations(whole(spark, sf_dir, "documents"))
+    with dropped_shuffles(spark):
+        return phrases.collocations(whole(spark, sf_dir, "documents"))
 
 
 def op13_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
