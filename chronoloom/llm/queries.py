@@ -35,6 +35,11 @@ def op4_inverted_index_decontamination(spark: SparkSession, sf_dir: str) -> Data
     return decontaminate.contamination(whole(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def near_benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4's proximity matches: test phrases whose words stand a few words off their places."""
+    return decontaminate.contamination(whole(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=decontaminate.SLOP)
+
+
 def op5_gated_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(whole(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_hierarchical_mixing": op3_hierarchical_mixing,
     "op4_inverted_index_decontamination": op4_inverted_index_decontamination,
+    "near_benchmark_phrases": near_benchmark_phrases,
     "op5_gated_recurrent_toxicity": op5_gated_recurrent_toxicity,
     "op6_repair_token_shards": op6_repair_token_shards,
     "op7_risk_controlled_quality": op7_risk_controlled_quality,
@@ -91,6 +97,7 @@ ORACLES: dict[str, str] = {
     "op1_warc_dictionary": warc.ORACLE,
     "op3_hierarchical_mixing": mixing.ORACLE,
     "op4_inverted_index_decontamination": decontaminate.ORACLE,
+    "near_benchmark_phrases": decontaminate.NEAR_ORACLE,
     "op7_risk_controlled_quality": quality.ORACLE,
     "op8_suffix_array_dedup": suffixes.ORACLE,
     "op10_difference_cover_dedup": substrings.ORACLE,

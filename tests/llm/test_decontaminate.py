@@ -69,3 +69,49 @@ def test_many_phrase_files_lose_no_document(spark):
     for block in (1, 3, 4, 100):
         for chunk in (1, 20, 1 << 20):
             assert got(d.contamination(a, b, block_words=block, chunk_bytes=chunk)) == brute(docs, items)
+
+
+def brute_near(docs, items, slop, window=10):
+    out = []
+    wins = {}
+    for i, t in items:
+        w = words(t)
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            wins.setdefault(tuple(w[k : k + window]), set()).add(i)
+    for i, t in docs:
+        w, hit, named = words(t), set(), set()
+        for s in range(len(w)):
+            for g, who in wins.items():
+                if g[0] == w[s] and all(x in w[max(0, s + o - slop) : max(0, s + o + slop + 1)] for o, x in enumerate(g) if o):
+                    hit.update(range(s, min(s + len(g), len(w))))
+                    named |= who
+        named = sorted(str(x) for x in named if x is not None)
+        out.append((i, len(w), len(hit), len(named), hashlib.sha256(",".join(named).encode()).hexdigest(), bool(hit)))
+    return sorted(out, key=repr)
+
+
+def test_proximity_over_any_blocks(spark):
+    import random
+
+    rng = random.Random(5)
+    docs = [(i if i % 7 else None, " ".join(rng.choice("abcde") for _ in range(rng.randrange(40)))) for i in range(60)]
+    docs += [(100, "Lead " + "the quick red brown fox jumps over a lazy dog at noon"), (101, None)]
+    items = [(i, " ".join(rng.choice("abcde") for _ in range(rng.randrange(1, 9)))) for i in range(12)]
+    items += [(None, "a b c"), (50, "the quick brown fox jumps over lazy dog at noon today"), (51, "e"), (52, "")]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for slop in (1, 2, 3):
+        want = brute_near(docs, items, slop)
+        for words_, chunk in ((400_000, 1 << 20), (25, 12)):
+            assert got(d.contamination(a, b, slop=slop, block_words=words_, chunk_bytes=chunk)) == want
+        assert any(r[5] for r in want) and not all(r[5] for r in want)
+
+
+def test_rounds_of_few_candidates(spark, sf001):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf001}/documents.parquet").select("doc_id", "text").limit(300).collect()]
+    found = [d.Found(r) for r in d.build_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).toPandas().itertuples(index=False)]
+    phrases = d.Phrases([(str(i), t) for i, t in rows[::3]] + [("rep", "x " * 500), (None, "y")], 10)
+    for f in found:
+        for slop in (0, 2):
+            one = sorted(x for k, s, p in d.search_block(f.block, phrases, slop) for x in zip(k.tolist(), s.tolist(), p.tolist()))
+            few = sorted(x for k, s, p in d.search_block(f.block, phrases, slop, most=50) for x in zip(k.tolist(), s.tolist(), p.tolist()))
+            assert one == few and len(one) > 1000
