@@ -365,7 +365,9 @@ items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCD
 wins AS (SELECT DISTINCT size, w[i:i + size - 1] AS g FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM (SELECT *, least(len(w), {WINDOW}) AS size FROM items WHERE len(w) > 0))),
 owners AS (SELECT DISTINCT item_id, w[i:i + size - 1] AS g FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM (SELECT *, least(len(w), {WINDOW}) AS size FROM items WHERE len(w) > 0))),
 words AS (SELECT row_no, w, unnest(range(1, len(w) + 1)) AS i FROM lowered),
-hits AS (SELECT row_no, i, size, g, len(w) AS n FROM words JOIN wins ON words.w[words.i] = wins.g[1]
+ahead AS (SELECT row_no, i, w[i] AS a, unnest(list_append(list_distinct(w[greatest(1, i + 1 - {SLOP}):i + 1 + {SLOP}]), NULL)) AS b FROM words),
+met AS (SELECT row_no, i, size, g FROM ahead JOIN wins ON a = g[1] AND b IS NOT DISTINCT FROM g[2]),
+hits AS (SELECT row_no, i, size, g, len(w) AS n FROM met JOIN lowered USING (row_no)
     WHERE list_bool_and([list_contains(w[greatest(1, i + o - {SLOP}):i + o + {SLOP}], g[o + 1]) FOR o IN range(1, size)]) OR size = 1),
 hit AS (SELECT row_no, count(DISTINCT i + k) AS n_hit FROM hits, range(0, {WINDOW}) t(k) WHERE k < size AND i + k <= n GROUP BY 1),
 named AS (SELECT row_no, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS xs FROM (SELECT DISTINCT row_no, item_id::VARCHAR AS x FROM hits JOIN owners USING (g) WHERE item_id IS NOT NULL) GROUP BY 1)
