@@ -794,4 +794,4 @@ def metric_summary(v):
 FLAGSHIP = "hub_entities"
 
 
-from chronoloom import more_queries, graph_queries  # noqa: E402, F401, I001  register further queries
+from chronoloom import more_queries, graph_queries, proposal_queries  # noqa: E402, F401, I001  register further queries
