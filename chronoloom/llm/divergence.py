@@ -1,12 +1,14 @@
 """Divergence of sources: how each differs from the others of its language, and by which terms.
 
 The first pass counts in how many documents of a language each term stands and
-keeps the terms of at least three.  The second pass recounts the kept terms'
-occurrences with Aho-Corasick automata over texts in which everything between
-terms is one kind of delimiter; every pattern has a delimiter on both sides,
-so only whole terms match.  The vocabulary is dealt into parts of a bounded
-number of characters, each an automaton of its own; a task passes its texts, a
-bounded stretch at a time, through all parts.  Work thus grows with texts times
+keeps the terms of at least three, numbered in byte order.  The second pass
+recounts the kept terms' occurrences with Aho-Corasick automata.  A task holds
+its texts as counted distinct terms, a bounded stretch at a time; these pass
+once, in byte order and with delimiters between them, through the automata,
+whose patterns have a delimiter on both sides, so only whole terms match.  The
+vocabulary is dealt into parts of a bounded number of characters, each an
+automaton of its own; a worker keeps what it may hold of them and starts with
+those.  Work thus grows with texts, and with distinct terms of a stretch times
 parts.
 
 Counts give sparse postings.  The sum over all kept terms for a pair of sources
@@ -27,6 +29,8 @@ read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -36,39 +40,100 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import kept, open_fs, tidy
-from chronoloom.llm.words import GAP, byte_table, constant, groups, split, strings, utf8
+from chronoloom.llm.common import kept, open_fs, tidy, trim
+from chronoloom.llm.words import byte_table, constant, grouped, split, strings
 from chronoloom.plans.materialize import materialize, new_folder
 
 TABLE = byte_table(bytes(range(0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x80)))
 LEAST_DOCUMENTS, TOP_TERMS, UNIT = 3, 200, 1_000_000_000
-#: Characters of one automaton's terms (about 16 bytes of memory each), and of texts between two automata.
+#: Characters of one automaton's terms (about 16 bytes of memory each), and bytes of counted terms between two passes through the automata.
 PART_CHARS, STRETCH = 6_000_000, 32 << 20
+#: Characters of the automata that a worker keeps from task to task (one at least), and rows sent to Spark at once.
+KEPT_CHARS, ROWS = 9_000_000, 1 << 17
 #: Pairs summed at once, and sums a task holds before it sends them on.
 PAIRS, SUMS = 1 << 20, 1 << 20
 #: Tasks that share a language's distinct counts.
 SALTS = 32
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """In how many documents of each language every term stands."""
+@dataclass
+class Tally:
+    """Counts ``n`` of distinct terms (``code`` into ``names``) for the groups of a stretch of texts (``group`` into ``keys``)."""
+
+    keys: list[tuple]
+    names: pa.Array
+    group: np.ndarray
+    code: np.ndarray
+    n: np.ndarray
+
+
+def tallies(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], once: bool, stretch: int) -> Iterator[Tally]:
+    """Occurrences of terms by the key columns (with ``once``, the texts that hold them), summed until ``stretch`` bytes are held."""
+
+    def merged() -> Tally:
+        names = pa.concat_arrays([t.names for t in held]).dictionary_encode()
+        codes = np.split(names.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum([len(t.names) for t in held])[:-1])
+        numbers: dict[tuple, int] = {}
+        of = [np.array([numbers.setdefault(k, len(numbers)) for k in t.keys], np.int64) for t in held]
+        size = max(1, len(names.dictionary))
+        cell = np.concatenate([g[t.group] * size + c[t.code] for t, g, c in zip(held, of, codes, strict=True)])
+        order = np.argsort(cell)
+        cell, n = cell[order], np.concatenate([t.n for t in held])[order]
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        cell, n = cell[first], np.add.reduceat(n, first, dtype=np.int64) if len(first) else n.astype(np.int64)
+        return Tally(list(numbers), names.dictionary, cell // size, cell % size, n)
+
+    held, used = [], 0
+    for batch in batches:
+        found, of = [], np.empty(batch.num_rows, np.int64)
+        for key, rows in grouped(batch, *keys):
+            of[rows] = len(found)
+            found.append(key)
+        w = split(batch.column("text"), TABLE)
+        size = max(1, len(w.names))
+        if once:
+            cell = np.unique(w.text * size + w.codes)
+            cell = of[cell // size] * size + cell % size
+        else:
+            cell = of[w.text] * size + w.codes
+        cell, n = np.unique(cell, return_counts=True)
+        held.append(Tally(found, w.names, *(x.astype(np.int32) for x in (cell // size, cell % size, n))))
+        used += w.names.nbytes + 12 * len(cell)
+        del w, cell, n
+        if used > stretch:
+            yield merged()
+            held, used = [], 0
+    if held:
+        yield merged()
+
+
+def _rows(tally: Tally, names: list[str], **columns: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Rows of the tally's groups under ``names``, with further columns, a bounded number at once."""
+    for at in range(0, len(tally.group), ROWS):
+        group = pa.array(tally.group[at : at + ROWS])
+        own = [pa.array([k[i] for k in tally.keys], pa.string()).take(group) for i in range(len(names))]
+        yield pa.RecordBatch.from_arrays([*own, *(c.slice(at, ROWS) for c in columns.values())], [*names, *columns])
+
+
+def document_frequencies(docs: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """In how many documents of a language each term stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for (lang,), part in groups(batch, "lang"):
-                w = split(part.column("text"), TABLE)
-                size = max(1, len(w.names))
-                once = np.unique(w.text * size + w.codes) % size
-                n = np.bincount(once, minlength=len(w.names)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([constant(lang, len(n)), strings(w.names), pa.array(n)], ["lang", "term", "n"])
+        for t in tallies(batches, ("lang",), True, stretch):
+            yield from _rows(t, ["lang"], term=strings(t.names.take(pa.array(t.code))), n=pa.array(t.n))
 
     return docs.select("lang", "text").mapInArrow(tidy(run), "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n"))
 
 
+def numbered(terms: DataFrame) -> DataFrame:
+    """Distinct terms with an ``id`` that ascends in their byte order."""
+    ordered = terms.select("term").distinct().repartitionByRange("term").sortWithinPartitions("term")
+    return materialize(ordered.withColumn("id", F.monotonically_increasing_id()), "audit-terms")
+
+
 def write_vocabulary(terms: DataFrame, part_chars: int = PART_CHARS) -> list[str]:
-    """Distinct terms, dealt by hash into Parquet folders of about ``part_chars`` characters."""
+    """Numbered terms, dealt by hash into Parquet folders of about ``part_chars`` characters."""
     spark = terms.sparkSession
-    terms = materialize(terms.select("term").distinct(), "audit-terms")
     parts = max(1, -(-(terms.agg(F.sum(F.char_length("term"))).first()[0] or 0) // part_chars))
     uri = new_folder(spark, "audit-vocabulary") + "/t"
     dealt = terms.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
@@ -77,43 +142,53 @@ def write_vocabulary(terms: DataFrame, part_chars: int = PART_CHARS) -> list[str
     return [f"{uri}/part={k}" for k in sorted(found)]
 
 
-def _automaton(uri: str) -> tuple[ahocorasick.Automaton | None, pa.Array]:
+def _terms(uri: str) -> pa.Table:
     fs, path = open_fs(uri)
-    terms = pq.read_table(path, filesystem=fs, columns=["term"], partitioning=None).column("term").combine_chunks()
+    return pq.read_table(path, filesystem=fs, columns=["term", "id"], partitioning=None).sort_by("id")
+
+
+def _automaton(rows: pa.Table) -> ahocorasick.Automaton:
     machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for i, term in enumerate(terms.to_pylist()):
+    for i, term in enumerate(rows["term"].to_pylist()):
         machine.add_word(f" {term} ", i)
     machine.make_automaton()
-    return machine, terms
+    return machine
+
+
+def term_ids(names: pa.Array, vocabulary: list[str], machines: dict[str, tuple[ahocorasick.Automaton, np.ndarray, int]]) -> np.ndarray:
+    """Ids of distinct terms, -1 for those that aren't kept; parts whose automata are at hand come first."""
+    out = np.full(len(names), -1, np.int64)
+    order = pc.sort_indices(names)  # neighbours share their way through an automaton
+    names = names.take(order)
+    text = " " + "  ".join(names.to_pylist()) + " "
+    ends = np.cumsum(pc.utf8_length(names).to_numpy(zero_copy_only=False).astype(np.int64) + 2) - 1
+    place = order.to_numpy().astype(np.int64)
+    for uri in sorted(vocabulary, key=lambda u: u not in machines):
+        if uri not in machines:
+            rows = _terms(uri)
+            chars = pc.sum(pc.utf8_length(rows["term"])).as_py() or 0
+            while machines and sum(m[2] for m in machines.values()) + chars > KEPT_CHARS:
+                machines.pop(next(iter(machines)))
+                trim()
+            machines[uri] = (_automaton(rows), rows["id"].to_numpy(), chars)
+        machine, ids, _ = machines[uri]
+        found = np.fromiter(chain.from_iterable(machine.iter(text)), np.int64).reshape(-1, 2)
+        out[place[np.searchsorted(ends, found[:, 0])]] = ids[found[:, 1]]
+    return out
 
 
 def occurrences(docs: DataFrame, vocabulary: list[str], stretch: int = STRETCH) -> DataFrame:
-    """How often each source of a language holds each term of the vocabulary."""
-
-    def scan(held: dict[tuple[str, str], list[str]]) -> Iterator[pa.RecordBatch]:
-        for uri in vocabulary:
-            machine, terms = kept(uri, lambda uri=uri: _automaton(uri))
-            for (lang, source), texts in held.items():
-                for text in texts:
-                    found, n = np.unique(np.fromiter((i for _, i in machine.iter(text)), np.int64), return_counts=True)
-                    names = strings(terms.take(pa.array(found)))
-                    yield pa.RecordBatch.from_arrays([constant(lang, len(n)), constant(source, len(n)), names, pa.array(n.astype(np.int64))], ["lang", "source", "term", "n"])
+    """How often each source of a language holds each term of the vocabulary, by the term's id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = {}, 0
-        for batch in batches:
-            for key, part in groups(batch, "lang", "source"):
-                b, cuts = utf8(part.column("text"), TABLE)
-                spaced = np.insert(b, cuts, GAP).tobytes().decode("utf-8", "replace")
-                held.setdefault(key, []).append(spaced)
-                size += len(spaced)
-            if size > stretch:
-                yield from scan({k: ["".join(v)] for k, v in held.items()})
-                held, size = {}, 0
-        yield from scan({k: ["".join(v)] for k, v in held.items()})
-
-    rows = docs.select("lang", "source", "text").mapInArrow(tidy(run, keeps=True), "lang string, source string, term string, n long")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+        for t in tallies(batches, ("lang", "source"), False, stretch):
+            ids = term_ids(t.names, vocabulary, kept(f"automata:{vocabulary[:1]}", dict))[t.code]
+            held = ids >= 0
+            t.group, n = t.group[held], t.n[held]
+            yield from _rows(t, ["lang", "source"], id=pa.array(ids[held]), n=pa.array(n))
+
+    rows = docs.select("lang", "source", "text").mapInArrow(tidy(run, keeps=True), "lang string, source string, id long, n long")
+    return rows.groupBy("lang", "source", "id").agg(F.sum("n").alias("n"))
 
 
 def _share(count: str, of: str) -> Column:
@@ -159,7 +234,7 @@ def shared_terms(postings: DataFrame) -> DataFrame:
         if not rows.num_rows:
             return
         new = np.ones(rows.num_rows, bool)
-        lang, term = rows["lang"].combine_chunks(), rows["term"].combine_chunks()
+        lang, term = rows["lang"].combine_chunks(), rows["id"].combine_chunks()
         fresh = pc.not_equal(lang[1:], lang[:-1]).to_numpy(zero_copy_only=False)
         new[1:] = fresh | pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False)
         number, p, none = (rows[c].to_numpy() for c in ("number", "p", "none"))
@@ -176,8 +251,8 @@ def shared_terms(postings: DataFrame) -> DataFrame:
                 continue
             rest = None
             if batch is not None:  # the last term may go on in the next batch
-                lang, term = rows["lang"][rows.num_rows - 1], rows["term"][rows.num_rows - 1]
-                still = int(pc.index(pc.and_(pc.equal(rows["lang"], lang), pc.equal(rows["term"], term)), True).as_py())
+                lang, term = rows["lang"][rows.num_rows - 1], rows["id"][rows.num_rows - 1]
+                still = int(pc.index(pc.and_(pc.equal(rows["lang"], lang), pc.equal(rows["id"], term)), True).as_py())
                 rest, rows = rows.slice(still), rows.slice(0, still)
             for lang, keys, values in each(rows):
                 if sums is not None and (lang != at or len(sums[0]) > SUMS):
@@ -187,7 +262,7 @@ def shared_terms(postings: DataFrame) -> DataFrame:
         if sums is not None:
             yield out(at, sums)
 
-    dealt = postings.select("lang", "term", "number", "p", "none").repartition("lang", "term").sortWithinPartitions("lang", "term")
+    dealt = postings.select("lang", "id", "number", "p", "none").repartition("lang", "id").sortWithinPartitions("lang", "id")
     return dealt.mapInArrow(tidy(summed), "lang string, a long, b long, value long")
 
 
@@ -199,17 +274,18 @@ def _with_end(batches: Iterator) -> Iterator:
 def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS, part_chars: int = PART_CHARS, stretch: int = STRETCH, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """Pairs of sources and the terms that mark each source, ranked; see the module's docstring."""
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))))
-    vocabulary = materialize(document_frequencies(rows).where(F.col("n") >= least).select("lang", "term"), "audit-kept")
+    vocabulary = materialize(document_frequencies(rows, stretch).where(F.col("n") >= least).select("lang", "term"), "audit-kept")
     sizes = vocabulary.groupBy("lang").agg(F.count("*").alias("v"))
-    found = occurrences(rows, write_vocabulary(vocabulary, part_chars), stretch)
-    counts = materialize(found.join(vocabulary, ["lang", "term"], "left_semi"), "audit-counts")
+    terms = numbered(vocabulary)
+    found = occurrences(rows, write_vocabulary(terms, part_chars), stretch)
+    counts = materialize(found.join(vocabulary.join(terms, "term").select("lang", "id"), ["lang", "id"], "left_semi"), "audit-counts")
 
     by_source = counts.groupBy("lang", "source").agg(F.sum("n").alias("held"))
     named = rows.select("lang", "source").distinct().join(by_source, ["lang", "source"], "left").join(sizes, "lang", "left")
     named = named.select("lang", "source", F.coalesce("held", F.lit(0)).alias("held"), F.coalesce("v", F.lit(0)).alias("v"))
     named = named.withColumn("number", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long"))
     sources = materialize(named.withColumn("all", F.col("held") + F.col("v")).withColumn("none", _share("0", "`all`")), "audit-sources")
-    postings = materialize(counts.join(sources, ["lang", "source"]).select("lang", "source", "number", "term", "n", "none", _share("n", "`all`").alias("p")), "audit-postings")
+    postings = materialize(counts.join(sources, ["lang", "source"]).select("lang", "source", "number", "id", "n", "none", _share("n", "`all`").alias("p")), "audit-postings")
 
     other = sources.select("lang", F.col("number").alias("b"), F.col("source").alias("item"), F.col("none").alias("none_b"))
     both = sources.select("lang", "source", F.col("number").alias("a"), "v", F.col("none").alias("none_a")).join(other, "lang").where("a <> b")
@@ -229,13 +305,15 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS, p
     total = total.withColumn("value", F.expr("cast(CASE WHEN value < 0 THEN value + 18446744073709551616BD ELSE value END - 9223372036854775808BD AS long)"))
     pair = both.join(total, ["lang", "a", "b"]).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
 
-    of_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("n")).join(
+    of_lang = counts.groupBy("lang", "id").agg(F.sum("n").alias("n")).join(
         counts.groupBy("lang").agg(F.sum("n").alias("held")).join(sizes, "lang").select("lang", (F.col("held") + F.col("v")).alias("all")), "lang"
     )
-    marks = postings.join(of_lang.select("lang", "term", _share("n", "`all`").alias("q")), ["lang", "term"]).where("p > q")
-    term = marks.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(_gap("p", "q")).alias("value"))
-    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    ranked = pair.withColumn("rank", F.row_number().over(order)).unionByName(term.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top))
+    marks = postings.join(of_lang.select("lang", "id", _share("n", "`all`").alias("q")), ["lang", "id"]).where("p > q")
+    term = marks.select("lang", "source", F.lit("term").alias("part"), "id", F.expr(_gap("p", "q")).alias("value"))
+    order = lambda tie: Window.partitionBy("lang", "source").orderBy(F.desc("value"), tie)
+    term = term.withColumn("rank", F.row_number().over(order("id"))).where(F.col("rank") <= top)
+    term = term.join(terms.withColumnRenamed("term", "item"), "id").select("lang", "source", "part", "item", "value", "rank")
+    ranked = pair.withColumn("rank", F.row_number().over(order("item"))).unionByName(term)
     return ranked.select("lang", "source", "part", "item", F.col("value").cast("long").alias("value"), "rank")
 
 

@@ -63,8 +63,8 @@ def split(texts: pa.Array, table: bytes) -> Words:
     return Words(words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64), text, runs_on)
 
 
-def groups(batch: pa.RecordBatch, *keys: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    """The batch's rows by the values of its (not null) key columns."""
+def grouped(batch: pa.RecordBatch, *keys: str) -> Iterator[tuple[tuple, np.ndarray]]:
+    """The batch's row numbers by the values of its (not null) key columns."""
     codes = np.zeros(batch.num_rows, np.int64)
     for key in keys:
         encoded = batch.column(key).dictionary_encode()
@@ -73,8 +73,13 @@ def groups(batch: pa.RecordBatch, *keys: str) -> Iterator[tuple[tuple, pa.Record
     order = np.argsort(codes, kind="stable")
     edges = np.flatnonzero(np.diff(codes[order], prepend=-1))
     for rows in np.split(order, edges[1:]) if len(order) else ():
-        part = batch.take(pa.array(rows))
-        yield tuple(part.column(key)[0].as_py() for key in keys), part
+        yield tuple(batch.column(key)[int(rows[0])].as_py() for key in keys), rows
+
+
+def groups(batch: pa.RecordBatch, *keys: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The batch's rows by the values of its (not null) key columns."""
+    for key, rows in grouped(batch, *keys):
+        yield key, batch.take(pa.array(rows))
 
 
 def strings(array: pa.Array) -> pa.Array:

@@ -1,6 +1,8 @@
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+
 from chronoloom.llm import divergence as dv
 
 SCHEMA = "doc_id long, text string, lang string, source string, term string, value long, n long, p long"
@@ -72,3 +74,30 @@ def test_no_rows(spark):
     assert run(spark, []) == set()
     assert run(spark, [(None, None, None)]) == set()
     assert run(spark, [(None, None, "a"), ("", None, "b")]) == {("", "a", "pair", "b", 0, 1), ("", "b", "pair", "a", 0, 1)}
+
+
+def test_a_stretch_gives_each_distinct_term_to_the_automata_once(spark, monkeypatch):
+    """Scanning grew with texts times parts, and each stretch built every part's automaton anew."""
+    terms = spark.createDataFrame([(f"term{chr(97 + i)}é",) for i in range(20)], "term string")
+    numbered = dv.numbered(terms)
+    ids = {r.term: r.id for r in numbered.collect()}
+    assert sorted(ids, key=ids.get) == sorted(ids, key=str.encode)
+    vocabulary = dv.write_vocabulary(numbered, 80)[:2]
+    built, build, machines = [], dv._terms, {}
+    monkeypatch.setattr(dv, "_terms", lambda uri: built.append(uri) or build(uri))
+    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("text", pa.string())])
+    batch = pa.RecordBatch.from_pylist([{"lang": "x", "source": s, "text": "termaé TERMBé other " * 500} for s in "aab"], schema)
+    got = Counter()
+    for _ in range(3):
+        (tally,) = dv.tallies(iter([batch, batch]), ("lang", "source"), False, 1 << 20)
+        assert tally.names.to_pylist() == ["termaé", "termbé", "other"]  # 9,000 words of a stretch
+        found = dv.term_ids(tally.names, vocabulary, machines)
+        for g, c, n in zip(tally.group, tally.code, tally.n, strict=True):
+            got[tally.keys[g], tally.names[int(c)].as_py(), int(found[c])] += int(n)
+    assert sorted(built) == sorted(vocabulary) and len(built) == 2
+    monkeypatch.setattr(dv, "KEPT_CHARS", 1)
+    one: dict = {}
+    assert [dv.term_ids(tally.names, vocabulary, one).tolist() for _ in range(3)] == [found.tolist()] * 3
+    assert len(one) == 1 and len(built) == 2 + 2 + 1 + 1  # the automaton at hand comes first
+    held = {t for uri in vocabulary for t in spark.read.parquet(uri).toPandas()["term"]}
+    assert got == {(("x", s), t, ids[t] if t in held else -1): n for s, n in (("a", 6000), ("b", 3000)) for t in ("termaé", "termbé", "other")}
