@@ -14,6 +14,7 @@ text; an empty table gives no shards and no rows; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -42,13 +43,40 @@ PART_CHARS = 2_000_000
 MANIFEST = "part int, seq int, path string, docs long, ids long, symbols long, rules long"
 
 
+_LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+#: Of a byte: 1 for an ASCII letter or digit, 2 for an ASCII mark other than an apostrophe, 4 for the lead byte of U+00C0 to U+00FF.
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[0x21:0x7F] = 2
+_KINDS[list(_LETTERS)] = 1
+_KINDS[ord("'")] = 0
+_KINDS[0xC3] = 4
+
+
+def inner_cuts(data: np.ndarray) -> np.ndarray:
+    """Where a byte-level pre-tokenizer surely begins a new piece inside a space-led one.
+
+    Between a letter or digit and a mark, before a line's end, and after one
+    that stands alone.  No rule looks back, and none of these ends depends on
+    what follows.
+    """
+    kind = _KINDS[data]
+    word = kind == 1
+    word[1:] |= (kind[:-1] == 4) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    line, ends = data == 10, word | (kind == 2)
+    cut = np.zeros(len(data), bool)
+    cut[1:] = (word[:-1] & (kind[1:] == 2)) | (ends[:-1] & line[1:])
+    cut[2:] |= ends[:-2] & line[1:-1] & (kind[2:] > 0)
+    return cut
+
+
 class WordEncoder:
-    """The tokenizer's own ids, with each distinct space-led word encoded once.
+    """The tokenizer's own ids, with each distinct word or mark encoded once.
 
     The vocabulary's pre-tokenizer never joins characters across a single
     space, so a text without double spaces is the sequence of its space-led
-    pieces.  Other texts, and texts that spell a special token, go through the
-    tokenizer whole.
+    pieces; where it is the byte-level one, these are cut further (see
+    ``inner_cuts``), so that a word is the same before a comma.  Other texts,
+    and texts that spell a special token, go through the tokenizer whole.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -60,6 +88,10 @@ class WordEncoder:
         self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
         self.leads[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            plan = json.load(f)
+        splits = plan.get("pre_tokenizer") or {}
+        self.cuts = splits.get("type") == "ByteLevel" and splits.get("use_regex", True) and not splits.get("add_prefix_space") and not plan.get("normalizer")
         self.cache_words = cache_words
         self.clear()
 
@@ -67,10 +99,31 @@ class WordEncoder:
         self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.raw, self.raw_used = np.zeros(1 << 16, np.uint8), 0
         self.raw_at, self.raw_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.again = np.zeros(0, bool)
         self.flat = np.zeros(1 << 16, np.uint16)
         self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.used = self.count = 0
 
+    def forget(self) -> None:
+        """Drop the words that were met in one stretch alone; all, if that leaves over half of what may be kept."""
+        stay = np.flatnonzero(self.again)
+        if 2 * len(stay) > self.cache_words:
+            return self.clear()
+        known, at, size, number = self.known[stay], self.raw_at[stay], self.raw_size[stay], self.number[stay]
+        raw, lengths = self.raw[ragged_take(at, size)], self.lengths[number]
+        ids = self.flat[ragged_take(self.starts[number], lengths)]
+        self.clear()
+        self.known, self.number, self.again = known, np.arange(len(known)), np.zeros(len(known), bool)
+        self._add(ids, lengths)
+        self._hold(raw)
+        self.raw_at, self.raw_size = np.cumsum(size) - size, size
+
+    def _hold(self, raw: np.ndarray) -> None:
+        while self.raw_used + len(raw) + 8 > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
+        self.raw[self.raw_used : self.raw_used + len(raw)] = raw
+        self.raw_used += len(raw)
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
 
@@ -113,17 +166,22 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has."""
         if len(self.known) > self.cache_words:
-            self.clear()
+            self.forget()
         plain = [not ("  " in t or any(s in t for s in self.special)) for t in texts]
-        # A space before each text ends the piece before it; a text's first piece is told by its place.
+        # A space before each text ends the piece before it; a text's first piece is told by its place.  Pieces with no space are marked in their hash.
         raw = [t.encode("utf-8", "surrogatepass") for t, p in zip(texts, plain, strict=True) if p]
         buffer = b" ".join([b"", *raw, b""])
-        data = np.frombuffer(buffer, np.uint8)
-        space = np.flatnonzero(data == 32)
-        starts, ends = space[:-1] + 1, space[1:]
+        padded = np.frombuffer(buffer + bytes(8), np.uint8)
+        data, lane = padded[:-8], lanes(padded)
+        space = data == 32
+        cut = inner_cuts(data) if self.cuts else np.zeros(len(data), bool)
+        begins = cut.copy()
+        begins[1:] |= space[:-1]
+        starts = np.flatnonzero(begins)
+        is_first = cut[starts]
+        ends = np.append(starts[1:] - ~is_first[1:], len(data) - 1)
         heads = np.cumsum([1, *(len(r) + 1 for r in raw)])[:-1]
         first = np.searchsorted(starts, heads)
-        is_first = np.zeros(len(starts), bool)
         is_first[first] = True
         hashes = (run_hashes(data, starts, ends) & ~np.uint64(1)) | is_first.astype(np.uint64)
         order = np.argsort(hashes)
@@ -134,8 +192,8 @@ class WordEncoder:
         group = np.cumsum(new) - 1
         mine, its = starts[order], starts[lead][group]
         sizes, numbers = ends[order] - mine, None
-        if np.array_equal(sizes, (ends[lead] - starts[lead])[group]) and same_bytes(data, mine, data, its, sizes):
-            numbers = self._numbers(buffer, data, hashes[lead], starts[lead], ends[lead], is_first[lead])
+        if np.array_equal(sizes, (ends[lead] - starts[lead])[group]) and same_lanes(lane, mine, lane, its, sizes):
+            numbers = self._numbers(buffer, lane, hashes[lead], starts[lead], ends[lead], is_first[lead])
         if numbers is None:  # two pieces with one hash: the tokenizer takes the texts whole
             done = [self.whole(t) for t in texts]
             return np.concatenate([np.zeros(0, np.uint16), *done]), np.array([len(x) for x in done], np.int64)
@@ -157,7 +215,7 @@ class WordEncoder:
                 counts[i] = len(parts[-1])
         return np.concatenate(parts), counts
 
-    def _numbers(self, buffer: bytes, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray | None:
+    def _numbers(self, buffer: bytes, lane: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray | None:
         """Numbers of the distinct pieces' runs of ids, whose hashes ascend; None if a hash stands for two pieces."""
         sizes = ends - starts
         at = np.searchsorted(self.known, hashes)
@@ -165,7 +223,8 @@ class WordEncoder:
         inside = at < len(self.known)
         hit[inside] = self.known[at[inside]] == hashes[inside]
         old = at[hit]
-        if not np.array_equal(self.raw_size[old], sizes[hit]) or not same_bytes(data, starts[hit], self.raw, self.raw_at[old], sizes[hit]):
+        self.again[old] = True
+        if not np.array_equal(self.raw_size[old], sizes[hit]) or not same_lanes(lane, starts[hit], lanes(self.raw), self.raw_at[old], sizes[hit]):
             return None
         if not hit.all():
             new = np.flatnonzero(~hit)
@@ -173,35 +232,43 @@ class WordEncoder:
             fresh = np.empty(len(new), np.int64)
             led = np.flatnonzero(~first[new])
             fresh[led] = self._learn([pieces[i] for i in led.tolist()])
-            for i in np.flatnonzero(first[new]).tolist():
-                ids = self.whole(pieces[i].decode("utf-8", "surrogatepass"))
-                fresh[i] = self._add(ids, np.array([len(ids)]))
-            held = np.frombuffer(b"".join(pieces), np.uint8)
-            while self.raw_used + len(held) > len(self.raw):
-                self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
-            self.raw[self.raw_used : self.raw_used + len(held)] = held
+            bare = np.flatnonzero(first[new])
+            if len(bare):
+                done = [x.ids for x in self.tokenizer.encode_batch_fast([pieces[i].decode("utf-8", "surrogatepass") for i in bare.tolist()], add_special_tokens=False)]
+                begin = self._add(np.fromiter(chain.from_iterable(done), np.uint16), np.array([len(x) for x in done]))
+                fresh[bare] = np.arange(begin, begin + len(bare))
             places = self.raw_used + np.cumsum(sizes[new]) - sizes[new]
-            self.raw_used += len(held)
+            self._hold(np.frombuffer(b"".join(pieces), np.uint8))
             self.known, self.number = np.insert(self.known, at[new], hashes[new]), np.insert(self.number, at[new], fresh)
+            self.again = np.insert(self.again, at[new], False)
             self.raw_at, self.raw_size = np.insert(self.raw_at, at[new], places), np.insert(self.raw_size, at[new], sizes[new])
             at = np.searchsorted(self.known, hashes)
         return self.number[at]
 
 
-def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, sizes: np.ndarray) -> bool:
-    """Whether all runs of bytes are equal, eight bytes at a time."""
-    lanes = [np.lib.stride_tricks.sliding_window_view(np.r_[x, np.zeros(8, np.uint8)], 8) for x in (a, b)]
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of an array that ends in eight spare bytes."""
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+
+
+def same_lanes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, sizes: np.ndarray) -> bool:
+    """Whether all runs of bytes, read from ``lanes``, are equal, eight bytes at a time."""
     done, go = 0, np.flatnonzero(sizes)
     while len(go):
         left = sizes[go] - done
         cut = (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64)).astype(np.uint64)
-        x, y = (lane[at[go] + done].copy().view("<u8")[:, 0] << cut for lane, at in zip(lanes, (a_at, b_at), strict=True))
-        if not np.array_equal(x, y):
+        if (((a[a_at[go] + done] ^ b[b_at[go] + done]) << cut) != 0).any():
             return False
         go, done = go[left > 8], done + 8
     return True
 
 
+def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, sizes: np.ndarray) -> bool:
+    """Whether all runs of bytes are equal."""
+    spare = np.zeros(8, np.uint8)
+    return same_lanes(lanes(np.r_[a, spare]), a_at, lanes(np.r_[b, spare]), b_at, sizes)
+
+
 def encoder(path: str) -> WordEncoder:
     """One encoder for each worker process, whose words stay known from task to task."""
     return kept(f"encoder:{path}", lambda: WordEncoder(path))
@@ -250,9 +317,14 @@ def compress(ids: np.ndarray, least: int = 24, per_round: int = 4096, gain: floa
         wanted[(keys * np.uint32(2654435761)) >> np.uint32(14)] = True
         maybe = maybe[wanted.take(slot[maybe])]
         here = pair[maybe]
-        found = np.searchsorted(keys[by], here)
-        found[found == len(keys)] = 0
-        real = keys[by][found] == here
+        ranked, spot = keys[by], slot[maybe]
+        home = (ranked * np.uint32(2654435761)) >> np.uint32(14)
+        nearest = np.zeros(1 << 18, np.int32)
+        nearest[home] = np.arange(len(ranked))
+        found = nearest.take(spot)
+        shared = np.bincount(home, minlength=1 << 18).take(spot) > 1  # several keys of one slot
+        found[shared] = np.minimum(np.searchsorted(ranked, here[shared]), len(ranked) - 1)
+        real = ranked[found] == here
         at, which = maybe[real], by[found[real]]
         same = (keys[which] >> 16) == (keys[which] & 0xFFFF)
         if same.any():  # in a run of one symbol, every other place

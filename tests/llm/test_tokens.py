@@ -81,3 +81,35 @@ def test_read_back_takes_several_tasks(spark, sf0001):
     docs = spark.read.parquet(f"{sf0001}/documents.parquet")
     out = tokens.token_round_trip(docs, shard_ids=10_000)
     assert out.rdd.getNumPartitions() > 1
+
+
+def test_words_are_learnt_once_whatever_marks_follow_and_stay_known_if_they_return():
+    """A word with a comma, a full stop or a line's end was another word, and a full store forgot all words."""
+    path = public_tokenizers.path(tokens.VOCABULARY)
+    own = tokens.WordEncoder(path)
+    words = [f"mot{k}é" for k in range(50)] + [f"word{k}" for k in range(50)]
+    own.encode(["start " + " ".join(words)])
+    size = len(own.known)
+    texts = ["start" + "".join(f" {w}{mark}" for w in words) for mark in (",", ".", "!", ".\n")]
+    ids, counts = own.encode(texts)
+    assert ids.tolist() == [i for t in texts for i in own.whole(t).tolist()]
+    assert len(own.known) == size + 4  # the marks and a line's end, not 400 words
+    few = tokens.WordEncoder(path, cache_words=60)
+    for k in range(12):
+        few.encode([" ".join(["often", "comes", "back", *(f"w{k}x{j}" for j in range(20))])])
+    learnt, learn = [], few._learn
+    few._learn = lambda new: learnt.extend(new) or learn(new)
+    few.encode(["x comes back"])
+    assert learnt == []
+
+
+def test_cut_pieces_equal_the_tokenizer_on_odd_texts():
+    rng = np.random.default_rng(5)
+    signs = ["a", "Bc", "7", "é", "×", "÷", "ß", "Ω", "中", " ", "　", "\n", "\n", "\r", "\t", "\x0b", "\x85", " ", " ", ".", ",", "'", "'s", "'ll", "’", "$", "^", "~", "\x7f", "\x00", "_", "\U0001f600", "́", "²", "ª", "-"]
+    own = tokens.WordEncoder(public_tokenizers.path(tokens.VOCABULARY), cache_words=3000)
+    for _ in range(40):
+        texts = ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(50)]
+        ids, counts = own.encode(texts)
+        want = [own.whole(t).tolist() for t in texts]
+        assert counts.tolist() == [len(w) for w in want]
+        assert ids.tolist() == [i for w in want for i in w]
