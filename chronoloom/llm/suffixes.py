@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import merge_runs, ragged_take, run_hashes
+from chronoloom.llm.common import lanes, merge_runs, run_hashes
 from chronoloom.llm.spans import collapse, keyed, marked
 from chronoloom.plans.materialize import materialize
 
@@ -174,12 +174,18 @@ def substring_names(s: np.ndarray, small: np.ndarray, spots: np.ndarray, size: i
     length = np.append(spots[1:] + 1, n) - spots
     bits = (2 * size).bit_length()
     width = 63 // bits
+    if bits <= 8:  # eight symbols are read as one word, the first in its highest byte
+        width, lane = 8, lanes(np.r_[symbols.astype(np.uint8), np.zeros(8, np.uint8)]).view(">u8")
     rank, live, done = np.zeros(m, np.int64), np.arange(m), 0
     while len(live):
         at, left = spots[live] + done, length[live] - done
-        key = np.zeros(len(live), np.int64)
-        for k in range(width):
-            key = (key << bits) | np.where(k < left, symbols[np.minimum(at + k, n - 1)], 0)
+        if bits <= 8:
+            cut = (8 * (8 - np.minimum(left, 8))).astype(np.uint64)
+            key = np.where(left > 0, lane[at].astype(np.uint64) >> cut << cut, np.uint64(0))
+        else:
+            key = np.zeros(len(live), np.int64)
+            for k in range(width):
+                key = (key << bits) | np.where(k < left, symbols[np.minimum(at + k, n - 1)], 0)
         before = rank[live]
         order = np.lexsort((key, before)) if done else np.argsort(key)
         k, r, who = key[order], before[order], live[order]
@@ -190,7 +196,7 @@ def substring_names(s: np.ndarray, small: np.ndarray, spots: np.ndarray, size: i
         rank[who] = r + first - np.maximum.accumulate(np.where(old, spot, 0))
         alone = new & np.append(new[1:], True)
         done += width
-        live = who[~alone & (length[who] > done)]
+        live = who[~alone & ((length[who] > done) | (who == m - 1))]  # the last one may begin another and end just here
     taken = np.zeros(m, bool)
     taken[rank] = True
     dense = np.cumsum(taken)
@@ -233,33 +239,25 @@ def permuted_prefixes(s: np.ndarray, sa: np.ndarray, most: int | None = None, re
     direct[1:] |= chars[:-1] != chars[np.maximum(before[1:] - 1, 0)]
     if restarts is not None:
         direct[restarts] = True
-    wide = np.lib.stride_tricks.sliding_window_view(np.r_[chars, np.zeros(8, np.uint8)], 8)
+    lane = lanes(np.r_[chars, np.zeros(8, np.uint8)])
     at = np.flatnonzero(direct & (before >= 0))
-    with_ = before[at]
+    a, b = at, before[at]
     found = np.zeros(n, np.int64)
     go = np.arange(len(at))
     length = np.zeros(len(at), np.int64)
+    limit = n - np.maximum(a, b)
     done = 0
     while len(go) and done < most:
-        a, b = at[go] + done, with_[go] + done
-        inside = np.maximum(a, b) + 8 <= n
-        equal = np.zeros(len(go), bool)
-        x = wide[a[inside]].copy().view(np.uint64)[:, 0]
-        y = wide[b[inside]].copy().view(np.uint64)[:, 0]
-        equal[inside] = x == y
-        ends = go[~equal]
-        left, right = at[ends] + done, with_[ends] + done
-        more = np.zeros(len(ends), np.int64)
-        live = np.arange(len(ends))
-        for _ in range(8):
-            live = live[np.maximum(left[live], right[live]) + more[live] < n]
-            live = live[chars[left[live] + more[live]] == chars[right[live] + more[live]]]
-            more[live] += 1
-        length[ends] = done + more
-        go = go[equal]
+        odd = lane[a] ^ lane[b]
+        low = odd & (~odd + np.uint64(1))  # the lowest bit that differs
+        ends = odd != 0
+        length[go[ends]] = done + ((np.frexp(low[ends].astype(np.float64))[1] - 1) >> 3)
         done += 8
+        on = ~ends & (np.maximum(a, b) + 8 <= n)
+        length[go[~ends & ~on]] = done
+        go, a, b = go[on], a[on] + 8, b[on] + 8
     length[go] = done
-    found[at] = length
+    found[at] = np.minimum(length, limit)
     source = np.maximum.accumulate(np.where(direct, place, 0))
     return np.maximum(found[source] - (place - source), 0)
 
@@ -328,14 +326,25 @@ def context_rows(wanted: DataFrame) -> DataFrame:
     """The bytes of the open contexts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+
+        def frame() -> pd.DataFrame:
+            columns = [np.concatenate([h[i] for h in held]) for i in range(4)]
+            return pd.DataFrame(dict(zip(("ah", "key", "a", "places"), columns, strict=True)) | {"context": [c for h in held for c in h[4]]})
+
         for pdf in batches:
-            for key, body, opens in zip(pdf["key"], pdf["body"], pdf["opens"], strict=True):
-                for at in range(0, len(opens), 4096):
-                    part = opens[at : at + 4096]
-                    yield pd.DataFrame({
-                        "ah": [o["ah"] for o in part], "key": key, "a": [o["a"] for o in part], "places": [o["b"] - o["a"] + 1 for o in part],
-                        "context": [body[o["a"] : o["e"]] for o in part],
-                    })
+            for key, body, ah, a, b, e in zip(pdf["key"].tolist(), pdf["body"], pdf["ah"], pdf["a"], pdf["b"], pdf["e"], strict=True):
+                for at in range(0, len(ah), 4096):
+                    first, stop = a[at : at + 4096], e[at : at + 4096]
+                    out = [ah[at : at + 4096], np.full(len(first), key), first, b[at : at + 4096] - first + 1, [body[x:y] for x, y in zip(first.tolist(), stop.tolist(), strict=True)]]
+                    held.append(out)
+                    size += len(first)
+                    if size >= 4096:
+                        yield frame()
+                        held, size = [], 0
+            if held:
+                yield frame()
+                held, size = [], 0
 
     return wanted.mapInPandas(run, "ah long, key long, a long, places long, context binary")
 
@@ -357,17 +366,19 @@ def repeated_starts(contexts: list[bytes], places: list[int], lengths: tuple[int
     dense = np.searchsorted(values, data).astype(np.uint8)
     sa = suffix_array(dense)
     near = permuted_prefixes(dense, sa, int(sizes.max()) + 8, first)
-    which = np.repeat(np.arange(len(contexts)), sizes + 1)
-    at = np.arange(len(data))
-    room = (first + sizes)[which] - at
-    own = (at - first[which] < np.array(places)[which])[sa]
+    near = near[sa]
+    limit = np.array(places)
     found = []
     for length in lengths:
-        run = np.cumsum(near[sa] < length)
-        mine = own & (room[sa] >= length)
-        hit = np.zeros(len(data), bool)
-        hit[sa[mine & (np.bincount(run[mine], minlength=len(data) + 2)[run] > 1)]] = True
-        spots = np.flatnonzero(hit)
+        link = near >= length
+        member = link.copy()
+        member[:-1] |= link[1:]
+        at = np.flatnonzero(member)  # only these share a prefix of the length with a neighbour
+        run, p = np.cumsum(~link[at]), sa[at]
+        which = np.searchsorted(first, p, "right") - 1
+        offset = p - first[which]
+        mine = (offset < limit[which]) & (sizes[which] - offset >= length)
+        spots = np.sort(p[mine & (np.bincount(run[mine], minlength=len(at) + 2)[run] > 1)])
         cuts = np.searchsorted(spots, np.r_[first, len(data)])
         found.append([spots[cuts[i] : cuts[i + 1]] - first[i] for i in range(len(contexts))])
     return list(zip(*found, strict=True))
@@ -385,8 +396,8 @@ def shard_rows(contexts: DataFrame, lengths: tuple[int, int], shard_bytes: int,
     """``kind`` 1: covered runs from the shards' arrays; ``kind`` 0: string hashes of an anchor too crowded for a shard."""
     schema = "kind int, w1 long, w2 long, key long, a long, b long, size int"
 
-    def sort(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(held, ignore_index=True)
+    def sort(held: list[tuple[pd.DataFrame, int, int]]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat([p.iloc[lo:hi] for p, lo, hi in held], ignore_index=True)
         out = []
         for key, a, found in zip(pdf["key"].tolist(), pdf["a"].tolist(), repeated_starts(pdf["context"].tolist(), pdf["places"].tolist(), lengths), strict=True):
             for size, starts in zip(lengths, found, strict=True):
@@ -404,27 +415,34 @@ def shard_rows(contexts: DataFrame, lengths: tuple[int, int], shard_bytes: int,
                 yield pd.DataFrame({"kind": 0, "w1": w1.view(np.int64), "w2": w2.view(np.int64), "key": key, "a": a + at, "b": a + at + size, "size": size})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, tail, tail_size, crowded = [], 0, [], 0, None
+        held, size, tail, tail_size, last, crowded = [], 0, [], 0, None, None
         for pdf in batches:  # sorted by anchor: whole anchors are gathered until a shard is full
             ah = pdf["ah"].to_numpy(np.int64)
+            if not len(ah):
+                continue
             cut = np.flatnonzero(np.r_[True, ah[1:] != ah[:-1]])
-            for lo, hi in zip(cut, np.r_[cut[1:], len(ah)], strict=True):
-                group = pdf.iloc[lo:hi]
-                if crowded == ah[lo]:
-                    yield from spill(group)
+            sums = np.add.reduceat(np.fromiter(map(len, pdf["context"]), np.int64, len(ah)), cut)
+            for this, lo, hi, weight in zip(ah[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(ah)], sums.tolist(), strict=True):
+                if crowded == this:
+                    yield from spill(pdf.iloc[lo:hi])
                     continue
-                if tail and tail[0]["ah"].iloc[0] != ah[lo]:
-                    held, size = held + tail, size + tail_size
+                if tail and last != this:
+                    for own in tail:
+                        if held and held[-1][0] is own[0] and held[-1][2] == own[1]:
+                            own = (own[0], held.pop()[1], own[2])
+                        held.append(own)
+                    size += tail_size
                     tail, tail_size = [], 0
                     if size >= shard_bytes:
                         yield from sort(held)
                         held, size = [], 0
-                tail.append(group)
-                tail_size += sum(map(len, group["context"]))
+                last = this
+                tail.append((pdf, lo, hi))
+                tail_size += weight
                 if tail_size > group_bytes:
-                    crowded = ah[lo]
-                    for g in tail:
-                        yield from spill(g)
+                    crowded = this
+                    for p, lo, hi in tail:
+                        yield from spill(p.iloc[lo:hi])
                     tail, tail_size = [], 0
         if held or tail:
             yield from sort(held + tail)
@@ -442,6 +460,7 @@ def covered_bytes(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE,
     both = F.explode(F.array(F.struct((F.col("b") + F.lit(passage)).alias("b"), F.lit(passage).alias("size")), F.struct(F.col("e").alias("b"), F.lit(length).alias("size"))))
     runs = kept.where("kind = 1 or settled").select("key", "a", both.alias("r")).select("key", "a", "r.*").where("b - a >= size")
     opens = kept.where("kind = 0 and open").groupBy("key").agg(F.collect_list(F.struct("ah", "a", "b", "e")).alias("opens"))
+    opens = opens.select("key", *(F.col(f"opens.{c}").alias(c) for c in ("ah", "a", "b", "e")))
     wanted = docs.select("key", "body").join(opens.hint("shuffle_hash"), "key")
     sharded = materialize(shard_rows(context_rows(wanted), (length, passage), shard_bytes, group_bytes), "shards")
     by = Window.partitionBy("w1").orderBy("w2")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import kept, open_fs, ragged_take, run_hashes, spread, tidy
+from chronoloom.llm.common import kept, lanes, open_fs, ragged_take, run_hashes, spread, tidy
 from chronoloom.plans.materialize import materialize, new_folder
 
 MAGIC = b"RPTOKEN1"
@@ -246,11 +246,6 @@ class WordEncoder:
         return self.number[at]
 
 
-def lanes(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from every place of an array that ends in eight spare bytes."""
-    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-
-
 def same_lanes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, sizes: np.ndarray) -> bool:
     """Whether all runs of bytes, read from ``lanes``, are equal, eight bytes at a time."""
     done, go = 0, np.flatnonzero(sizes)

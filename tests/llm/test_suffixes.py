@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 
 from chronoloom.llm import suffixes
 
@@ -113,3 +114,56 @@ def test_names_of_leftmost_smaller_substrings():
         order = {x: i for i, x in enumerate(sorted(set(strings)))}
         names, different = suffixes.substring_names(s, small, spots, int(s.max()) + 1)
         assert names.tolist() == [order[x] for x in strings] and different == len(order)
+
+
+class Plan:
+    """Stands for a DataFrame; hands out the function of its partitions."""
+
+    def repartition(self, *_):
+        return self
+
+    sortWithinPartitions = repartition
+
+    def mapInPandas(self, run, schema):
+        return run
+
+
+def test_shards_are_put_together_by_batches_not_by_anchors(monkeypatch):
+    """Each document's contexts and each anchor's rows were frames of their own, which took longer than sorting them."""
+    rng = np.random.default_rng(3)
+    bodies = [bytes(rng.integers(97, 100, 600).astype(np.uint8)) for _ in range(90)]
+    bodies[7] = bodies[3][:550] + bodies[7][550:]
+    n = 10
+    wanted = pd.DataFrame({"key": range(90), "body": bodies, "ah": [np.arange(n) * 5 + 90 * (k % 4) for k in range(90)], "a": [np.arange(n) * 10] * 90, "b": [np.arange(n) * 10 + 9] * 90, "e": [np.arange(n) * 10 + 9 + 400] * 90})
+    frames = list(suffixes.context_rows(Plan())(iter([wanted])))
+    assert len(frames) == 1
+    rows = frames[0].sort_values("ah", kind="stable", ignore_index=True)
+    assert rows["context"].tolist() == [bodies[k][a : a + 409] for k, a in zip(rows["key"], rows["a"], strict=True)] and set(rows["places"]) == {10}
+    pieces, concat = [], pd.concat
+    monkeypatch.setattr(suffixes.pd, "concat", lambda held, **o: pieces.append(len(held)) or concat(held, **o))
+    find = lambda limit, group, step: sorted({(r.key, x, r.size) for f in suffixes.shard_rows(Plan(), (255, 400), limit, group)(rows.iloc[i : i + step] for i in range(0, len(rows), step)) for r in f[f["kind"] == 1].itertuples() for x in range(r.a, r.b)})
+    whole = find(1 << 30, 1 << 30, 300)
+    assert pieces == [4]  # three batches and the last anchor
+    assert {k for k, _, _ in whole} == {3, 7} and {z for _, _, z in whole} == {255, 400}
+    assert find(1, 1 << 30, 77) == find(5_000, 1 << 30, 1) == whole
+
+
+def test_a_last_substring_that_begins_another_has_a_name_of_its_own():
+    """It shared a name where it ended just with a word of symbols (21 of this alphabet before)."""
+    for n in range(3, 60):
+        s = np.array([2, *[0] * n, 1, 2, 2, 1, 2, *[0] * n, 1, 2])
+        small = suffixes.suffix_types(s)
+        spots = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+        assert suffixes.substring_names(s, small, spots, 3)[0].tolist() == [1, 2, 0]
+        assert suffixes.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
+def test_common_prefixes_at_the_end_of_the_text():
+    for n in range(2, 40):
+        for s in (np.zeros(n, np.uint8), np.tile(np.array([1, 0, 0], np.uint8), n)[:n]):
+            sa = suffixes.suffix_array(s)
+            near = suffixes.permuted_prefixes(s, sa)
+            for a, b in zip(sa[:-1], sa[1:], strict=True):
+                both = int(n - max(a, b))
+                same = s[a : a + both] == s[b : b + both]
+                assert near[b] == (both if same.all() else int(np.argmin(same)))
