@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions.names import clean_name, grounded, viable_name
@@ -93,10 +93,25 @@ def new_candidates(pairs: DataFrame, names: DataFrame, related: DataFrame) -> Da
     return pairs.withColumns({"_a": a, "_b": b}).join(here.select(F.col("a").alias("_a"), F.col("b").alias("_b")), ["_a", "_b"], "left_anti").drop("_a", "_b")
 
 
+def best_of_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """``best_match`` of the pairs of an equi-join, without making them: ``left`` has ``left_name`` and ``score``, ``right`` has ``right_name`` and ``place``.
+
+    Of equal left names with one key the best score counts, and of the right
+    rows of a key the one that is first among equal scores.
+    """
+    a = left.where(F.col(on).isNotNull()).groupBy(on, "left_name").agg(F.max("score").alias("score"))
+    b = right.where(F.col(on).isNotNull()).groupBy(on).agg(F.max(F.struct(*_standing())).alias("_b")).select(on, "_b.place", "_b.right_name")
+    return a.join(b, on).select("left_name", "right_name", "score", "place")
+
+
+def _standing() -> list[Column]:
+    """What decides among equal scores."""
+    return [F.col("right_name").rlike(r"[（(][^）)]+[）)]").cast("int").alias("noted"), F.col("place"), F.length("right_name").alias("size"), F.col("right_name")]
+
+
 def best_match(scored: DataFrame) -> DataFrame:
     """The best-scored known name (``right_name``, ``place``) of each left one: of equals the bracketed, the later, the longer, the larger."""
-    noted = F.col("right_name").rlike(r"[（(][^）)]+[）)]").cast("int")
-    return scored.groupBy("left_name").agg(F.max_by("right_name", F.struct("score", noted, "place", F.length("right_name"), "right_name")).alias("right_name"), F.max("score").alias("score"))
+    return scored.groupBy("left_name").agg(F.max_by("right_name", F.struct("score", *_standing())).alias("right_name"), F.max("score").alias("score"))
 
 
 def chunks(rows: DataFrame, size: int, order: str, *group: str) -> DataFrame:
