@@ -11,6 +11,8 @@ from chronoloom.functions.text import core_name, strip
 # Words of the engine's own that a content shouldn't hold.
 LEAKS = ["处理进度", "步骤", "缓存", "抽取", "token", "api"]
 LEAST_ENTITY, LEAST_RELATION = 10, 8
+#: Longest array that repeats a row.
+STRETCH = 10_000
 
 
 def _mention(name):
@@ -93,6 +95,19 @@ def new_candidates(pairs: DataFrame, names: DataFrame, related: DataFrame) -> Da
     return pairs.withColumns({"_a": a, "_b": b}).join(here.select(F.col("a").alias("_a"), F.col("b").alias("_b")), ["_a", "_b"], "left_anti").drop("_a", "_b")
 
 
+def pair_counts(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """The pairs ``left_name``, ``right_name`` of an equi-join, each once with its number ``n``; a side of many equal names makes few rows."""
+    a, b = (df.groupBy(on, name).agg(F.count("*").alias(n)) for df, name, n in ((left, "left_name", "_l"), (right, "right_name", "_r")))
+    return a.join(b, on).select("left_name", "right_name", (F.col("_l") * F.col("_r")).alias("n"))
+
+
+def repeated(rows: DataFrame, n: str = "n") -> DataFrame:
+    """Every row as often as its ``n`` says; stretches keep the arrays short."""
+    stretches = rows.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / STRETCH))))
+    inside = F.sequence(F.lit(1).cast("long"), F.least(F.lit(STRETCH), F.col(n) - F.col("_s") * STRETCH))
+    return stretches.withColumn("_i", F.explode(inside)).drop("_s", "_i", n)
+
+
 def best_of_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """``best_match`` of the pairs of an equi-join, without making them: ``left`` has ``left_name`` and ``score``, ``right`` has ``right_name`` and ``place``.
 

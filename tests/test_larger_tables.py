@@ -33,3 +33,11 @@ def test_best_of_a_join_without_its_pairs(spark):
     want = rp.best_match(left.join(right, "digit"))
     few = rp.best_of_join(left.unionAll(none), right, "digit")
     assert sorted(map(tuple, rp.best_match(few).collect())) == sorted(map(tuple, want.collect())) and few.count() <= 12
+
+
+def test_pairs_are_counted_and_repeated(spark):
+    left, right = sides(spark)
+    want = sorted(map(tuple, left.join(right, "digit").select("left_name", "right_name").collect()))
+    counts = rp.pair_counts(left, right, "digit")
+    assert sorted(map(tuple, rp.repeated(counts).collect())) == want and counts.count() < len(want) / 4
+    assert rp.repeated(spark.createDataFrame([("a", 25_000), ("b", 1), ("c", 20_000)], "x string, n long")).groupBy("x").count().orderBy("x").collect() == [("a", 25_000), ("b", 1), ("c", 20_000)]
