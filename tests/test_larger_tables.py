@@ -3,11 +3,16 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from chronoloom import queries as q
+from chronoloom.functions import text as tx
 from chronoloom.operators import endpoints as en
 from chronoloom.operators import reports as rp
+from chronoloom.operators import resolution as rs
 from chronoloom.operators import search as se
+from chronoloom.operators import simjoin
 from chronoloom.operators import vectors as vx
 from test_queries import canon
 
@@ -79,3 +84,28 @@ def test_equally_near_names_of_an_end_by_rank(spark):
     names = own.selectExpr("name", "1 AS place")
     got = en.resolved(raws, names, inside=False, vectors=(raws, own), nearest=0.5)
     assert {(r.raw, r.name, r.stage) for r in got.collect()} == {("q1", "omega (x)", "vector"), ("q2", None, "unknown")}
+
+
+def test_best_names_by_falling_thresholds_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "FEW_MET", 0)
+    names = [f"Supplier#{i:09d}" for i in range(0, 2400, 16)] + ["Supplier", "SUPPLIER#000000016", "red ring", "red rings", "Red Ring (old)", "zz"]
+    d = spark.createDataFrame([(n,) for n in names], "name string")
+    score = F.round(rs.name_score(F.col("left_name"), F.col("right_name")), 6)
+    both = d.select(F.col("name").alias("left_name")).crossJoin(d.select(F.col("name").alias("right_name"))).withColumn("score", score).where("score >= 0.5")
+    place = F.row_number().over(Window.partitionBy("left_name").orderBy(F.desc("score"), "right_name"))
+    want = {tuple(r) for r in both.withColumn("rank", place).where("rank <= 5").collect()}
+    assert {tuple(r) for r in rs.candidate_table(d, d, 0.5, 5).select("left_name", "right_name", "score", "rank").collect()} == want
+
+
+@pytest.mark.parametrize(("lexical", "dense"), [(0.6, 0.4), (0.6, 0.6), (0.5, 0.8)])
+def test_best_families_of_many_with_one_name_equal_all_pairs(spark, lexical, dense):
+    r = np.random.default_rng(7)
+    known = spark.createDataFrame([(f"f{i}", ["red ring", "red rings", "blue ring", "Ada"][i % 4], r.normal(size=3).tolist() if i % 9 else None) for i in range(120)], "family_id string, name string, embedding array<double>")
+    mine = spark.createDataFrame([(i, ["RED RING", "ring", "Ada (x)", "nobody", "old red ring"][i % 5], r.normal(size=3).tolist(), r.normal(size=3).tolist() if i % 4 else None) for i in range(20)], "pos long, name string, name_vector array<double>, full_vector array<double>")
+    pairs = mine.crossJoin(known.withColumnRenamed("name", "known_name"))
+    pairs = pairs.withColumn("lexical_score", F.round(rs.name_score(F.col("name"), F.col("known_name")), 6)).withColumn("dense_score", F.round(F.greatest(tx.cosine("name_vector", "embedding"), tx.cosine("full_vector", "embedding")), 6))
+    pairs = pairs.where((F.col("lexical_score") >= lexical) | (F.col("dense_score") >= dense)).withColumn("score", F.greatest("lexical_score", "dense_score"))
+    place = F.row_number().over(Window.partitionBy("pos").orderBy(F.desc("score"), "family_id"))
+    columns = ["pos", "family_id", "lexical_score", "dense_score", "score", "rank"]
+    want = {tuple(x) for x in pairs.withColumn("rank", place).where("rank <= 10").select(*columns).collect()}
+    assert {tuple(x) for x in rs.entity_candidates(mine, known, lexical, dense).select(*columns).collect()} == want
