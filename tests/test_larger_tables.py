@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from chronoloom import queries as q
 from chronoloom.functions import text as tx
+from chronoloom.functions import validation as va
 from chronoloom.operators import endpoints as en
 from chronoloom.operators import reports as rp
 from chronoloom.operators import resolution as rs
 from chronoloom.operators import search as se
 from chronoloom.operators import simjoin
+from chronoloom.plans.remember import capitalised
 from chronoloom.operators import vectors as vx
 from test_queries import canon
 
@@ -109,3 +111,15 @@ def test_best_families_of_many_with_one_name_equal_all_pairs(spark, lexical, den
     columns = ["pos", "family_id", "lexical_score", "dense_score", "score", "rank"]
     want = {tuple(x) for x in pairs.withColumn("rank", place).where("rank <= 10").select(*columns).collect()}
     assert {tuple(x) for x in rs.entity_candidates(mine, known, lexical, dense).select(*columns).collect()} == want
+
+
+def test_names_of_a_window_have_contents_by_its_sentences_cut_once(spark):
+    text = "# Ada head\nAda wrote the first program! Then Bob came\nshort\nEvery one met Éva and Bob? Ada again。Ada rested in the long afternoon"
+    chunks = spark.createDataFrame([(1, 0, text), (1, 1, ""), (2, 0, "no names")], "key long, window int, chunk string")
+    entities = capitalised(chunks)[0]
+    said = va.spoken("chunk")
+    assert chunks.select(said).first()[0] == ["Ada wrote the first program! Then Bob came", "Every one met Éva and Bob? Ada again", "Ada rested in the long afternoon"]
+    names = ["Ada", "Then", "Bob", "Every", "Éva"]
+    rows = chunks.where("key = 1 and window = 0").crossJoin(spark.createDataFrame([(n,) for n in names], "name string"))
+    want = {tuple(r) for r in rows.select("name", va.fallback_content("name", "chunk")).collect()}
+    assert {(r.name, r.content) for r in entities.collect()} == want and entities.count() == 5
