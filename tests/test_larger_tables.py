@@ -123,3 +123,16 @@ def test_names_of_a_window_have_contents_by_its_sentences_cut_once(spark):
     rows = chunks.where("key = 1 and window = 0").crossJoin(spark.createDataFrame([(n,) for n in names], "name string"))
     want = {tuple(r) for r in rows.select("name", va.fallback_content("name", "chunk")).collect()}
     assert {(r.name, r.content) for r in entities.collect()} == want and entities.count() == 5
+
+
+def test_the_best_of_many_names_around_a_short_one(spark):
+    left = spark.createDataFrame([("ring",), ("RING (old)",)], "name string")
+    right = spark.createDataFrame([("a" * (1 + i % 30) + f" ring {i:03d}", f"f{i:03d}") for i in range(200)], "name string, family_id string")
+    pairs = simjoin.name_pairs(left, right, 0.6, 5, rank="family_id")
+    score = F.round(rs.name_score(F.col("left_name"), F.col("right_name")), 6)
+    every = left.withColumnRenamed("name", "left_name").crossJoin(right.withColumnRenamed("name", "right_name")).withColumn("score", score).where("score >= 0.6")
+    place = F.row_number().over(Window.partitionBy("left_name").orderBy(F.desc("score"), "family_id"))
+    best = lambda rows: {tuple(r) for r in rows.withColumn("_r", place).where("_r <= 5").select("left_name", "right_name", "score").collect()}
+    found = pairs.distinct()
+    assert best(found.join(right.withColumnRenamed("name", "right_name"), "right_name").withColumn("score", score)) == best(every)
+    assert found.count() <= 20 and every.count() == 400
