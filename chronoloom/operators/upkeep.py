@@ -17,6 +17,7 @@ from chronoloom.functions.name_rules import first_broken
 from chronoloom.functions.names import summary
 from chronoloom.functions.text import core_name
 from chronoloom.operators.relations import dangling
+from chronoloom.plans.materialize import materialize
 
 
 @dataclass(frozen=True)
@@ -42,6 +43,10 @@ ADVICE = (
 )
 
 
+#: Tables that an action changes.
+TARGETS = {"cleanup_isolated": ("entities",), "cleanup_invalidated": ("entities", "relations"), "evolve_summaries": ("entities",), "mend_ends": ("relations",)}
+
+
 def _open(rows: DataFrame) -> DataFrame:
     return rows.where("invalid_at is null")
 
@@ -123,15 +128,22 @@ def execute(action: str, entities: DataFrame, relations: DataFrame, log: DataFra
     """Entities and relations after an action, and the log (``key``, ``action``, ``target``, ``op``, ``subject``, ``status``).
 
     Planned rows whose key the log has as done are left out, so a replay changes
-    nothing; a dry run changes nothing and logs previews.
+    nothing; a dry run changes nothing and logs previews.  What is to be done is
+    written, not the tables after it; a table that the action leaves alone is
+    returned as it came.
     """
     todo = planned(action, entities, relations).join(log.where("status = 'done'").select("key"), "key", "left_anti")
     status = F.lit("preview" if dry_run else "done")
     written = log.unionByName(todo.select("key", "action", "target", "op", "subject", status.alias("status")))
     if dry_run:
         return entities, relations, written
+    todo = materialize(todo, "todo")
+    written = log.unionByName(todo.select("key", "action", "target", "op", "subject", status.alias("status")))
     out = []
     for rows, name in ((entities, "entities"), (relations, "relations")):
+        if name not in TARGETS[action]:
+            out.append(rows)
+            continue
         mine = todo.where(F.col("target") == name)
         rows = rows.join(mine.where("op = 'delete'").select(F.col("subject").alias("id")), "id", "left_anti")
         if name == "entities" and action == "evolve_summaries":

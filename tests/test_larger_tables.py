@@ -14,6 +14,7 @@ from chronoloom.operators import reports as rp
 from chronoloom.operators import resolution as rs
 from chronoloom.operators import search as se
 from chronoloom.operators import simjoin
+from chronoloom.operators import upkeep as up
 from chronoloom.plans.remember import capitalised
 from chronoloom.operators import vectors as vx
 from test_queries import canon
@@ -136,3 +137,14 @@ def test_the_best_of_many_names_around_a_short_one(spark):
     found = pairs.distinct()
     assert best(found.join(right.withColumnRenamed("name", "right_name"), "right_name").withColumn("score", score)) == best(every)
     assert found.count() <= 20 and every.count() == 400
+
+
+def test_an_action_leaves_other_tables_as_they_came(spark):
+    entities = spark.createDataFrame([("a1", "a", None), ("b1", "b", None)], "id string, family_id string, invalid_at timestamp")
+    relations = spark.createDataFrame([("r1", "ab", "a1", "a1", None), ("r2", "ac", "a1", "c1", None)], "id string, family_id string, entity1_id string, entity2_id string, invalid_at timestamp")
+    log = spark.createDataFrame([], "key string, action string, target string, op string, subject string, status string")
+    same, mended, log = up.execute("mend_ends", entities, relations, log)
+    assert same is entities and [r.id for r in mended.collect()] == ["r1"]
+    left, same, log = up.execute("cleanup_isolated", entities, mended, log)
+    assert same is mended and [r.id for r in left.collect()] == ["a1"]
+    assert [(r.action, r.subject) for r in log.orderBy("subject").collect()] == [("cleanup_isolated", "b1"), ("mend_ends", "r2")]
